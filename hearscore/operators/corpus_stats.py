@@ -12,6 +12,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from hearscore.functions.rates import round_half_even_exact
 from hearscore.functions.text import word_count
 from hearscore.schema import SPLIT_KEYS
 
@@ -28,7 +29,7 @@ def sample_duration(
         F.size(array).cast("double"), F.coalesce(*rates, F.lit(16000)).cast("double")
     )
     usable = array.isNotNull() & seconds.isNotNull()
-    return F.when(usable, F.round(seconds, 2)).otherwise(F.lit(0.0))
+    return F.when(usable, round_half_even_exact(seconds)).otherwise(F.lit(0.0))
 
 
 def exclude_empty_test_transcripts(
@@ -152,22 +153,24 @@ def rounded(stats: DataFrame, digits: int = 2) -> DataFrame:
     """Every DOUBLE column rounded for a report."""
     doubles = {name for name, kind in stats.dtypes if kind == "double"}
     return stats.select(
-        *(F.round(c, digits).alias(c) if c in doubles else F.col(c) for c in stats.columns)
+        *(round_half_even_exact(F.col(c), digits).alias(c) if c in doubles else F.col(c) for c in stats.columns)
     )
 
 
 def summary_report(stats: DataFrame, label: str, hours: str) -> DataFrame:
     """Printable line per row of split or dataset statistics."""
 
-    def spread(name: str, unit: str) -> Column:
-        return F.format_string(
-            f"%.2f{unit[0]} ± %.2f{unit[1]}", F.col(f"{name}_mean"), F.col(f"{name}_std")
-        )
+    def two(name: str) -> Column:
+        # Rounded first: the formatter would round the printed decimal.
+        return round_half_even_exact(F.col(name))
+
+    def spread(name: str, pattern: str) -> Column:
+        return F.format_string(pattern, two(f"{name}_mean"), two(f"{name}_std"))
 
     return stats.select(
         F.col(label).alias("entry"),
         F.col("sample_count").alias("samples"),
-        F.format_string("%.2f", F.col(hours)).alias("audio_hours"),
-        spread("audio_duration", ("s", "s")).alias("avg_duration"),
-        spread("transcript_length", ("", " words")).alias("avg_transcript"),
+        F.format_string("%.2f", two(hours)).alias("audio_hours"),
+        spread("audio_duration", "%.2fs ± %.2fs").alias("avg_duration"),
+        spread("transcript_length", "%.2f ± %.2f words").alias("avg_transcript"),
     )

@@ -20,7 +20,7 @@ from hearscore.operators.scoring import results, score_clips, with_running_count
 from hearscore.operators.summary import group_summary, sort_summary
 from hearscore.operators.transcribe import Transcriber, cache_rows, transcribe_batch
 from hearscore.schema import RESOURCES, SAMPLE
-from hearscore.session import stage
+from hearscore.session import scan_tasks, stage
 from hearscore.sources.corpora import planned_samples
 from hearscore.sources.store import dated_path, materialize_groups
 from hearscore.sources.tsv import sink_tsv
@@ -44,15 +44,6 @@ class Evaluation:
         return f"{self.base.rstrip('/')}/{stage_name}/{self.name}"
 
 
-def scoring_tasks(spark: SparkSession, table: DataFrame) -> int | None:
-    """Tasks to spread a stored table over before scoring: enough for every
-    core, and one per 16 MB of file.  None if the scan already splits finer
-    than that, which is so for any large table."""
-    cores = spark.sparkContext.defaultParallelism
-    files = len(table.inputFiles())
-    return None if files >= 4 * cores else max(2 * cores, files)
-
-
 def transcribe_missing(
     planned: DataFrame,
     cache: DataFrame,
@@ -139,6 +130,7 @@ def generate_metrics(
     without an entry get 0.0.
     """
     metrics = resolve_metrics(job.metrics)
+    tasks = scan_tasks(pairs)
     if durations is not None:
         known = durations.select(F.col("path").alias("audio_path"), "audio_duration")
         pairs = pairs.join(known, "audio_path", "left").fillna(0.0, ["audio_duration"])
@@ -150,7 +142,7 @@ def generate_metrics(
             job.norm_types,
             metrics,
             mode=job.metric_mode,
-            tasks=scoring_tasks(spark, chosen),
+            tasks=tasks,
         )
         return table.withColumn("codename", F.col("system"))
 

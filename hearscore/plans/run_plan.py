@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,6 +52,15 @@ def expand_splits(splits: Sequence[str] | str) -> list[str]:
     return list(splits)
 
 
+def _local_table(
+    spark: SparkSession, rows: Sequence[tuple[str, ...]], names: Sequence[str]
+) -> DataFrame:
+    """Small table of strings whose size the optimizer knows (an Arrow table
+    becomes a local relation, a list of rows would not)."""
+    columns = [pa.array([row[i] for row in rows], pa.string()) for i in range(len(names))]
+    return spark.createDataFrame(pa.table(columns, names=list(names)))
+
+
 def model_table(
     spark: SparkSession, groups: Sequence[ModelGroup], language: str = "pl-PL"
 ) -> DataFrame:
@@ -64,8 +74,8 @@ def model_table(
             strict=True,
         )
     ]
-    schema = "model_group string, provider string, model string, version string, language string"
-    return with_codename(spark.createDataFrame(rows, schema))
+    names = ["model_group", "provider", "model", "version", "language"]
+    return with_codename(_local_table(spark, rows, names))
 
 
 def with_codename(models: DataFrame) -> DataFrame:
@@ -111,7 +121,7 @@ def corpus_table(spark: SparkSession, corpora: Sequence[Corpus]) -> DataFrame:
         for subset in c.subsets
         for split in expand_splits(c.splits)
     ]
-    table = spark.createDataFrame(rows, "name string, subset string, split string")
+    table = _local_table(spark, rows, ["name", "subset", "split"])
     return table.select(dataset_short_name("name").alias("dataset"), "subset", "split")
 
 

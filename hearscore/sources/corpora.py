@@ -42,4 +42,7 @@ def planned_samples(samples: DataFrame, plan: DataFrame) -> DataFrame:
     """Samples of every planned (dataset, subset, split), once per model of
     the plan: with ``provider, model, version, codename``."""
     columns = ["dataset", "subset", "split", "provider", "model", "version", "codename"]
-    return samples.join(plan.select(*columns).distinct(), columns[:3])
+    runs = plan.select(*columns)
+    if "norm_type" in plan.columns:
+        runs = runs.distinct()
+    return samples.join(runs, columns[:3])

@@ -111,23 +111,14 @@ def statistics_json(splits: DataFrame, datasets: DataFrame) -> DataFrame:
 
 def combined_json(documents: DataFrame, grand: DataFrame) -> DataFrame:
     """One JSON document over all datasets (there are as many as configured)."""
-    every = documents.agg(
-        F.array_join(
-            F.array_sort(
-                F.collect_list(F.concat(F.to_json(F.array("dataset")), F.lit("\u0000"), F.col("value")))
-            ),
-            ",",
-        ).alias("all")
-    )
-    # ["name"]\0{…} becomes "name":{…}
-    named = F.regexp_replace("all", r'\["((?:[^"\\]|\\.)*)"\]\x00', r'"$1":')
-    return every.join(grand).select(
+    quoted = F.to_json(F.array("dataset"))
+    name = F.substring(quoted, F.lit(2), F.length(quoted) - 2)
+    summary = grand.select(F.to_json(F.struct("total_datasets", "total_audio_hours"))).scalar()
+    members = documents.select(F.concat(name, F.lit(":"), F.col("value")).alias("member"))
+    joined = F.array_join(F.array_sort(F.collect_list("member")), ",")
+    return members.agg(joined.alias("all")).select(
         F.concat(
-            F.lit('{"datasets":{'),
-            named,
-            F.lit('},"summary":'),
-            F.to_json(F.struct("total_datasets", "total_audio_hours")),
-            F.lit("}"),
+            F.lit('{"datasets":{'), F.col("all"), F.lit('},"summary":'), summary, F.lit("}")
         ).alias("value")
     )
 
