@@ -146,9 +146,8 @@ def generate_metrics(
         )
         return table.withColumn("codename", F.col("system"))
 
-    groups = pairs.select(*GROUPS).distinct()
     table = materialize_groups(
-        spark, job.path("eval_output"), groups, compute, GROUPS, force=force
+        spark, job.path("eval_output"), pairs, compute, GROUPS, force=force
     ).drop("codename")
     summary = sort_summary(group_summary(table, metrics, job.metadata_columns))
     return table, summary

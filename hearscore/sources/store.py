@@ -9,6 +9,8 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from hearscore.session import stage
+
 
 def stored(spark: SparkSession, path: str) -> DataFrame | None:
     """The table at ``path``, or None if there is none."""
@@ -52,10 +54,11 @@ def materialize_groups(
     """The same per group: only groups of ``wanted`` (a table of ``keys``)
     that are not stored yet are computed, and only their directories are
     written."""
-    groups = wanted.select(*keys).distinct()
+    asked = stage(wanted.select(*keys).distinct(), "groups")
+    groups = asked
     found = None if force else stored(spark, path)
     if found is not None:
-        groups = groups.join(found.select(*keys).distinct(), list(keys), "left_anti")
+        groups = asked.join(found.select(*keys).distinct(), list(keys), "left_anti")
     if found is None or not groups.isEmpty():
         (
             compute(groups)
@@ -64,7 +67,7 @@ def materialize_groups(
             .partitionBy(*keys)
             .parquet(path)
         )
-    return spark.read.parquet(path).join(wanted.select(*keys).distinct(), list(keys), "left_semi")
+    return spark.read.parquet(path).join(asked, list(keys), "left_semi")
 
 
 def run_date() -> str:
