@@ -16,7 +16,7 @@ from hearscore.operators import corpus_stats, joins, scoring, selection, summary
 from hearscore.operators.transcribe import transcribe_batch
 from hearscore.plans import profile, run_plan
 from hearscore.schema import EVAL_INPUT, SPLIT_KEYS
-from hearscore.session import scan_tasks, stage, stage_path
+from hearscore.session import stage, stage_path
 from hearscore.sources import cache as cache_files
 from hearscore.sources import corpora, store, tsv
 from hearscore.streaming import scores
@@ -34,15 +34,10 @@ def register(query: Query) -> Query:
     return query
 
 
-def _tasks(spark: SparkSession, sf_dir: str) -> int | None:
-    return scan_tasks(shapes.table(spark, sf_dir, "conversations"))
-
-
 def _clips(
     spark: SparkSession, sf_dir: str, norms: Sequence[str] = NORMS, metrics: Sequence[str] = METRICS
 ) -> DataFrame:
-    pairs = shapes.pairs(spark, sf_dir)
-    return scoring.score_clips(pairs, norms, metrics, tasks=_tasks(spark, sf_dir))
+    return scoring.score_clips(shapes.pairs(spark, sf_dir), norms, metrics)
 
 
 def _long_counts(spark: SparkSession, sf_dir: str, metrics: Sequence[str] = METRICS) -> DataFrame:
@@ -330,7 +325,7 @@ def _stressed(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("doc_id") % 7 == 0, F.lit("\u00a0 word_trunc \tend")).otherwise(F.lit("")),
         F.when(F.col("doc_id") % 11 == 0, F.lit('"')).otherwise(F.lit("")),
     )
-    return shapes.table(spark, sf_dir, "documents").select("doc_id", said.alias("text"))
+    return shapes.spread_table(spark, sf_dir, "documents").select("doc_id", said.alias("text"))
 
 
 def _register_norm(norm_type: str) -> None:
@@ -429,9 +424,7 @@ def left_trim_hypothesis(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register
 def word_alignment_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = selection.valid_pairs(shapes.pairs(spark, sf_dir)).repartition(
-        _tasks(spark, sf_dir) or spark.sparkContext.defaultParallelism
-    )
+    rows = selection.valid_pairs(shapes.pairs(spark, sf_dir))
     counts = align.edit_counts("text", "hypothesis", chars=False)
     return rows.withColumn("c", counts).select(
         "codename", "sample_idx", *(F.col(f"c.{n}").alias(n) for n in rates.WORD_COUNTS)
@@ -458,10 +451,9 @@ def metric_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
     pooled = _long_counts(spark, sf_dir).groupBy("codename").agg(
         *(F.sum(c).alias(c) for c in rates.needed_counts(names))
     )
-    values = F.array(
-        *(F.struct(F.lit(n).alias("metric"), rates.percent(n).alias("value")) for n in names)
-    )
-    return pooled.select("codename", F.inline(values))
+    values = rates.with_percents(pooled, {n: rates.rate(n) for n in names})
+    listed = (F.struct(F.lit(n).alias("metric"), F.col(n).alias("value")) for n in names)
+    return values.select("codename", F.inline(F.array(*listed)))
 
 
 @register
@@ -556,7 +548,7 @@ def resolve_audio_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
 def transcribe(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = shapes.samples(spark, sf_dir).select("conv_id", "turn", "audio_path")
     rows = rows.withColumn("there", F.col("conv_id") % 29 != 0)
-    made = transcribe_batch(rows, StubTranscriber, exists="there", tasks=_tasks(spark, sf_dir))
+    made = transcribe_batch(rows, StubTranscriber, exists="there")
     return made.select("audio_path", "asr_hyp")
 
 
@@ -754,16 +746,8 @@ def streaming_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = shapes.stream_pairs(rows)
     query = scores.stream_scores(pairs, path, f"{path}-progress", ["all"], METRICS)
     query.awaitTermination()
-    pooled = scores.latest_batch(spark, path)
-    return pooled.select(
-        "subset",
-        "split",
-        "codename",
-        "norm_type",
-        "sample_count",
-        *rates.needed_counts(METRICS),
-        *(rates.percent(m).alias(m) for m in METRICS),
-    )
+    pooled = scores.latest_batch(spark, path).drop("dataset", "version")
+    return rates.with_percents(pooled, {m: rates.rate(m) for m in METRICS})
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,6 +22,7 @@ from hearscore.plans.run_plan import (
     run_plan,
 )
 from hearscore.schema import CACHE, SAMPLE
+from hearscore.session import scan_tasks
 
 # Fixed values: (provider, model, version, every n-th word dropped, every
 # n-th word altered).
@@ -44,6 +45,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """The same over all cores: a small table is one scan task otherwise."""
+    rows = table(spark, sf_dir, name)
+    tasks = scan_tasks(rows)
+    return rows.repartition(tasks) if tasks else rows
+
+
 def samples_of(conversations: DataFrame) -> DataFrame:
     split = F.element_at(
         F.array(F.lit("train"), F.lit("validation"), F.lit("test")),
@@ -65,7 +73,7 @@ def samples_of(conversations: DataFrame) -> DataFrame:
 
 
 def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return samples_of(table(spark, sf_dir, "conversations"))
+    return samples_of(spread_table(spark, sf_dir, "conversations"))
 
 
 def _altered(words: Column, drop: int, alter: int) -> Column:
@@ -147,7 +155,7 @@ def profiled(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as a corpus: language as dataset (one withholds its test
     transcripts), source as subset; the audio array is a slice of an
     embedding, a few are too short to count."""
-    documents = table(spark, sf_dir, "documents")
+    documents = spread_table(spark, sf_dir, "documents")
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     dataset = F.when(F.col("lang") == "fr", F.lit("BIGOS-fr")).otherwise(F.col("lang"))
     split = F.element_at(

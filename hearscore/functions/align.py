@@ -40,6 +40,8 @@ _SPACE_RUN = re.compile(r"\s\s+")
 # Cells of one anti-diagonal held by one group of pairs: bounds the working
 # set of a task (a few arrays of this many integers) whatever the batch holds.
 _GROUP_CELLS = 1 << 16
+# The same for the 64-bit blocks of a group in the character distance.
+_GROUP_BLOCKS = 1 << 13
 
 
 def score_tokens(text: str) -> list[str]:
@@ -158,32 +160,126 @@ def align_token_pairs(pairs: Iterable[tuple[list[str], list[str]]]) -> np.ndarra
     return out
 
 
-def char_distance(a: str, b: str) -> int:
-    """Levenshtein distance over code points.
+def _code_points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
 
-    Bit-parallel: column ``j`` of the distance matrix is held as two integers
-    whose bits mark the rows where the cost goes up or down by one.
+
+def _common(a: np.ndarray, b: np.ndarray) -> int:
+    """Length of the common prefix."""
+    differ = a != b
+    return int(differ.argmax()) if differ.any() else len(a)
+
+
+def _distance_group(pairs: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """Levenshtein distances of (longer, shorter) pairs of code points.
+
+    Bit-parallel: a column of the distance matrix is held as the bits of the
+    rows where the cost goes up or down by one, 64 rows to a block.  Block
+    ``w`` works on character ``t - w`` at step ``t``, so that all blocks of
+    all pairs advance in the same array operations, each with the carries
+    that the block below left one step before.
     """
-    head, tail = _trim(a, b)
-    a, b = a[head : len(a) - tail], b[head : len(b) - tail]
-    if len(a) < len(b):
-        a, b = b, a
-    if not b:
-        return len(a)
-    where: dict[str, int] = {}
-    for row, char in enumerate(a):
-        where[char] = where.get(char, 0) | (1 << row)
-    full = (1 << len(a)) - 1
-    up, down = full, 0
-    for char in b:
-        match = where.get(char, 0)
-        keep = (((match & up) + up) ^ up) | match | down
-        right = down | (full & ~(keep | up))
-        left = keep & up
-        right = (right << 1) | 1
-        up = full & ((left << 1) | ~(keep | right))
-        down = full & right & keep
-    return len(b) + up.bit_count() - down.bit_count()
+    width = len(pairs)
+    rows = np.array([len(a) for a, _ in pairs])
+    steps = np.array([len(b) for _, b in pairs])
+    blocks = int(rows.max() + 63) // 64
+    longest = int(steps.max())
+
+    # Rows of each (pair, character) as bits; row 0 is a character not there.
+    owner = np.repeat(np.arange(width, dtype=np.int64), rows)
+    place = np.concatenate([np.arange(n) for n in rows])
+    keys = (owner << 21) | np.concatenate([a for a, _ in pairs])
+    known, inverse = np.unique(keys, return_inverse=True)
+    bits = np.zeros((len(known) + 1, blocks), dtype=np.uint64)
+    np.bitwise_or.at(bits, (inverse + 1, place >> 6), np.uint64(1) << (place & 63).astype(np.uint64))
+    bits = bits.ravel()
+
+    asked = (np.repeat(np.arange(width, dtype=np.int64), steps) << 21) | np.concatenate(
+        [b for _, b in pairs]
+    )
+    at = np.minimum(np.searchsorted(known, asked), len(known) - 1)
+    at = np.where(known[at] == asked, at + 1, 0) * blocks
+    # Character of each pair by step, after as many unused rows as there are
+    # blocks: block w reads w rows further up.
+    chars = np.zeros((longest + 2 * blocks, width), dtype=np.int64)
+    chars[np.concatenate([np.arange(m) for m in steps]) + blocks, np.repeat(np.arange(width), steps)] = at
+
+    # When the last character of a pair has passed a block, its bits count.
+    block = np.arange(blocks)[:, None]
+    due = (steps[None, :] - 1 + block).ravel()
+    turn = np.argsort(due, kind="stable")
+    due = due[turn]
+    inside = np.clip(rows[None, :] - 64 * block, 0, 64).ravel()
+    mask = np.where(
+        inside == 64,
+        np.uint64(0xFFFFFFFFFFFFFFFF),
+        (np.uint64(1) << (inside % 64).astype(np.uint64)) - np.uint64(1),
+    )
+
+    distance = steps.astype(np.int64)
+    one, top = np.uint64(1), np.uint64(63)
+    up = np.full((blocks, width), 0xFFFFFFFFFFFFFFFF, dtype=np.uint64)
+    down = np.zeros_like(up)
+    # Carries into each block; the matrix starts with +1 steps along its top.
+    plus, minus = np.zeros_like(up), np.zeros_like(up)
+    plus[0] = 1
+    done = 0
+    for t in range(longest + blocks - 1):
+        k = min(blocks, t + 1)
+        window = chars[t + blocks - k + 1 : t + blocks + 1][::-1]
+        match = bits.take(window + block[:k])
+        p, n, cp, cm = up[:k], down[:k], plus[:k], minus[:k]
+        fixed = match | n
+        match |= cm
+        keep = (((match & p) + p) ^ p) | match
+        right = n | ~(keep | p)
+        left = p & keep
+        carry_right, carry_left = right >> top, left >> top
+        right = (right << one) | cp
+        left = (left << one) | cm
+        np.bitwise_or(left, ~(fixed | right), out=p)
+        np.bitwise_and(right, fixed, out=n)
+        higher = min(k, blocks - 1)
+        plus[1 : higher + 1], minus[1 : higher + 1] = carry_right[:higher], carry_left[:higher]
+        if done < len(due) and due[done] == t:
+            stop = int(np.searchsorted(due, t, side="right"))
+            cells = turn[done:stop]
+            gain = np.bitwise_count(up.ravel()[cells] & mask[cells]).astype(np.int64)
+            gain -= np.bitwise_count(down.ravel()[cells] & mask[cells])
+            np.add.at(distance, cells % width, gain)
+            done = stop
+    return distance
+
+
+def char_distances(pairs: Iterable[tuple[str, str]]) -> np.ndarray:
+    """Levenshtein distance over code points of every pair."""
+    out, todo = [], []
+    for index, (left, right) in enumerate(pairs):
+        a, b = _code_points(left), _code_points(right)
+        if len(a) < len(b):
+            a, b = b, a
+        head = _common(a[: len(b)], b)
+        a, b = a[head:], b[head:]
+        tail = _common(a[len(a) - len(b) :][::-1], b[::-1])
+        a, b = a[: len(a) - tail], b[: len(b) - tail]
+        out.append(len(a))
+        if len(b):
+            todo.append((index, a, b))
+    distances = np.array(out, dtype=np.int64)
+
+    todo.sort(key=lambda t: (len(t[1]), len(t[2])))
+    start = 0
+    while start < len(todo):
+        stop, blocks = start, 0
+        while stop < len(todo):
+            blocks = len(todo[stop][1]) // 64 + 1
+            if stop > start and blocks * (stop + 1 - start) > _GROUP_BLOCKS:
+                break
+            stop += 1
+        group = todo[start:stop]
+        distances[[i for i, _, _ in group]] = _distance_group([(a, b) for _, a, b in group])
+        start = stop
+    return distances
 
 
 def count_pairs(pairs: Sequence[tuple[str, str]], words: bool, chars: bool) -> pa.Array:
@@ -196,11 +292,9 @@ def count_pairs(pairs: Sequence[tuple[str, str]], words: bool, chars: bool) -> p
         table = align_token_pairs((score_tokens(r), score_tokens(h)) for r, h in where)
         fields[:4] = [pa.array(table[slot, i]) for i in range(4)]
     if chars:
-        table = np.array(
-            [(char_distance(r.strip(), h.strip()), len(r.strip())) for r, h in where],
-            dtype=np.int64,
-        ).reshape(-1, 2)
-        fields[4:] = [pa.array(table[slot, i]) for i in range(2)]
+        stripped = [(r.strip(), h.strip()) for r, h in where]
+        sizes = np.array([len(r) for r, _ in stripped], dtype=np.int64)
+        fields[4:] = [pa.array(c[slot]) for c in (char_distances(stripped), sizes)]
     return pa.StructArray.from_arrays(fields, names=COUNTS_TYPE.names)
 
 

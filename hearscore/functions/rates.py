@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 WORD_COUNTS = ("hits", "subs", "dels", "ins")
@@ -97,3 +97,15 @@ def round_half_even_exact(value: Column, digits: int = 2) -> Column:
 def percent(metric: str, counts: Callable[[str], Column] | None = None) -> Column:
     """Metric in percent with two decimals, the form that is stored."""
     return round_half_even_exact(rate(metric, counts) * F.lit(100.0))
+
+
+def with_percents(df: DataFrame, values: dict[str, Column]) -> DataFrame:
+    """Add columns of rates in percent with two decimals.
+
+    The rates get a projection of their own: rounding mentions its input many
+    times, and an input that is a column keeps the expressions small enough
+    for code generation.
+    """
+    raw = {f"__{name}": value * F.lit(100.0) for name, value in values.items()}
+    exact = {name: round_half_even_exact(F.col(f"__{name}")) for name in values}
+    return df.withColumns(raw).withColumns(exact).drop(*raw)

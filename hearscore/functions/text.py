@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -16,9 +17,26 @@ DEFAULT_TAGS = ("<unk>", "<silence>", "trunc")
 SENTINELS = ("EMPTY", "INVALID")
 # -----------------------------------------------------------------------------
 
-# Java's Unicode \s misses U+001C..U+001F, which count as whitespace here.
-_SPACE = r"[\s\x1c-\x1f]"
-_EDGES = rf"(?U)^{_SPACE}+|{_SPACE}+\z"
+# Fixed value: the characters that count as whitespace, as ranges.
+_SPACE_RANGES = (
+    (0x09, 0x0D),
+    (0x1C, 0x20),
+    (0x85, 0x85),
+    (0xA0, 0xA0),
+    (0x1680, 0x1680),
+    (0x2000, 0x200A),
+    (0x2028, 0x2029),
+    (0x202F, 0x202F),
+    (0x205F, 0x205F),
+    (0x3000, 0x3000),
+)
+_SPACES = "".join(chr(c) for low, high in _SPACE_RANGES for c in range(low, high + 1))
+
+
+# Regex classes, spelled out: the Unicode property is slower to match and
+# lacks U+001C..U+001F.
+_SPACE = "[" + "".join(f"\\u{low:04x}-\\u{high:04x}" for low, high in _SPACE_RANGES) + "]"
+_OTHER_SPACE = _SPACE.replace(r"\u001c-\u0020", r"\u001c-\u001f")
 
 
 def _col(c: Column | str) -> Column:
@@ -27,16 +45,22 @@ def _col(c: Column | str) -> Column:
 
 def strip(c: Column | str) -> Column:
     """Remove Unicode whitespace from both ends."""
-    return F.regexp_replace(_col(c), _EDGES, "")
+    return F.trim(_col(c), F.lit(_SPACES))
 
 
 def left_strip(c: Column | str) -> Column:
-    return F.regexp_replace(_col(c), rf"(?U)^{_SPACE}+", "")
+    return F.ltrim(_col(c), F.lit(_SPACES))
 
 
 def split_words(c: Column | str) -> Column:
     """Words between runs of Unicode whitespace."""
-    return F.filter(F.split(_col(c), rf"(?U){_SPACE}+"), lambda w: w != "")
+    return F.filter(F.split(_col(c), f"{_SPACE}+"), lambda w: w != "")
+
+
+def single_spaced(c: Column | str) -> Column:
+    """The words of ``split_words`` joined with spaces, without making them:
+    only what is not a single space already is touched."""
+    return strip(F.regexp_replace(_col(c), f"{_SPACE}{{2,}}|{_OTHER_SPACE}", " "))
 
 
 def norm_none(c: Column | str) -> Column:
@@ -49,8 +73,7 @@ def norm_lowercase(c: Column | str) -> Column:
 
 def norm_whitespace(c: Column | str) -> Column:
     """ASCII whitespace becomes a space, runs become one space, ends go."""
-    spaced = F.regexp_replace(_col(c), r"[ \t\n\r\x0B\f]", " ")
-    return strip(F.regexp_replace(spaced, rf"(?U){_SPACE}{_SPACE}+", " "))
+    return strip(F.regexp_replace(_col(c), rf"{_SPACE}{{2,}}|[\t\n\r\x0B\f]", " "))
 
 
 def norm_punctuation(c: Column | str) -> Column:
@@ -58,15 +81,18 @@ def norm_punctuation(c: Column | str) -> Column:
 
 
 def norm_tags(c: Column | str, tags: Sequence[str] = DEFAULT_TAGS) -> Column:
-    """Drop words that contain a tag, join the others with single spaces."""
+    """Drop words that contain a tag, join the others with single spaces.
+
+    Words are taken apart only in texts that contain a tag somewhere.
+    """
+    lowered = [tag.lower() for tag in tags]
 
-    def clean(word: Column) -> Column:
-        keep = F.lit(True)
-        for tag in tags:
-            keep = keep & ~F.contains(F.lower(word), F.lit(tag.lower()))
-        return keep
+    def has_tag(text: Column) -> Column:
+        low = F.lower(text)
+        return reduce(lambda a, b: a | b, [F.contains(low, F.lit(t)) for t in lowered], F.lit(False))
 
-    return F.array_join(F.filter(split_words(c), clean), " ")
+    without = F.array_join(F.filter(split_words(c), lambda w: ~has_tag(w)), " ")
+    return F.when(has_tag(_col(c)), without).otherwise(single_spaced(c))
 
 
 def norm_all(c: Column | str) -> Column:
@@ -99,7 +125,9 @@ def normalise(c: Column | str, norm_type: str) -> Column:
 
 def word_count(c: Column | str) -> Column:
     """Whitespace-separated words; 0 for NULL and empty text."""
-    return F.coalesce(F.size(split_words(c)), F.lit(0))
+    text = strip(c)
+    gaps = F.regexp_count(text, F.lit(f"{_SPACE}+"))
+    return F.when(F.coalesce(text, F.lit("")) == "", F.lit(0)).otherwise(gaps + 1)
 
 
 def transcript_cleanup(c: Column | str) -> Column:

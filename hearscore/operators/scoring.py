@@ -43,8 +43,8 @@ def count_column(norm_type: str, count: str) -> str:
     return f"n_{norm_type}_{count}"
 
 
-def counts_of(norm_type: str, suffix: str = "") -> Callable[[str], Column]:
-    return lambda count: F.col(count_column(norm_type, count) + suffix)
+def counts_of(norm_type: str) -> Callable[[str], Column]:
+    return lambda count: F.col(count_column(norm_type, count))
 
 
 def score_clips(
@@ -67,16 +67,20 @@ def score_clips(
     rows = valid_pairs(eval_input, ref, hyp)
     if tasks:
         rows = rows.repartition(tasks)
-    variants = []
-    for n in norm_types:
-        r, h = normalise(ref, n), normalise(hyp, n)
-        variants.append(
-            F.when((r != "") & (h != ""), F.struct(r.alias("reference"), h.alias("hypothesis")))
+    # Each text is made once, in a projection of its own.
+    made = {f"__r_{n}": normalise(ref, n) for n in norm_types}
+    made |= {f"__h_{n}": normalise(hyp, n) for n in norm_types}
+    variants = [
+        F.when(
+            (F.col(f"__r_{n}") != "") & (F.col(f"__h_{n}") != ""),
+            F.struct(F.col(f"__r_{n}").alias("reference"), F.col(f"__h_{n}").alias("hypothesis")),
         )
+        for n in norm_types
+    ]
     counts = edit_counts_of_variants(
         F.array(*variants), words="hits" in wanted, chars="char_len" in wanted
     )
-    return rows.withColumn("__counts", counts).select(
+    return rows.withColumns(made).withColumn("__counts", counts).select(
         *rows.columns,
         *(
             F.col("__counts")[i][c].alias(count_column(n, c))
@@ -118,19 +122,14 @@ def results(
         raise ValueError(f"unknown metric mode {mode!r}")
     metrics = rates.resolve_metrics(metrics)
     wanted = rates.needed_counts(metrics)
-    main = "_so_far" if mode == "running" else ""
+    sums = [f"{c}_so_far" for c in wanted] if mode == "running" else []
 
     def variant(n: str) -> Column:
+        made = [normalise(ref, n).alias("reference"), normalise(hyp, n).alias("hypothesis")]
         return F.struct(
             F.lit(n).alias("norm_type"),
-            *(
-                [normalise(ref, n).alias("reference"), normalise(hyp, n).alias("hypothesis")]
-                if texts
-                else []
-            ),
-            *(rates.percent(m, counts_of(n, main)).alias(m) for m in metrics),
-            *(rates.percent(m, counts_of(n)).alias(f"{m}_sample") for m in metrics),
-            *(counts_of(n)(c).alias(c) for c in wanted),
+            *(made if texts else []),
+            *(F.col(count_column(n, c)).alias(c) for c in (*wanted, *sums)),
         )
 
     skip = {ref, hyp, "codename"}
@@ -143,10 +142,17 @@ def results(
         F.col("codename").alias("system"),
         F.inline(F.array(*(variant(n) for n in norm_types))),
     ).filter(F.col(wanted[-1]).isNotNull())
+
+    def pooled(count: str) -> Column:
+        return F.col(f"{count}_so_far" if sums else count)
+
+    main = {m: rates.rate(m, pooled) for m in metrics}
+    single = {f"{m}_sample": rates.rate(m) for m in metrics}
+    table = rates.with_percents(long, main | single).drop(*sums)
     if not counts:
-        long = long.drop(*wanted)
+        table = table.drop(*wanted)
     order = [*lead, *(["reference", "hypothesis"] if texts else []), "audio_path"]
-    return long.select(*order, *(c for c in long.columns if c not in order))
+    return table.select(*order, *(c for c in table.columns if c not in order))
 
 
 def corpus_counts(
@@ -190,4 +196,4 @@ def corpus_metrics(
 ) -> DataFrame:
     """Metrics of whole groups from pooled counts, in percent."""
     pooled = corpus_counts(clips, norm_types, metrics, keys)
-    return pooled.select("*", *(rates.percent(m).alias(m) for m in rates.resolve_metrics(metrics)))
+    return rates.with_percents(pooled, {m: rates.rate(m) for m in rates.resolve_metrics(metrics)})

@@ -52,15 +52,40 @@ def test_alignment_agrees_with_back_trace(pairs):
         assert min(hits, subs, dels, ins) >= 0
 
 
-@settings(max_examples=300, deadline=None)
-@given(st.text("abcżó ", max_size=70), st.text("abcżó ", max_size=70))
-def test_char_distance_agrees_with_full_table(a, b):
+def full_table(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
         last, row = row, [i]
         for j, y in enumerate(b, 1):
             row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
-    assert align.char_distance(a, b) == row[-1]
+    return row[-1]
+
+
+SHORT = st.text("abcżó 😀", max_size=90)
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.tuples(SHORT, SHORT), max_size=12))
+def test_char_distances_agree_with_full_table(pairs):
+    assert list(align.char_distances(pairs)) == [full_table(a, b) for a, b in pairs]
+
+
+def test_char_distances_of_mixed_lengths():
+    """Lengths around the 64-row blocks, and more pairs than one group."""
+    rnd = random.Random(9)
+
+    def word(size):
+        return "".join(rnd.choice("abcd ") for _ in range(size))
+
+    sizes = [0, 1, 2, 63, 64, 65, 127, 128, 129, 191, 192, 193, 300]
+    pairs = [(word(n), word(m)) for n in sizes for m in sizes]
+    for _ in range(60):
+        base = word(rnd.randrange(700))
+        pairs.append((base, "".join(c for c in base if rnd.random() > 0.1)))
+    pairs += [(word(40), word(40))] * 50
+    assert list(align.char_distances(pairs)) == [full_table(a, b) for a, b in pairs]
+    many = pairs * 40
+    assert list(align.char_distances(many)) == list(align.char_distances(pairs)) * 40
 
 
 def test_long_pairs_beyond_one_group():

@@ -152,7 +152,7 @@ def test_every_normalisation_keeps_its_own_rows(spark):
         assert (row.reference, row.hypothesis) == (ref, hyp)
         edits, hits = brute_alignment(align.score_tokens(ref), align.score_tokens(hyp))
         assert (row.subs + row.dels + row.ins, row.hits) == (edits, hits)
-        assert row.char_edits == align.char_distance(ref.strip(), hyp.strip())
+        assert row.char_edits == align.char_distances([(ref.strip(), hyp.strip())])[0]
     fanned = scoring.fan_out(selection.valid_pairs(pairs), norms)
     assert {(r.sample_idx, r.norm_type) for r in fanned.collect()} == set(want)
 
