@@ -482,7 +482,9 @@ def corpus_metric(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register
 def attach_hypotheses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shapes.pairs(spark, sf_dir)
+    rows = shapes.samples(spark, sf_dir)
+    planned = corpora.planned_samples(rows.drop("conv_id", "turn"), shapes.plan(spark))
+    return joins.attach_hypotheses(planned, shapes.cache_of(rows))
 
 
 @register

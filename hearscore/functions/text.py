@@ -125,9 +125,9 @@ def normalise(c: Column | str, norm_type: str) -> Column:
 
 def word_count(c: Column | str) -> Column:
     """Whitespace-separated words; 0 for NULL and empty text."""
-    text = strip(c)
-    gaps = F.regexp_count(text, F.lit(f"{_SPACE}+"))
-    return F.when(F.coalesce(text, F.lit("")) == "", F.lit(0)).otherwise(gaps + 1)
+    text = F.coalesce(single_spaced(c), F.lit(""))
+    spaces = F.octet_length(text) - F.octet_length(F.replace(text, F.lit(" "), F.lit("")))
+    return F.when(text == "", F.lit(0)).otherwise(spaces + 1)
 
 
 def transcript_cleanup(c: Column | str) -> Column:

@@ -53,6 +53,43 @@ def attach_hypotheses(samples: DataFrame, cache: DataFrame) -> DataFrame:
     ).drop("__dataset", "__codename", "__version", "__path")
 
 
+def attach_planned_hypotheses(samples: DataFrame, runs: DataFrame, cache: DataFrame) -> DataFrame:
+    """One row per sample and run of its split, with the same columns.
+
+    The cache is gathered per path first, one entry per run, and looked up in
+    after the join: each text is shuffled once, however many models are run.
+    """
+    wanted = runs.select("dataset", "codename", "version").distinct()
+    entry = F.struct(
+        "codename",
+        "version",
+        F.col("asr_hyp").alias("hypothesis"),
+        *(F.col(c).alias(name) for c, name in _RESOURCES.items()),
+    )
+    entries = (
+        cache.join(wanted, ["dataset", "codename", "version"], "left_semi")
+        .groupBy(F.col("dataset").alias("__dataset"), F.col("audio_path").alias("__path"))
+        .agg(F.collect_list(entry).alias("__entries"))
+    )
+    joined = samples.join(
+        entries,
+        (F.col("dataset") == F.col("__dataset"))
+        & (_path_key("audio_path", "sample_idx") == F.col("__path")),
+        "left",
+    ).join(runs, ["dataset", "subset", "split"])
+    mine = F.try_element_at(
+        F.filter(
+            "__entries",
+            lambda e: (e["codename"] == F.col("codename")) & (e["version"] == F.col("version")),
+        ),
+        F.lit(1),
+    )
+    found = joined.withColumn("__entry", mine)
+    kept = [c for c in found.columns if not c.startswith("__")]
+    values = ["hypothesis", *_RESOURCES.values()]
+    return found.select(*kept, *(F.col(f"__entry.{c}").alias(c) for c in values))
+
+
 def attach_metadata(
     metrics: DataFrame,
     eval_input: DataFrame,

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from hearscore.functions.rates import METRICS, resolve_metrics
 from hearscore.functions.text import check_norm_types
 from hearscore.operators.joins import (
-    attach_hypotheses,
+    attach_planned_hypotheses,
     latest_hypotheses,
     pending_work,
 )
@@ -21,7 +21,7 @@ from hearscore.operators.summary import group_summary, sort_summary
 from hearscore.operators.transcribe import Transcriber, cache_rows, transcribe_batch
 from hearscore.schema import RESOURCES, SAMPLE
 from hearscore.session import scan_tasks, stage
-from hearscore.sources.corpora import planned_samples
+from hearscore.sources.corpora import planned_runs, planned_samples
 from hearscore.sources.store import dated_path, materialize_groups
 from hearscore.sources.tsv import sink_tsv
 
@@ -72,7 +72,7 @@ def eval_input(
     """Planned samples with their hypotheses and costs."""
     known = [c for c in metadata_columns if c in samples.columns]
     kept = samples.select(*dict.fromkeys([*SAMPLE.names, *known]))
-    joined = attach_hypotheses(planned_samples(kept, plan), cache)
+    joined = attach_planned_hypotheses(kept, planned_runs(plan), cache)
     order = [*SAMPLE.names[:5], "provider", "model", "version", "codename", *known]
     return joined.select(*dict.fromkeys(order), "text", "hypothesis", *RESOURCES.names)
 
@@ -92,7 +92,9 @@ def prepare_eval_input(
         todo = plan.join(groups, GROUPS, "left_semi")
         return eval_input(samples, todo, cache, job.metadata_columns)
 
-    return materialize_groups(spark, job.path("eval_input"), plan, compute, GROUPS, force=force)
+    return materialize_groups(
+        spark, job.path("eval_input"), plan, compute, GROUPS, force=force, rebalance=True
+    )
 
 
 def sample_results(

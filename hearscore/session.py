@@ -65,6 +65,15 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def drop_stages(spark: SparkSession) -> None:
+    """Delete the stage tables of this application: after what was made from
+    them is stored."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(
+        f"{shared_dir(spark)}/hearscore/{spark.sparkContext.applicationId}"
+    )
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def scan_tasks(table: DataFrame) -> int | None:
     """Tasks to spread a stored table over before CPU-heavy work.
 

@@ -38,11 +38,15 @@ def union_corpora(*corpora: DataFrame) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), corpora)
 
 
+def planned_runs(plan: DataFrame) -> DataFrame:
+    """Every (dataset, subset, split) with the models it is planned for."""
+    runs = plan.select(
+        "dataset", "subset", "split", "provider", "model", "version", "codename"
+    )
+    return runs.distinct() if "norm_type" in plan.columns else runs
+
+
 def planned_samples(samples: DataFrame, plan: DataFrame) -> DataFrame:
     """Samples of every planned (dataset, subset, split), once per model of
     the plan: with ``provider, model, version, codename``."""
-    columns = ["dataset", "subset", "split", "provider", "model", "version", "codename"]
-    runs = plan.select(*columns)
-    if "norm_type" in plan.columns:
-        runs = runs.distinct()
-    return samples.join(runs, columns[:3])
+    return samples.join(planned_runs(plan), ["dataset", "subset", "split"])

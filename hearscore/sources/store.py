@@ -50,18 +50,25 @@ def materialize_groups(
     keys: Sequence[str],
     *,
     force: bool = False,
+    rebalance: bool = False,
 ) -> DataFrame:
     """The same per group: only groups of ``wanted`` (a table of ``keys``)
     that are not stored yet are computed, and only their directories are
-    written."""
+    written.
+
+    ``rebalance`` gathers the rows of a group before they are written, for
+    results that come in no order: few files per directory, and a large
+    group is still split over several tasks.
+    """
     asked = stage(wanted.select(*keys).distinct(), "groups")
     groups = asked
     found = None if force else stored(spark, path)
     if found is not None:
         groups = asked.join(found.select(*keys).distinct(), list(keys), "left_anti")
     if found is None or not groups.isEmpty():
+        table = compute(groups)
         (
-            compute(groups)
+            (table.hint("rebalance", *keys) if rebalance else table)
             .write.mode("overwrite")
             .option("partitionOverwriteMode", "dynamic")
             .partitionBy(*keys)

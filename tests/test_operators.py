@@ -223,6 +223,24 @@ def test_attach_and_pending(spark):
     assert joins.pending_work(planned, known, recreate=True).count() == 7
 
 
+def test_planned_hypotheses_are_those_of_the_plain_join(spark):
+    rows = [("d", "s", t, i, p, f"text {i}") for i, (t, p) in enumerate(
+        [("train", "a"), ("train", ""), ("test", "b"), ("test", None), ("dev", "a"), ("test", "a")])]
+    samples = spark.createDataFrame(rows, "dataset string, subset string, split string, sample_idx long, audio_path string, text string")
+    runs = spark.createDataFrame(
+        [("d", "s", t, "p", "m", v, c) for t in ("train", "test") for v in ("v1", "v2") for c in ("x", "y")],
+        "dataset string, subset string, split string, provider string, model string, version string, codename string",
+    )
+    known = spark.createDataFrame(
+        [("d", c, p, v, f"{c}{p}{v}", "p", "m", "1", 0.5, 1, None)
+         for c in ("x", "z") for p in ("a", "b", "") for v in ("v1", "v3")], CACHE)
+    plain = joins.attach_hypotheses(samples.join(runs, ["dataset", "subset", "split"]), known)
+    found = joins.attach_planned_hypotheses(samples, runs, known)
+    assert found.columns == plain.columns
+    assert sorted(map(repr, found.collect())) == sorted(map(repr, plain.collect()))
+    assert found.count() == 20 and found.filter("hypothesis is not null").count() == 3
+
+
 def test_latest_hypotheses(spark):
     rows = cache(spark, [("p", "v1", "old", "20250101"), ("p", "v1", "new", "20250103"),
                          ("p", "v2", "other", "20250102"), ("q", "v1", "x", "20250101")])
