@@ -16,7 +16,7 @@ from hearscore.operators import corpus_stats, joins, scoring, selection, summary
 from hearscore.operators.transcribe import transcribe_batch
 from hearscore.plans import profile, run_plan
 from hearscore.schema import EVAL_INPUT, SPLIT_KEYS
-from hearscore.session import stage, stage_path
+from hearscore.session import scan_tasks, stage, stage_path
 from hearscore.sources import cache as cache_files
 from hearscore.sources import corpora, store, tsv
 from hearscore.streaming import scores
@@ -34,10 +34,15 @@ def register(query: Query) -> Query:
     return query
 
 
+def _tasks(spark: SparkSession, sf_dir: str) -> int | None:
+    return scan_tasks(shapes.table(spark, sf_dir, "conversations"))
+
+
 def _clips(
     spark: SparkSession, sf_dir: str, norms: Sequence[str] = NORMS, metrics: Sequence[str] = METRICS
 ) -> DataFrame:
-    return scoring.score_clips(shapes.pairs(spark, sf_dir), norms, metrics)
+    pairs = shapes.pairs(spark, sf_dir)
+    return scoring.score_clips(pairs, norms, metrics, tasks=_tasks(spark, sf_dir))
 
 
 def _long_counts(spark: SparkSession, sf_dir: str, metrics: Sequence[str] = METRICS) -> DataFrame:
@@ -425,6 +430,8 @@ def left_trim_hypothesis(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register
 def word_alignment_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = selection.valid_pairs(shapes.pairs(spark, sf_dir))
+    tasks = _tasks(spark, sf_dir)
+    rows = rows.repartition(tasks) if tasks else rows
     counts = align.edit_counts("text", "hypothesis", chars=False)
     return rows.withColumn("c", counts).select(
         "codename", "sample_idx", *(F.col(f"c.{n}").alias(n) for n in rates.WORD_COUNTS)
@@ -746,7 +753,9 @@ def streaming_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = stage_path(spark, "stream_scores")
     rows = shapes.samples_of(_stream(spark, sf_dir, "conversations", _CONVERSATIONS))
     pairs = shapes.stream_pairs(rows)
-    query = scores.stream_scores(pairs, path, f"{path}-progress", ["all"], METRICS)
+    query = scores.stream_scores(
+        pairs, path, f"{path}-progress", ["all"], METRICS, tasks=_tasks(spark, sf_dir)
+    )
     query.awaitTermination()
     pooled = scores.latest_batch(spark, path).drop("dataset", "version")
     return rates.with_percents(pooled, {m: rates.rate(m) for m in METRICS})

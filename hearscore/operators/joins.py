@@ -77,17 +77,16 @@ def attach_planned_hypotheses(samples: DataFrame, runs: DataFrame, cache: DataFr
         & (_path_key("audio_path", "sample_idx") == F.col("__path")),
         "left",
     ).join(runs, ["dataset", "subset", "split"])
-    mine = F.try_element_at(
-        F.filter(
-            "__entries",
-            lambda e: (e["codename"] == F.col("codename")) & (e["version"] == F.col("version")),
-        ),
-        F.lit(1),
+    mine = F.filter(
+        "__entries",
+        lambda e: (e["codename"] == F.col("codename")) & (e["version"] == F.col("version")),
+    )
+    values = F.transform(
+        mine, lambda e: F.struct(*(e[c].alias(c) for c in ("hypothesis", *_RESOURCES.values())))
+    )
+    return joined.select(
+        *(c for c in joined.columns if not c.startswith("__")), F.inline_outer(values)
     )
-    found = joined.withColumn("__entry", mine)
-    kept = [c for c in found.columns if not c.startswith("__")]
-    values = ["hypothesis", *_RESOURCES.values()]
-    return found.select(*kept, *(F.col(f"__entry.{c}").alias(c) for c in values))
 
 
 def attach_metadata(

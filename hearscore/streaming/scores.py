@@ -64,11 +64,13 @@ def stream_scores(
     metrics: Sequence[str],
     *,
     keys: Sequence[str] = RUN_KEYS,
+    tasks: int | None = None,
     available_now: bool = True,
 ) -> StreamingQuery:
     """Score arriving pairs and keep the pooled counts of every group up to
-    date (counts add up, so order and batching do not matter)."""
-    clips = score_clips(eval_input, norm_types, metrics)
+    date (counts add up, so order and batching do not matter).  ``tasks``
+    spreads batches that arrive in few files."""
+    clips = score_clips(eval_input, norm_types, metrics, tasks=tasks)
     pooled = corpus_counts(clips, norm_types, metrics, keys)
 
     def write(batch: DataFrame, batch_id: int) -> None:
