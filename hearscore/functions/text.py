@@ -43,6 +43,11 @@ def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` evaluated once, however often it is used."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def strip(c: Column | str) -> Column:
     """Remove Unicode whitespace from both ends."""
     return F.trim(_col(c), F.lit(_SPACES))
@@ -85,14 +90,19 @@ def norm_tags(c: Column | str, tags: Sequence[str] = DEFAULT_TAGS) -> Column:
 
     Words are taken apart only in texts that contain a tag somewhere.
     """
-    lowered = [tag.lower() for tag in tags]
+    lowered = [F.lit(tag.lower()) for tag in tags]
 
     def has_tag(text: Column) -> Column:
-        low = F.lower(text)
-        return reduce(lambda a, b: a | b, [F.contains(low, F.lit(t)) for t in lowered], F.lit(False))
+        return _once(
+            F.lower(text),
+            lambda low: reduce(lambda a, b: a | b, (F.contains(low, t) for t in lowered), F.lit(False)),
+        )
+
+    def clean(text: Column) -> Column:
+        words = F.filter(split_words(text), lambda w: ~has_tag(w))
+        return F.when(has_tag(text), F.array_join(words, " ")).otherwise(single_spaced(text))
 
-    without = F.array_join(F.filter(split_words(c), lambda w: ~has_tag(w)), " ")
-    return F.when(has_tag(_col(c)), without).otherwise(single_spaced(c))
+    return _once(_col(c), clean)
 
 
 def norm_all(c: Column | str) -> Column:
