@@ -129,9 +129,13 @@ def run_plan(
     models: DataFrame, corpora: DataFrame, norm_types: Sequence[str] | None = None
 ) -> DataFrame:
     """Every model on every (dataset, subset, split), and on every
-    normalisation if given.  This grid is the result, and it is as small as
-    the configuration it comes from."""
-    grid = models.crossJoin(corpora)
+    normalisation if given.
+
+    The corpora, as few as the configuration names, are a list that every
+    model row spreads over.
+    """
+    splits = F.collect_list(F.struct("dataset", "subset", "split"))
+    grid = models.select("*", F.inline(corpora.agg(splits).scalar()))
     if norm_types is None:
         return grid
     names = F.array(*(F.lit(n) for n in check_norm_types(norm_types)))

@@ -68,7 +68,9 @@ def cache_line(all_versions: Column | str = "versions") -> Column:
 
 def cache_lines(cache: DataFrame) -> DataFrame:
     """``dataset, codename, value``: one JSON line per path.  A path has as
-    many entries as it has versions, which is a handful."""
+    many entries as it has versions, which is a handful: of repeated writes
+    only the last one is taken along."""
+    cache = latest_hypotheses(cache.select(*CACHE.names), ["hyp_gen_date"])
     value = F.struct(*(F.col(c).alias(c) for c in CACHE_VALUE.names))
     entries = F.array_sort(F.collect_list(F.struct(F.col("version").alias("k"), value.alias("v"))))
     return (

@@ -157,7 +157,7 @@ def save_statistics(
     combined = combined_json(documents, grand).withColumn("file", F.lit("combined_statistics"))
     (
         fresh.unionByName(combined)
-        .coalesce(1)
+        .repartition("file")
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy("file")

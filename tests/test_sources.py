@@ -84,7 +84,7 @@ def _wav(path, frames, rate, before=b""):
         clip.writeframes(b"\0\0" * frames)
     if before:  # a chunk ahead of the samples
         data = Path(path).read_bytes()
-        chunk = b"LIST" + len(before).to_bytes(4, "little") + before
+        chunk = b"LIST" + len(before).to_bytes(4, "little") + before + b"\0" * (len(before) % 2)
         body = data[12:36] + chunk + data[36:]
         Path(path).write_bytes(b"RIFF" + (len(body) + 4).to_bytes(4, "little") + b"WAVE" + body)
 
@@ -192,3 +192,21 @@ def test_stage_uses_the_shared_folder(spark):
     assert df.count() == 5
     assert all(shared_dir(spark) in f for f in df.inputFiles())
     assert scan_tasks(df) == 16
+
+
+def test_repeated_writes_become_one_line(spark):
+    rows = [("d", "c", "a.wav", "v1", f"w{i}", "p", "m", f"2025010{i}", None, None, None) for i in range(5)]
+    lines = cache_files.cache_lines(spark.createDataFrame(rows, CACHE)).collect()
+    assert [json.loads(r.value)["a.wav"]["v1"]["asr_hyp"] for r in lines] == ["w4"]
+
+
+def test_many_chunks_before_the_samples(spark, tmp_path):
+    _wav(tmp_path / "a.wav", 1000, 1000, before=b"x" * 27)
+    data = (tmp_path / "a.wav").read_bytes()
+    chunk = b"junk" + (3).to_bytes(4, "little") + b"data"
+    body = data[12:36] + chunk * 40 + data[36:]
+    (tmp_path / "b.wav").write_bytes(b"RIFF" + (len(body) + 4).to_bytes(4, "little") + b"WAVE" + body)
+    (tmp_path / "c.wav").write_bytes(data[:30])
+    (tmp_path / "d.wav").write_bytes(b"")
+    found = {Path(r.path).name: r.audio_duration for r in audio.audio_manifest(spark, str(tmp_path)).collect()}
+    assert found["b.wav"] == 1.0 and found["c.wav"] == 0.0 and found.get("d.wav", 0.0) == 0.0
