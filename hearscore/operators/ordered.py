@@ -16,6 +16,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from hearscore.session import stage
+
 BITS = 18
 
 
@@ -104,6 +106,9 @@ def lowest_rows(
         .filter(F.col("__left") > 0)
         .select(*(F.col(k).alias(f"__k_{k}") for k in keys), F.col("__b").alias("__kb"), "__left")
     )
+    # Stored, its size is known: the planner broadcasts it if it is small, and
+    # only the rows that are kept are shuffled.
+    wanted = stage(wanted, "wanted_buckets")
     same = reduce(
         lambda a, b: a & b,
         [F.col(k).eqNullSafe(F.col(f"__k_{k}")) for k in keys],
