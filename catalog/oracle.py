@@ -308,7 +308,7 @@ _STRESSED = (
 _PROFILED = [
     (
         "rows0",
-        "select case when lang = 'fr' then 'BIGOS-fr' else lang end dataset, source subset, "
+        "select case when lang = 'fr' then 'Withheld-fr' else lang end dataset, source subset, "
         "['train', 'validation', 'test'][doc_id % 3 + 1] split, "
         "case when not (lang = 'fr' and doc_id % 6 = 2) then text end text, "
         "len(embedding[1:doc_id % 64])::double / 8 secs "
@@ -322,7 +322,7 @@ _PROFILED = [
     (
         "rows2",
         "select *, case when duration > 0 then duration end d, case when not "
-        "(contains(lower(dataset), 'bigos') and split = 'test' and words = 0) then words end counted "
+        "(contains(lower(dataset), 'withheld') and split = 'test' and words = 0) then words end counted "
         "from rows1",
     ),
     (

@@ -139,7 +139,8 @@ def sink_hyp_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _profile(spark: SparkSession, sf_dir: str) -> profile.Profile:
     rows = shapes.profiled(spark, sf_dir)
     planned = profile.planned_splits(rows, ["train", "validation", "test", "dev"])
-    return profile.profile_corpus(rows, planned)
+    rule = corpus_stats.exclude_empty_transcripts("withheld")
+    return profile.profile_corpus(rows, planned, exclude=rule)
 
 
 @register
@@ -625,13 +626,14 @@ def run_success_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register
 def summary_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = _profile(spark, sf_dir)
+    splits, datasets = _rounded(found.splits, 6), _rounded(found.datasets, 6)
     per_split = corpus_stats.summary_report(
-        found.splits.withColumn("entry_name", F.concat_ws(" ", "dataset", "split_key")),
+        splits.withColumn("entry_name", F.concat_ws(" ", "dataset", "split_key")),
         "entry_name",
         "audio_hours",
     )
     return per_split.unionByName(
-        corpus_stats.summary_report(found.datasets, "dataset", "total_audio_hours")
+        corpus_stats.summary_report(datasets, "dataset", "total_audio_hours")
     )
 
 

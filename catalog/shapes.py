@@ -157,7 +157,7 @@ def profiled(spark: SparkSession, sf_dir: str) -> DataFrame:
     embedding, a few are too short to count."""
     documents = spread_table(spark, sf_dir, "documents")
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    dataset = F.when(F.col("lang") == "fr", F.lit("BIGOS-fr")).otherwise(F.col("lang"))
+    dataset = F.when(F.col("lang") == "fr", F.lit("Withheld-fr")).otherwise(F.col("lang"))
     split = F.element_at(
         F.array(F.lit("train"), F.lit("validation"), F.lit("test")),
         (F.col("doc_id") % 3 + 1).cast("int"),

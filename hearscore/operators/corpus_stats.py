@@ -32,14 +32,15 @@ def sample_duration(
     return F.when(usable, round_half_even_exact(seconds)).otherwise(F.lit(0.0))
 
 
-def exclude_empty_test_transcripts(
-    marker: str = "bigos", split: str = "test"
+def exclude_empty_transcripts(
+    marker: str, split: str = "test"
 ) -> Callable[[Column, Column, Column], Column]:
-    """Rule for rows left out of the lengths of a whole dataset: transcripts
-    of ``split`` that are withheld in datasets whose name holds ``marker``."""
+    """Rule for rows left out of the lengths of a whole dataset: empty
+    transcripts of a ``split`` that is published without transcripts, in
+    datasets whose name holds ``marker`` (in any case)."""
 
     def rule(dataset: Column, split_column: Column, words: Column) -> Column:
-        return F.contains(F.lower(dataset), F.lit(marker)) & (split_column == split) & (words == 0)
+        return F.contains(F.lower(dataset), F.lit(marker.lower())) & (split_column == split) & (words == 0)
 
     return rule
 

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 from hearscore.operators.corpus_stats import (
     dataset_statistics,
-    exclude_empty_test_transcripts,
     grand_summary,
     split_moments,
     split_statistics,
@@ -42,8 +41,11 @@ def profile_corpus(
     duration: str = "duration",
     exclude: Callable[[Column, Column, Column], Column] | None = None,
 ) -> Profile:
-    """Statistics on three levels from one pass over the samples."""
-    exclude = exclude or exclude_empty_test_transcripts()
+    """Statistics on three levels from one pass over the samples.
+
+    ``exclude`` names rows that do not count for the lengths of a dataset,
+    such as ``exclude_empty_transcripts("name")``.
+    """
     moments = stage(
         split_moments(samples, text=text, duration=duration, exclude=exclude), "split_moments"
     )

@@ -256,7 +256,7 @@ def test_names_and_counts(spark):
     row = spark.range(1).select(
         text.codename(lit("openai"), lit("whisper/Small"), lit("pl-PL")).alias("code"),
         text.display_name(lit("openai"), lit("tiny")).alias("shown"),
-        text.dataset_short_name(lit("amu-cai/pl-asr")).alias("short"),
+        text.dataset_short_name(lit("hub/corpus-v2")).alias("short"),
         text.default_version(lit("2024-12-31").cast("date")).alias("version"),
         text.word_count(lit(None).cast("string")).alias("none"),
         text.word_count(lit(" a b \n c")).alias("three"),
@@ -265,6 +265,6 @@ def test_names_and_counts(spark):
         text.hypothesis_or_sentinel(lit(None).cast("string")).alias("invalid"),
     ).first()
     assert tuple(row) == (
-        "openai_whisper_small_pl-pl", "OPENAI - TINY", "pl-asr", "2024Q4", 0, 3, "a ", "EMPTY",
+        "openai_whisper_small_pl-pl", "OPENAI - TINY", "corpus-v2", "2024Q4", 0, 3, "a ", "EMPTY",
         "INVALID",
     )
