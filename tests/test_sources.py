@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from hearscore.operators import corpus_stats
 from hearscore.schema import CACHE
-from hearscore.session import scan_tasks, shared_dir, stage
+from hearscore.session import drop_stages, scan_tasks, shared_dir, stage
 from hearscore.sources import audio, corpora, store, tsv
 from hearscore.sources import cache as cache_files
 
@@ -210,3 +210,11 @@ def test_many_chunks_before_the_samples(spark, tmp_path):
     (tmp_path / "d.wav").write_bytes(b"")
     found = {Path(r.path).name: r.audio_duration for r in audio.audio_manifest(spark, str(tmp_path)).collect()}
     assert found["b.wav"] == 1.0 and found["c.wav"] == 0.0 and found.get("d.wav", 0.0) == 0.0
+
+
+def test_stages_can_be_dropped(spark):
+    path = Path(stage(spark.range(3), "gone").inputFiles()[0].removeprefix("file:").replace("//", ""))
+    assert path.exists()
+    drop_stages(spark)
+    assert not path.exists()
+    assert stage(spark.range(3), "new").count() == 3
