@@ -2,9 +2,11 @@ import compare
 import pytest
 
 import __spark_entry__ as entry
+from catalog import oracle
+from catalog import queries as catalogue
 
 SF = "/root/testdata/sf0.001"
-SQL = entry.oracle_sql()
+SQL = oracle.statements()
 
 
 @pytest.fixture(scope="module")
@@ -13,12 +15,12 @@ def con():
 
 
 def test_every_query_has_sql():
-    assert set(entry.queries()) == set(SQL)
+    assert set(catalogue.QUERIES) == set(SQL)
 
 
-@pytest.mark.parametrize("name", list(entry.queries()))
+@pytest.mark.parametrize("name", list(catalogue.QUERIES))
 def test_query_agrees_with_sql(spark, con, name):
-    assert compare.mismatch(spark, con, entry.queries()[name], SQL[name], SF) is None
+    assert compare.mismatch(spark, con, catalogue.QUERIES[name], SQL[name], SF) is None
 
 
 def test_entry(spark):
