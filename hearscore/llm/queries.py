@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hearscore.llm import jaccard, language, neighbours, pii, quality, substring
+from hearscore.llm import jaccard, language, neighbours, packing, pieces, pii, quality, substring
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -87,3 +87,20 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     base = F.sha2(pii.written(F.col("base")), 256).alias("base_sha256")
     return found.select("doc_id", *map(count, pii.BASE), base, pii.written(F.col("spans")).alias("spans"))
+
+
+def piece_model() -> bytes:
+    import public_tokenizers
+
+    return pieces.read_model(public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@register
+def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = pieces.round_trip(table(spark, sf_dir, "documents"), piece_model())
+    return coded.select("doc_id", F.size("ids").alias("n_ids"), "ids", "lossless")
+
+
+@register
+def op10_packed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), piece_model())
