@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hearscore.llm import jaccard, language, neighbours, packing, pieces, pii, quality, substring
+from hearscore.llm import decontaminate, jaccard, language, neighbours, packing, pieces, pii, quality, substring
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -104,3 +104,23 @@ def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register
 def op10_packed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), piece_model())
+
+
+def decontaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """Figures of every document: contaminated if a twentieth of its words or
+    more lie in windows of test items."""
+    found = decontaminate.search(docs, items).withColumn("n_hit", F.size("hits").cast("long"))
+    return found.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        ((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"),
+        F.size("near").cast("long").alias("n_near_items"),
+    )
+
+
+@register
+def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
