@@ -167,8 +167,12 @@ def _set_rows(shingle: int):
                 sets = [hashes[a:b].tobytes() for a, b in zip(offsets[:-1], offsets[1:])]
                 own = _signatures(hashes, offsets).view(np.int64) == part.column("class").to_numpy()
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("class"), part.column("cluster"), pa.array(np.diff(offsets)), pa.array(sets, pa.binary())],
-                    names=["class", "cluster", "n", "shingles"],
+                    [
+                        *(part.column(c) for c in ("class", "cluster", "blocks", "block")),
+                        pa.array(np.diff(offsets)),
+                        pa.array(sets, pa.binary()),
+                    ],
+                    names=["class", "cluster", "blocks", "block", "n", "shingles"],
                 ).filter(pa.array(own))  # an id may have several texts
 
     return rows
@@ -246,6 +250,37 @@ def _multiply(rows: DataFrame, similarity: int) -> DataFrame:
     )
 
 
+def _strays(large: DataFrame, sets: DataFrame, first: DataFrame, binned, similarity: int) -> DataFrame:
+    """Links of what the first products left unconnected in large clusters:
+    of each cluster, the rows outside the component with most rows, in blocks
+    of their own, times all its blocks."""
+    joined = components(first).toDF("class", "joined")
+    large = stage(large.join(joined, "class", "left").withColumn("joined", F.coalesce("joined", "class")), "joined")
+    main = stage(
+        large.groupBy("cluster", "joined")
+        .agg(F.count("*").alias("rows"), F.sum("n").alias("mass"))
+        .groupBy("cluster")
+        .agg(
+            F.max_by("joined", F.struct("rows", "joined")).alias("main"),
+            (F.sum("rows") - F.max("rows")).alias("strays"),
+            (F.sum("mass") - F.max_by("mass", F.struct("rows", "joined"))).alias("mass"),
+        )
+        .filter("strays > 0")
+        .select("cluster", "main", F.greatest(F.ceil(F.col("strays") / _ROWS), F.ceil(F.col("mass") / _MASS)).alias("cuts")),
+        "main_parts",
+    )
+    rows = large.join(main, "cluster").withColumn("stray", F.col("joined") != F.col("main"))
+    zero = F.lit(0).cast("long")
+    every = rows.withColumn("one", F.explode(F.sequence(zero, F.col("cuts") - 1))).withColumn("two", F.col("block"))
+    strays = (
+        rows.filter("stray")
+        .withColumn("one", F.pmod(F.xxhash64("class", F.lit(1)), F.col("cuts")))
+        .withColumn("two", F.explode(F.sequence(zero, F.col("blocks") - 1)))
+    )
+    pairs = every.select("class", "one", "two").union(strays.select("class", "one", "two"))
+    return _multiply(binned(sets.join(pairs, "class")), similarity)
+
+
 def link(docs: DataFrame, shingle: int = SHINGLE, similarity: int = SIMILARITY) -> DataFrame:
     """``doc_id, n_shingles, component_id`` for every row of ``docs``.
 
@@ -261,7 +296,11 @@ def link(docs: DataFrame, shingle: int = SHINGLE, similarity: int = SIMILARITY)
     )
     members = rows.filter("part IS NULL").select("doc_id", "class", "n")
     parts = rows.filter("part IS NOT NULL").select("class", "part")
-    classes = members.filter("class IS NOT NULL AND doc_id IS NOT NULL").groupBy("class").agg(F.min("doc_id").alias("doc_id"))
+    classes = (
+        members.filter("class IS NOT NULL AND doc_id IS NOT NULL")
+        .groupBy("class")
+        .agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"))
+    )
 
     agreeing = stage(
         parts.groupBy("part").agg(F.min("class").alias("hub"), F.max("class").alias("last")).filter("hub < last").drop("last"),
@@ -270,58 +309,42 @@ def link(docs: DataFrame, shingle: int = SHINGLE, similarity: int = SIMILARITY)
     stars = parts.join(agreeing, "part").filter("class > hub").select(F.col("hub").alias("a"), F.col("class").alias("b")).distinct()
     clusters = stage(components(stage(stars, "stars")).toDF("class", "cluster"), "clusters")
 
-    wanted = clusters.join(classes, "class")
-    sets = stage(docs.join(wanted, "doc_id").mapInArrow(_set_rows(shingle), "class long, cluster long, n long, shingles binary"), "sets")
-    size = (
-        sets.groupBy("cluster")
-        .agg(F.countDistinct("class").alias("rows"), F.sum("n").alias("mass"))
-        .withColumn("blocks", F.greatest(F.ceil(F.col("rows") / _ROWS), F.ceil(F.col("mass") / _MASS)))
+    # What is cut and paired are rows without shingles; those come last.
+    size = stage(
+        clusters.join(classes, "class")
+        .groupBy("cluster")
+        .agg(F.count("*").alias("rows"), F.sum("n").alias("mass"))
+        .withColumn("blocks", F.greatest(F.ceil(F.col("rows") / _ROWS), F.ceil(F.col("mass") / _MASS))),
+        "cluster_sizes",
     )
-    bins = F.greatest(F.lit(1), F.ceil(F.sum("mass") / _MASS)).alias("bins")
-    n_bins = size.agg(bins).first()["bins"] or 1
-    sized = stage(
-        sets.join(stage(size.select("cluster", "blocks"), "cluster_sizes"), "cluster").withColumn(
-            "block", F.pmod(F.xxhash64("class"), F.col("blocks"))
-        ),
+    n_bins = size.agg(F.ceil(F.sum("mass") / _MASS)).first()[0] or 1
+    placed = stage(
+        clusters.join(classes, "class")
+        .join(size.select("cluster", "blocks"), "cluster")
+        .withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks"))),
         "row_blocks",
     )
+    sets = stage(
+        docs.join(placed.select("doc_id", "class", "cluster", "blocks", "block"), "doc_id").mapInArrow(
+            _set_rows(shingle), "class long, cluster long, blocks long, block long, n long, shingles binary"
+        ),
+        "sets",
+    )
 
     def binned(df: DataFrame) -> DataFrame:
-        small = F.pmod(F.xxhash64("cluster"), F.lit(n_bins))
-        return df.withColumn(
-            "bin", F.when(F.col("blocks") == 1, F.concat(F.lit("s"), small)).otherwise(F.concat_ws("-", "cluster", "one", "two"))
-        )
+        small = F.concat(F.lit("s"), F.pmod(F.xxhash64("cluster"), F.lit(n_bins)))
+        return df.withColumn("bin", F.when(F.col("blocks") == 1, small).otherwise(F.concat_ws("-", "cluster", "one", "two")))
 
     # Every block with the first one; that includes the pairs within both.
-    others = F.when(F.col("block") > 0, F.array("block")).otherwise(
-        F.sequence(F.least(F.lit(1), F.col("blocks") - 1), F.col("blocks") - 1)
-    )
-    first = _multiply(binned(sized.withColumn("one", F.lit(0)).withColumn("two", F.explode(others))), similarity)
-    joined = stage(components(first).toDF("class", "joined"), "joined")
-    large = sized.filter("blocks > 1").join(joined, "class", "left").withColumn("joined", F.coalesce("joined", "class"))
-    # Of each large cluster, the component with most rows; the rest are strays.
-    per = large.groupBy("cluster", "joined").agg(F.count("*").alias("rows"))
-    main = stage(per.groupBy("cluster").agg(F.max_by("joined", F.struct("rows", "joined")).alias("main"), F.count("*").alias("left")).filter("left > 1"), "main_parts")
-    large = large.join(main, "cluster").withColumn("stray", F.col("joined") != F.col("main"))
-    stray_blocks = large.filter("stray").groupBy("cluster").agg(F.count("*").alias("strays"), F.sum("n").alias("stray_mass"))
-    stray_blocks = stage(
-        stray_blocks.select("cluster", F.greatest(F.ceil(F.col("strays") / _ROWS), F.ceil(F.col("stray_mass") / _MASS)).alias("stray_blocks")),
-        "stray_blocks",
-    )
-    large = large.join(stray_blocks, "cluster").withColumn("stray_block", F.pmod(F.xxhash64("class", F.lit(1)), F.col("stray_blocks")))
-    columns = ["class", "cluster", "n", "shingles", "blocks", "one", "two"]
-    zero = F.lit(0).cast("long")
-    every = large.withColumn("one", F.explode(F.sequence(zero, F.col("stray_blocks") - 1))).withColumn(
-        "two", F.col("block")
-    )
-    strays = (
-        large.filter("stray")
-        .withColumn("one", F.col("stray_block"))
-        .withColumn("two", F.explode(F.sequence(zero, F.col("blocks") - 1)))
-    )
-    second = _multiply(binned(every.select(*columns).union(strays.select(*columns))), similarity)
-
-    linked = components(first.union(second)).toDF("class", "root")
+    last = F.col("blocks") - 1
+    others = F.when(F.col("block") > 0, F.array("block")).otherwise(F.sequence(F.least(F.lit(1), last), last))
+    first = _multiply(binned(sets.withColumn("one", F.lit(0)).withColumn("two", F.explode(others))), similarity)
+
+    links = first
+    large = placed.filter("blocks > 1")
+    if not large.isEmpty():
+        links = first.union(_strays(large, sets, first, binned, similarity))
+    linked = components(links).toDF("class", "root")
     found = classes.join(linked, "class", "left").withColumn("root", F.coalesce("root", "class"))
     least = stage(found.groupBy("root").agg(F.min("doc_id").alias("component_id")), "least_documents")
     by_class = stage(found.join(least, "root").select("class", "component_id"), "class_components")
