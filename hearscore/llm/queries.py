@@ -12,7 +12,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hearscore.llm import decontaminate, jaccard, language, neighbours, packing, pieces, pii, quality, substring
+from hearscore.llm import (
+    decontaminate,
+    jaccard,
+    language,
+    neighbours,
+    packing,
+    perplexity,
+    pieces,
+    pii,
+    quality,
+    substring,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -124,3 +135,8 @@ def decontaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
 @register
 def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@register
+def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return perplexity.score(table(spark, sf_dir, "documents"), left_over(10, 0))
