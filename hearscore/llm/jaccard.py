@@ -353,3 +353,10 @@ def link(docs: DataFrame, shingle: int = SHINGLE, similarity: int = SIMILARITY)
         F.col("n").alias("n_shingles"),
         F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"),
     )
+
+
+def distinct(docs: DataFrame, shingle: int = SHINGLE, similarity: int = SIMILARITY) -> DataFrame:
+    """The rows of ``docs``, with all their columns, but of each group of
+    linked documents only that with the smallest ``doc_id``."""
+    others = link(docs, shingle, similarity).filter("component_id < doc_id").select("doc_id").distinct()
+    return docs.join(others, "doc_id", "left_anti")

@@ -307,3 +307,23 @@ def redact(text: Column, spans: Column) -> Column:
         lambda s: F.concat(F.array_join(s["out"], ""), F.substr(text, s["at"] + 1)),
     )
     return F.when(F.size(spans) > 0, done).otherwise(text)
+
+
+def redacted(docs: DataFrame) -> DataFrame:
+    """``docs`` with all spans of their texts replaced by ``[kind]``; a column
+    ``n_chars`` follows the text."""
+    found = (
+        find(docs)
+        .filter(F.size("spans") > 0)
+        .dropDuplicates(["doc_id", "hash"])
+        .select(F.col("doc_id").alias("__id"), F.col("hash").alias("__hash"), F.col("spans").alias("__spans"))
+    )
+    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__hash"))
+    text = F.when(F.col("__spans").isNull(), F.col("text")).otherwise(redact(F.col("text"), F.col("__spans")))
+    # In a step of its own: within lambdas, a name is that of the new column.
+    rows = docs.join(found, same, "left").withColumn("__text", text)
+    new = {"text": F.col("__text")}
+    if "n_chars" in docs.columns:
+        length = F.char_length("__text").cast("long")
+        new["n_chars"] = F.when(F.col("__spans").isNotNull(), length).otherwise(F.col("n_chars"))
+    return rows.select(*(new.get(c, F.col(c)).alias(c) for c in docs.columns))

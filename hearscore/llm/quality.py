@@ -200,3 +200,16 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                 )
 
     return docs.select("doc_id", "text").mapInArrow(rows, "doc_id long, score double")
+
+
+def select(docs: DataFrame, model: Model, least: float) -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose score is at least
+    ``least``."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in W.slices(batch, "text"):
+                yield part.filter(pa.array(shared.value.score(part.column("text")) >= least))
+
+    return docs.mapInArrow(rows, docs.schema)
