@@ -16,7 +16,7 @@ from catalog import queries, shapes
 from hearscore.functions import rates
 from hearscore.operators import scoring
 from hearscore.plans.evaluate import sample_results
-from hearscore.session import build_session, scan_tasks
+from hearscore.session import build_session
 
 SF_DIR = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = os.environ.get("BENCH_CPUS", str(os.cpu_count()))
@@ -26,16 +26,14 @@ METRICS = list(rates.METRICS)
 
 def corpus(metrics):
     def query(spark, sf_dir):
-        tasks = scan_tasks(shapes.table(spark, sf_dir, "conversations"))
-        clips = scoring.score_clips(shapes.pairs(spark, sf_dir), NORMS, metrics, tasks=tasks)
+        clips = scoring.score_clips(shapes.pairs(spark, sf_dir), NORMS, metrics, tasks=shapes.TASKS)
         return scoring.corpus_metrics(clips, NORMS, metrics)
 
     return query
 
 
 def results_table(spark, sf_dir):
-    tasks = scan_tasks(shapes.table(spark, sf_dir, "conversations"))
-    return sample_results(shapes.pairs(spark, sf_dir), NORMS, METRICS, tasks=tasks)
+    return sample_results(shapes.pairs(spark, sf_dir), NORMS, METRICS, tasks=shapes.TASKS)
 
 
 HEADLINE = {

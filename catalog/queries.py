@@ -16,7 +16,7 @@ from hearscore.operators import corpus_stats, joins, scoring, selection, summary
 from hearscore.operators.transcribe import transcribe_batch
 from hearscore.plans import profile, run_plan
 from hearscore.schema import EVAL_INPUT, SPLIT_KEYS
-from hearscore.session import scan_tasks, stage, stage_path
+from hearscore.session import stage, stage_path
 from hearscore.sources import cache as cache_files
 from hearscore.sources import corpora, store, tsv
 from hearscore.streaming import scores
@@ -34,15 +34,11 @@ def register(query: Query) -> Query:
     return query
 
 
-def _tasks(spark: SparkSession, sf_dir: str) -> int | None:
-    return scan_tasks(shapes.table(spark, sf_dir, "conversations"))
-
-
 def _clips(
     spark: SparkSession, sf_dir: str, norms: Sequence[str] = NORMS, metrics: Sequence[str] = METRICS
 ) -> DataFrame:
     pairs = shapes.pairs(spark, sf_dir)
-    return scoring.score_clips(pairs, norms, metrics, tasks=_tasks(spark, sf_dir))
+    return scoring.score_clips(pairs, norms, metrics, tasks=shapes.TASKS)
 
 
 def _long_counts(spark: SparkSession, sf_dir: str, metrics: Sequence[str] = METRICS) -> DataFrame:
@@ -120,9 +116,15 @@ _RESOURCES = (
 
 @register
 def scan_hyp_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cache in one JSON file per dataset and system."""
     cache = shapes.cache_of(shapes.samples(spark, sf_dir))
-    lines = cache_files.cache_lines(cache)
-    return cache_files.flatten_cache_lines(lines).select(*cache.columns)
+    path = stage_path(spark, "hyp_cache")
+    lines = cache_files.cache_lines(cache).persist()
+    for name in shapes.CODENAMES.values():
+        own = lines.filter(F.col("codename") == name).select("value")
+        own.write.text(f"{path}/conv/{name}.asr_cache.jsonl")
+    lines.unpersist()
+    return cache_files.scan_hyp_cache(spark, path)
 
 
 @register
@@ -130,10 +132,7 @@ def sink_hyp_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
     cache = shapes.cache_of(shapes.samples(spark, sf_dir))
     path = stage_path(spark, "hyp_cache")
     cache_files.sink_hyp_cache(cache, path)
-    lines = spark.read.text(path).select(
-        "value", "dataset", F.regexp_replace("file", r"\.asr_cache\.jsonl$", "").alias("codename")
-    )
-    return cache_files.flatten_cache_lines(lines).select(*cache.columns)
+    return cache_files.scan_hyp_cache(spark, path)
 
 
 def _profile(spark: SparkSession, sf_dir: str) -> profile.Profile:
@@ -431,8 +430,7 @@ def left_trim_hypothesis(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register
 def word_alignment_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = selection.valid_pairs(shapes.pairs(spark, sf_dir))
-    tasks = _tasks(spark, sf_dir)
-    rows = rows.repartition(tasks) if tasks else rows
+    rows = rows.repartition(shapes.TASKS)
     counts = align.edit_counts("text", "hypothesis", chars=False)
     return rows.withColumn("c", counts).select(
         "codename", "sample_idx", *(F.col(f"c.{n}").alias(n) for n in rates.WORD_COUNTS)
@@ -756,7 +754,7 @@ def streaming_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = shapes.samples_of(_stream(spark, sf_dir, "conversations", _CONVERSATIONS))
     pairs = shapes.stream_pairs(rows)
     query = scores.stream_scores(
-        pairs, path, f"{path}-progress", ["all"], METRICS, tasks=_tasks(spark, sf_dir)
+        pairs, path, f"{path}-progress", ["all"], METRICS, tasks=shapes.TASKS
     )
     query.awaitTermination()
     pooled = scores.latest_batch(spark, path).drop("dataset", "version")

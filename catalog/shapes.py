@@ -22,7 +22,6 @@ from hearscore.plans.run_plan import (
     run_plan,
 )
 from hearscore.schema import CACHE, SAMPLE
-from hearscore.session import scan_tasks
 
 # Fixed values: (provider, model, version, every n-th word dropped, every
 # n-th word altered).
@@ -45,11 +44,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+# The given tables are one scan task each; CPU-heavy work spreads them first.
+TASKS = 16
+
+
 def spread_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """The same over all cores: a small table is one scan task otherwise."""
-    rows = table(spark, sf_dir, name)
-    tasks = scan_tasks(rows)
-    return rows.repartition(tasks) if tasks else rows
+    return table(spark, sf_dir, name).repartition(TASKS)
 
 
 def samples_of(conversations: DataFrame) -> DataFrame:
@@ -73,7 +73,7 @@ def samples_of(conversations: DataFrame) -> DataFrame:
 
 
 def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return samples_of(spread_table(spark, sf_dir, "conversations"))
+    return samples_of(table(spark, sf_dir, "conversations"))
 
 
 def _altered(words: Column, drop: int, alter: int) -> Column:

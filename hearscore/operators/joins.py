@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from hearscore.functions.text import SENTINELS
 from hearscore.schema import CACHE_KEY
+from hearscore.session import stage
 
 _RESOURCES = {
     "elapsed_time_seconds": "resources_gen_time_seconds",
@@ -58,6 +59,10 @@ def attach_planned_hypotheses(samples: DataFrame, runs: DataFrame, cache: DataFr
 
     The cache is gathered per path first, one entry per run, and looked up in
     after the join: each text is shuffled once, however many models are run.
+    A path has as many entries as there are runs, for ``cache`` must hold one
+    row per key (``latest_hypotheses``).  The entries are a stored table: both
+    sides of the join are then shuffled for it, and a path that very many
+    samples share is split by adaptive skew-join handling.
     """
     wanted = runs.select("dataset", "codename", "version").distinct()
     entry = F.struct(
@@ -71,6 +76,7 @@ def attach_planned_hypotheses(samples: DataFrame, runs: DataFrame, cache: DataFr
         .groupBy(F.col("dataset").alias("__dataset"), F.col("audio_path").alias("__path"))
         .agg(F.collect_list(entry).alias("__entries"))
     )
+    entries = stage(entries, "hypotheses_by_path")
     joined = samples.join(
         entries,
         (F.col("dataset") == F.col("__dataset"))
@@ -116,6 +122,17 @@ def attach_metadata(
     return metrics.join(right, same, "left").drop(*(f"__{c}" for c in on))
 
 
+def attach_durations(pairs: DataFrame, durations: DataFrame) -> DataFrame:
+    """Left join to ``durations(path, audio_duration)``: 0.0 for clips without
+    an entry; of a path listed more than once, the longest."""
+    known = stage(
+        durations.groupBy(F.col("path").alias("__path")).agg(F.max("audio_duration").alias("audio_duration")),
+        "durations",
+    )
+    joined = pairs.join(known, _path_key("audio_path", "sample_idx") == F.col("__path"), "left")
+    return joined.drop("__path").fillna(0.0, ["audio_duration"])
+
+
 def pending_work(
     samples: DataFrame, cache: DataFrame, *, recreate: bool = False
 ) -> DataFrame:

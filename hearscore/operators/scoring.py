@@ -1,7 +1,7 @@
 """From eval input to edit counts and rates.
 
 One row per clip carries the counts of all normalisations side by side
-(``n_<norm>_<count>``): the texts are read, joined and shuffled once and not
+(``__n_<norm>_<count>``): the texts are read, joined and shuffled once and not
 once per normalisation.  The long form, one row per normalisation, is made at
 the end with native expressions.
 """
@@ -40,7 +40,8 @@ def fan_out(
 
 
 def count_column(norm_type: str, count: str) -> str:
-    return f"n_{norm_type}_{count}"
+    """Own column of a count; input columns have no leading underscores."""
+    return f"__n_{norm_type}_{count}"
 
 
 def counts_of(norm_type: str) -> Callable[[str], Column]:
@@ -132,8 +133,8 @@ def results(
             *(F.col(count_column(n, c)).alias(c) for c in (*wanted, *sums)),
         )
 
-    skip = {ref, hyp, "codename"}
-    kept = [c for c in clips.columns if c not in skip and not c.startswith("n_")]
+    own = {count_column(n, c) for n in norm_types for c in (*wanted, *(f"{w}_so_far" for w in wanted))}
+    kept = [c for c in clips.columns if c not in {ref, hyp, "codename", *own}]
     lead = ["dataset", "subset", "split", "sample_idx", "id", "ref_type", "norm_type", "system"]
     long = clips.select(
         *kept,
@@ -169,7 +170,7 @@ def corpus_counts(
         *(
             F.sum(count_column(n, c)).alias(count_column(n, c)) for n in norm_types for c in wanted
         ),
-        *(F.count(count_column(n, first)).alias(f"n_{n}_rows") for n in norm_types),
+        *(F.count(count_column(n, first)).alias(f"__n_{n}_rows") for n in norm_types),
     )
     return pooled.select(
         *keys,
@@ -178,7 +179,7 @@ def corpus_counts(
                 *(
                     F.struct(
                         F.lit(n).alias("norm_type"),
-                        F.col(f"n_{n}_rows").alias("sample_count"),
+                        F.col(f"__n_{n}_rows").alias("sample_count"),
                         *(counts_of(n)(c).alias(c) for c in wanted),
                     )
                     for n in norm_types

@@ -1,4 +1,4 @@
-"""Slot for a speech recogniser: one call per clip, with its cost."""
+"""Slot for a speech recogniser: one call per batch of clips, with its cost."""
 
 from __future__ import annotations
 
@@ -33,16 +33,23 @@ _RAW = T.StructType(
 )
 
 
-def _attempt(model: Transcriber, path: str) -> tuple[str | None, bool]:
-    """Text of one clip; no answer is asked for once more, an exception is a
-    failure of this clip only."""
+def _attempt(model: Transcriber, paths: Sequence[str]) -> list[tuple[str | None, bool]]:
+    """Texts of some clips and whether each failed.  Clips without an answer
+    are asked for once more; after an exception each clip is tried alone, and
+    only that which raises again has failed."""
     try:
-        (text,) = model.transcribe([path])
-        if text is None:
-            (text,) = model.transcribe([path])
-        return text, False
+        texts = list(model.transcribe(paths))
+        if len(texts) != len(paths):
+            raise ValueError(f"{len(texts)} texts for {len(paths)} clips")
+        again = [i for i, text in enumerate(texts) if text is None]
+        if again:
+            for i, text in zip(again, model.transcribe([paths[i] for i in again]), strict=True):
+                texts[i] = text
+        return [(text, False) for text in texts]
     except Exception:
-        return None, True
+        if len(paths) == 1:
+            return [(None, True)]
+        return [one for path in paths for one in _attempt(model, [path])]
 
 
 def transcribe_batch(
@@ -51,8 +58,10 @@ def transcribe_batch(
     *,
     exists: str | None = None,
     tasks: int | None = None,
+    batch_size: int = 16,
 ) -> DataFrame:
-    """Run the transcriber over pending clips.
+    """Run the transcriber over pending clips, ``batch_size`` at a time; the
+    time of a call is divided over its clips.
 
     ``load`` runs once per Python worker task, and only when there is a clip.
     ``exists`` names a BOOLEAN column; clips without a file get ``''``.
@@ -65,25 +74,20 @@ def transcribe_batch(
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model: Transcriber | None = None
         for batch in batches:
-            rows = []
+            rows: list[tuple] = [(None, True, None, None, None)] * len(batch)
             present = [True] * len(batch) if exists is None else batch[exists].fillna(False)
-            for path, there in zip(batch["audio_path"], present, strict=True):
-                if not there or not path:
-                    rows.append((None, True, None, None, None))
-                    continue
+            paths = batch["audio_path"].tolist()
+            asked = [i for i, there in enumerate(present) if there and paths[i]]
+            for start in range(0, len(asked), batch_size):
+                some = asked[start : start + batch_size]
                 if model is None:
                     model = load()
                 started = time.time()
-                text, failed = _attempt(model, path)
-                rows.append(
-                    (
-                        text,
-                        failed,
-                        round(time.time() - started, 3),
-                        getattr(model, "peak_memory", None),
-                        getattr(model, "memory_change", None),
-                    )
-                )
+                answers = _attempt(model, [paths[i] for i in some])
+                each = round((time.time() - started) / len(some), 3)
+                memory = getattr(model, "peak_memory", None), getattr(model, "memory_change", None)
+                for i, answer in zip(some, answers, strict=True):
+                    rows[i] = (*answer, each, *memory)
             made = pd.DataFrame(rows, columns=_RAW.names, index=batch.index).astype(
                 {"peak_vram_bytes": "Int64", "vram_diff_bytes": "Int64", "__failed": "bool"}
             )

@@ -4,7 +4,8 @@ eval input, compute metrics and summaries."""
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,15 +13,21 @@ from pyspark.sql import functions as F
 from hearscore.functions.rates import METRICS, resolve_metrics
 from hearscore.functions.text import check_norm_types
 from hearscore.operators.joins import (
+    apply_resolved_paths,
+    attach_durations,
     attach_planned_hypotheses,
     latest_hypotheses,
     pending_work,
+    resolve_audio_paths,
 )
 from hearscore.operators.scoring import results, score_clips, with_running_counts
+from hearscore.operators.selection import first_n_per_split
 from hearscore.operators.summary import group_summary, sort_summary
 from hearscore.operators.transcribe import Transcriber, cache_rows, transcribe_batch
-from hearscore.schema import RESOURCES, SAMPLE
-from hearscore.session import scan_tasks, stage
+from hearscore.plans.run_plan import Corpus, corpus_table
+from hearscore.schema import CACHE_KEY, RESOURCES, SAMPLE, SPLIT_KEYS
+from hearscore.session import stage
+from hearscore.sources.cache import sink_hyp_cache, stored_hyp_cache
 from hearscore.sources.corpora import planned_runs, planned_samples
 from hearscore.sources.store import dated_path, materialize_groups
 from hearscore.sources.tsv import sink_tsv
@@ -31,7 +38,10 @@ GROUPS = ["dataset", "subset", "split", "codename", "version"]
 
 @dataclass(frozen=True)
 class Evaluation:
-    """What to compute and where stages are kept."""
+    """What to compute and where stages are kept.
+
+    ``tasks`` spreads clips over that many tasks before they are scored, for
+    stored input with fewer partitions than there are cores."""
 
     name: str
     base: str
@@ -39,11 +49,29 @@ class Evaluation:
     metrics: Sequence[str] = tuple(METRICS)
     metric_mode: str = "running"
     metadata_columns: Sequence[str] = field(default_factory=tuple)
+    tasks: int | None = None
 
     def path(self, stage_name: str) -> str:
         return f"{self.base.rstrip('/')}/{stage_name}/{self.name}"
 
 
+def capped_samples(samples: DataFrame, corpora: Sequence[Corpus]) -> DataFrame:
+    """Samples of the corpora, of each split at most as many of the first as
+    its corpus allows."""
+    spark = samples.sparkSession
+    parts = []
+    for cap in dict.fromkeys(c.max_samples_per_subset for c in corpora):
+        splits = corpus_table(spark, [c for c in corpora if c.max_samples_per_subset == cap])
+        parts.append(first_n_per_split(samples.join(splits, SPLIT_KEYS, "left_semi"), cap))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def missing_clips(planned: DataFrame, cache: DataFrame, *, recreate: bool = False) -> DataFrame:
+    """Clips without a usable hypothesis, once per key; texts stay behind."""
+    rows = planned.select("dataset", "codename", "audio_path", "version", "sample_idx", "provider", "model")
+    return pending_work(rows, cache, recreate=recreate).drop("sample_idx").dropDuplicates(CACHE_KEY)
+
+
 def transcribe_missing(
     planned: DataFrame,
     cache: DataFrame,
@@ -54,12 +82,36 @@ def transcribe_missing(
     day: str | None = None,
 ) -> DataFrame:
     """New cache rows for planned samples without a usable hypothesis."""
-    todo = pending_work(planned, cache, recreate=recreate).dropDuplicates(
-        ["dataset", "codename", "version", "audio_path"]
-    )
+    todo = missing_clips(planned, cache, recreate=recreate)
     return cache_rows(transcribe_batch(todo, load, tasks=tasks), day)
 
 
+def save_missing(
+    planned: DataFrame,
+    path: str,
+    load: Callable[[], Transcriber],
+    *,
+    recreate: bool = False,
+    tasks: int | None = None,
+    batch_size: int = 16,
+    clips_per_commit: int = 100_000,
+    day: str | None = None,
+) -> None:
+    """Transcribe what the cache at ``path`` lacks and append it there.
+
+    Every ``clips_per_commit`` clips or so are a job of their own whose rows
+    are committed before the next one starts: a run that fails halfway keeps
+    them, and the next one goes on from there.
+    """
+    cache = stored_hyp_cache(planned.sparkSession, path)
+    todo = stage(missing_clips(planned, cache, recreate=recreate), "missing_clips")
+    commits = -(-todo.count() // clips_per_commit)
+    for number in range(commits):
+        mine = F.pmod(F.xxhash64(*CACHE_KEY), F.lit(commits)) == number
+        made = transcribe_batch(todo.filter(mine), load, tasks=tasks, batch_size=batch_size)
+        sink_hyp_cache(cache_rows(made, day), path, append=True)
+
+
 def merge_cache(cache: DataFrame, new: DataFrame) -> DataFrame:
     """Cache with new rows; a new row replaces the one of its key."""
     both = cache.withColumn("__new", F.lit(0)).unionByName(new.withColumn("__new", F.lit(1)))
@@ -132,10 +184,8 @@ def generate_metrics(
     without an entry get 0.0.
     """
     metrics = resolve_metrics(job.metrics)
-    tasks = scan_tasks(pairs)
     if durations is not None:
-        known = durations.select(F.col("path").alias("audio_path"), "audio_duration")
-        pairs = pairs.join(known, "audio_path", "left").fillna(0.0, ["audio_duration"])
+        pairs = attach_durations(pairs, durations)
 
     def compute(groups: DataFrame) -> DataFrame:
         chosen = pairs.join(groups, GROUPS, "left_semi")
@@ -144,7 +194,7 @@ def generate_metrics(
             job.norm_types,
             metrics,
             mode=job.metric_mode,
-            tasks=tasks,
+            tasks=job.tasks,
         )
         return table.withColumn("codename", F.col("system"))
 
@@ -169,21 +219,43 @@ def evaluate(
     job: Evaluation,
     samples: DataFrame,
     plan: DataFrame,
-    cache: DataFrame,
+    cache: DataFrame | str,
     *,
     load: Callable[[], Transcriber] | None = None,
     recreate: bool = False,
+    corpora: Sequence[Corpus] = (),
+    files: DataFrame | None = None,
+    durations: DataFrame | None = None,
     force_prepare: bool = False,
     force_metrics: bool = False,
+    **transcribing,
 ) -> tuple[DataFrame, DataFrame]:
-    """All stages; without a transcriber the first one is left out."""
+    """All stages; without a transcriber the first one is left out.
+
+    ``cache`` is a table of hypotheses, or the folder where they are kept:
+    then new ones are saved there (``save_missing``, which takes
+    ``transcribing``).  ``corpora`` caps the samples and adds metadata columns;
+    ``files(path)`` resolves audio paths first, and clips without a file are
+    not transcribed; ``durations(path, audio_duration)`` adds lengths.
+    """
+    if corpora:
+        samples = capped_samples(samples, corpora)
+        extra = [c for corpus in corpora for c in corpus.metadata_columns]
+        job = replace(job, metadata_columns=tuple(dict.fromkeys([*job.metadata_columns, *extra])))
+    if files is not None:
+        resolved = resolve_audio_paths(samples, files)
+        samples = stage(apply_resolved_paths(samples, resolved), "resolved_samples")
+    kept = cache if isinstance(cache, str) else None
     if load is not None:
-        new = stage(
-            transcribe_missing(planned_samples(samples, plan), cache, load, recreate=recreate),
-            "new_hypotheses",
-        )
-        cache = merge_cache(cache, new)
+        planned = planned_samples(samples, plan)
+        if kept is not None:
+            save_missing(planned, kept, load, recreate=recreate, **transcribing)
+        else:
+            new = transcribe_missing(planned, cache, load, recreate=recreate, **transcribing)
+            cache = merge_cache(cache, stage(new, "new_hypotheses"))
+    if kept is not None:
+        cache = stored_hyp_cache(spark, kept)
     pairs = prepare_eval_input(spark, job, samples, plan, cache, force=force_prepare)
-    return generate_metrics(spark, job, pairs, force=force_metrics)
+    return generate_metrics(spark, job, pairs, durations=durations, force=force_metrics)
 
 

@@ -26,6 +26,10 @@ class ModelGroup:
 
 @dataclass(frozen=True)
 class Corpus:
+    """Subsets and splits to evaluate.  Of each, at most the first
+    ``max_samples_per_subset`` samples (None: all); ``metadata_columns`` are
+    carried through to the results."""
+
     name: str
     subsets: Sequence[str]
     splits: Sequence[str] | str = "ALL"
@@ -131,11 +135,10 @@ def run_plan(
     """Every model on every (dataset, subset, split), and on every
     normalisation if given.
 
-    The corpora, as few as the configuration names, are a list that every
-    model row spreads over.
+    The grid is the feature: both sides are as few rows as the configuration
+    names.
     """
-    splits = F.collect_list(F.struct("dataset", "subset", "split"))
-    grid = models.select("*", F.inline(corpora.agg(splits).scalar()))
+    grid = models.crossJoin(corpora.select("dataset", "subset", "split"))
     if norm_types is None:
         return grid
     names = F.array(*(F.lit(n) for n in check_norm_types(norm_types)))

@@ -8,9 +8,6 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-# Default size of a scan partition.
-_SCAN_BYTES = 128 << 20
-
 
 def build_session(app: str = "hearscore", master: str | None = None, **conf: str) -> SparkSession:
     """Session with the settings the engine relies on: adaptive execution
@@ -72,15 +69,3 @@ def drop_stages(spark: SparkSession) -> None:
         f"{shared_dir(spark)}/hearscore/{spark.sparkContext.applicationId}"
     )
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
-def scan_tasks(table: DataFrame) -> int | None:
-    """Tasks to spread a stored table over before CPU-heavy work.
-
-    None if its scan already makes at least two tasks per core, which is so
-    for any large table; a small one would leave most cores idle.
-    """
-    spark = table.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    size = int(table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    return None if size >= 2 * cores * _SCAN_BYTES else 2 * cores

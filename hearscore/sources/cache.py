@@ -4,19 +4,33 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hearscore.operators.joins import latest_hypotheses
 from hearscore.schema import CACHE, CACHE_LINE, CACHE_VALUE
 
-# Order of lines within a file: a text scan splits files into blocks, and rows
-# of one block are numbered in order.
-LINE_ORDER = ["hyp_gen_date", "__block", "__line"]
+# Order of lines: later files after earlier ones; a text scan splits a file into
+# blocks, and rows of one block are numbered in order.
+LINE_ORDER = ["hyp_gen_date", "__written", "__block", "__line"]
 
+# A file or, as the sink writes it, a folder of files.
 _NAME = r"([^/]+)/([^/]+)\.asr_cache\.jsonl[^/]*(?:/[^/]*)?$"
 
 
+def _file_name_part(number: int) -> Column:
+    """Dataset or codename from the address of a file.  Addresses are
+    percent-encoded, names of partition folders twice."""
+
+    def decoded(part: Column) -> Column:
+        return F.url_decode(F.replace(part, F.lit("+"), F.lit("%2B")))
+
+    once = decoded(F.regexp_extract("_metadata.file_path", _NAME, number))
+    key = ("dataset=", "file=")[number - 1]
+    return F.when(F.startswith(once, F.lit(key)), decoded(F.substring(once, len(key) + 1, 1 << 20))).otherwise(once)
+
+
 def flatten_cache_lines(
     lines: DataFrame, value: Column | str = "value", *, strict: bool = True
 ) -> DataFrame:
@@ -45,12 +59,13 @@ def flatten_cache_lines(
 def scan_hyp_cache(
     spark: SparkSession, path: str | Sequence[str], *, strict: bool = True, latest: bool = True
 ) -> DataFrame:
-    """Read cache files ``<dataset>/<codename>.asr_cache.jsonl``; by default
-    the last line of a key wins."""
-    lines = spark.read.text(path if isinstance(path, str) else list(path)).select(
+    """Read cache files ``<dataset>/<codename>.asr_cache.jsonl``, or what
+    ``sink_hyp_cache`` has written; by default the last line of a key wins."""
+    lines = spark.read.option("recursiveFileLookup", True).text(path if isinstance(path, str) else list(path)).select(
         "value",
-        F.regexp_extract("_metadata.file_path", _NAME, 1).alias("dataset"),
-        F.regexp_extract("_metadata.file_path", _NAME, 2).alias("codename"),
+        _file_name_part(1).alias("dataset"),
+        _file_name_part(2).alias("codename"),
+        F.col("_metadata.file_modification_time").alias("__written"),
         F.col("_metadata.file_block_start").alias("__block"),
         F.monotonically_increasing_id().alias("__line"),
     )
@@ -80,11 +95,22 @@ def cache_lines(cache: DataFrame) -> DataFrame:
     )
 
 
-def sink_hyp_cache(cache: DataFrame, path: str) -> None:
+def stored_hyp_cache(spark: SparkSession, path: str) -> DataFrame:
+    """The cache at ``path``; empty if nothing has been written yet."""
+    try:
+        return scan_hyp_cache(spark, path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], CACHE)
+
+
+def sink_hyp_cache(cache: DataFrame, path: str, *, append: bool = False) -> None:
     """Write the lines, one directory per dataset and codename; the cost
-    fields that are NULL are left out, non-ASCII text is kept."""
+    fields that are NULL are left out, non-ASCII text is kept.  ``append``
+    adds files to what is there; of a key, the last one written is read."""
     lines = cache_lines(cache)
     named = lines.select(
         "value", "dataset", F.concat("codename", F.lit(".asr_cache.jsonl")).alias("file")
     )
-    named.write.mode("overwrite").partitionBy("dataset", "file").text(path)
+    named.write.mode("append" if append else "overwrite").partitionBy("dataset", "file").text(path)

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import json
+import uuid
 from collections.abc import Callable, Sequence
 from datetime import UTC, datetime
+from functools import reduce
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from hearscore.session import stage
 
@@ -53,28 +57,45 @@ def materialize_groups(
     rebalance: bool = False,
 ) -> DataFrame:
     """The same per group: only groups of ``wanted`` (a table of ``keys``)
-    that are not stored yet are computed, and only their directories are
-    written.
+    that are not done yet are computed and written.
+
+    Beside the rows, ``<path>.groups`` lists which groups are done, groups
+    without rows included, and in which run: a forced group is written by a
+    new run, and rows of earlier runs are no longer read.  Keys keep the types
+    they have in ``wanted`` and in the computed table.
 
     ``rebalance`` gathers the rows of a group before they are written, for
     results that come in no order: few files per directory, and a large
     group is still split over several tasks.
     """
     asked = stage(wanted.select(*keys).distinct(), "groups")
+    done = stored(spark, f"{path}.groups")
     groups = asked
-    found = None if force else stored(spark, path)
-    if found is not None:
-        groups = asked.join(found.select(*keys).distinct(), list(keys), "left_anti")
-    if found is None or not groups.isEmpty():
+    if done is not None and not force:
+        groups = asked.join(done.select(*keys), [asked[k].eqNullSafe(done[k]) for k in keys], "left_anti")
+    if done is None or not groups.isEmpty():
+        run = uuid.uuid4().hex
         table = compute(groups)
+        # The run is the folder above those of the keys, so that a run that
+        # is cut short leaves nothing that would be read.
+        (table.hint("rebalance", *keys) if rebalance else table).write.partitionBy(*keys).parquet(f"{path}/run={run}")
         (
-            (table.hint("rebalance", *keys) if rebalance else table)
-            .write.mode("overwrite")
-            .option("partitionOverwriteMode", "dynamic")
-            .partitionBy(*keys)
-            .parquet(path)
+            groups.withColumn("run", F.lit(run))
+            .withColumn("schema", F.lit(table.schema.json()))
+            .withColumn("done", F.current_timestamp())
+            .coalesce(1)  # one row per group
+            .write.mode("append")
+            .parquet(f"{path}.groups")
         )
-    return spark.read.parquet(path).join(asked, list(keys), "left_semi")
+    done = spark.read.parquet(f"{path}.groups")
+    last = done.groupBy(*keys).agg(F.max(F.struct("done", "run", "schema")).alias("last"))
+    current = last.join(asked, [last[k].eqNullSafe(asked[k]) for k in keys], "left_semi")
+    schema = T.StructType.fromJson(json.loads(current.agg(F.max("last")["schema"]).first()[0]))
+    rows = spark.read.schema(T.StructType([*schema.fields, T.StructField("run", T.StringType())])).parquet(path)
+    names = {k: f"__{k}" for k in keys}
+    current = current.select(*(F.col(k).alias(n) for k, n in names.items()), F.col("last.run").alias("__run"))
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(n)) for k, n in names.items()], F.col("run") == F.col("__run"))
+    return rows.join(current, same, "left_semi").drop("run")
 
 
 def run_date() -> str:
