@@ -645,6 +645,23 @@ def statements() -> dict[str, str]:
         "samples",
     )
 
+    sql["saved_hypotheses"] = _q(
+        "select dataset, codename, version, audio_path, case when turn = 5 then 'INVALID' when turn = 6 "
+        "then 'EMPTY' else 'this is ' || audio_path end asr_hyp, '20250131' hyp_gen_date "
+        "from planned where turn <> 7",
+        "samples",
+        "runs",
+        "planned",
+    )
+    sql["capped_evaluation"] = _q(
+        "select codename as system, sample_idx, sample_idx // 100 * 10 + sample_idx % 100 n_words, "
+        "case when sample_idx % 2 = 0 then (sample_idx // 100 % 40)::double / 8 else 0 end audio_duration, "
+        "text reference, hypothesis from valid where text <> '' and hypothesis <> '' and sample_idx in "
+        "(select sample_idx from samples qualify row_number() over "
+        "(partition by dataset, subset, split order by sample_idx) <= 6)",
+        *_PAIRS,
+    )
+
     pair = ", ".join(
         f"round(avg({m}), 8) avg_{m}, round(stddev_samp({m}), 8) std_{m}" for m in METRICS
     )

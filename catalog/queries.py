@@ -4,6 +4,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,7 +15,7 @@ from catalog.stub import StubTranscriber
 from hearscore.functions import align, audio, rates, text
 from hearscore.operators import corpus_stats, joins, scoring, selection, summary
 from hearscore.operators.transcribe import transcribe_batch
-from hearscore.plans import profile, run_plan
+from hearscore.plans import evaluate, profile, run_plan
 from hearscore.schema import EVAL_INPUT, SPLIT_KEYS
 from hearscore.session import stage, stage_path
 from hearscore.sources import cache as cache_files
@@ -563,6 +564,45 @@ def transcribe(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES["transcribe_batch"] = QUERIES.pop("transcribe")
 
 
+@register
+def saved_hypotheses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Transcribe what is missing, in several commits, and read the cache."""
+    planned = corpora.planned_samples(shapes.samples(spark, sf_dir), shapes.plan(spark))
+    path = stage_path(spark, "saved_hypotheses")
+    for _ in range(2):  # the second call asks again only for what has no answer
+        evaluate.save_missing(
+            planned, path, StubTranscriber, batch_size=8, clips_per_commit=-(-planned.count() // 3), day="20250131"
+        )
+    saved = cache_files.stored_hyp_cache(spark, path)
+    return saved.select("dataset", "codename", "version", "audio_path", "asr_hyp", "hyp_gen_date")
+
+
+@register
+def capped_evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole evaluation with a cap per split, a metadata column, resolved
+    paths and durations."""
+    rows = shapes.samples(spark, sf_dir)
+    number = F.col("conv_id") * 10 + F.col("turn")
+    corpus = replace(shapes.CORPUS, max_samples_per_subset=6, metadata_columns=["n_words"])
+    job = evaluate.Evaluation(
+        "capped", stage_path(spark, "capped"), norm_types=["none"], metrics=["WER"], tasks=shapes.TASKS
+    )
+    durations = rows.filter(F.col("turn") % 2 == 0).select(
+        F.col("audio_path").alias("path"), ((F.col("conv_id") % 40).cast("double") / 8).alias("audio_duration")
+    )
+    table, _ = evaluate.evaluate(
+        spark,
+        job,
+        rows.withColumn("n_words", number),
+        shapes.plan(spark),
+        shapes.cache_of(rows),
+        corpora=[corpus],
+        files=rows.select(F.col("audio_path").alias("path")),
+        durations=durations.union(durations),
+    )
+    return table.select("system", "sample_idx", "n_words", "audio_duration", "reference", "hypothesis")
+
+
 # --- aggregations ------------------------------------------------------------
 
 

@@ -1,3 +1,6 @@
+import sys
+
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from catalog import shapes
@@ -8,6 +11,7 @@ from hearscore.schema import CACHE
 from hearscore.sources.corpora import planned_samples
 
 SF = "/root/testdata/sf0.001"
+cloudpickle.register_pickle_by_value(sys.modules[__name__])  # for the recorder, which workers can't import
 
 
 def test_transcriber_outcomes(spark):
@@ -86,3 +90,80 @@ def test_durations_join_results(spark, tmp_path):
     assert {(r.turn == 0, r.audio_duration) for r in table.select("turn", "audio_duration").collect()} == {(True, 1.5), (False, 0.0)}
     assert "avg_turn" not in summary.columns and "avg_WER" in summary.columns
     assert cache_rows(samples.withColumn("asr_hyp", F.lit("")).select("*", *(F.lit(None).cast("string").alias(c) for c in ("codename", "version", "provider", "model")), *(F.lit(None).alias(c) for c in CACHE.names[-3:]))).count() == 0
+
+
+class Recorder:
+    """Counts its calls in files, as tasks run in processes of their own."""
+
+    def __init__(self, folder, fail_after=None):
+        self.folder, self.fail_after = folder, fail_after
+
+    def __call__(self):
+        return self
+
+    def transcribe(self, paths):
+        import os
+        import uuid
+
+        if self.fail_after is not None and len(os.listdir(self.folder)) >= self.fail_after:
+            os._exit(1)
+        with open(f"{self.folder}/{uuid.uuid4().hex}", "w") as file:
+            file.write("\n".join(paths))
+        return [f"said {p}" for p in paths]
+
+    def calls(self):
+        return [p.read_text().split("\n") for p in self.folder.iterdir()]
+
+
+def _recorder(tmp_path, name, **kind):
+    folder = tmp_path / name
+    folder.mkdir()
+    return Recorder(folder, **kind)
+
+
+def test_saved_hypotheses_are_not_made_again(spark, tmp_path):
+    samples, plan = shapes.samples(spark, SF).filter("conv_id < 8"), shapes.plan(spark)
+    cache = str(tmp_path / "cache")
+    n = samples.count() * 2
+    tables = []
+    for name in ("first", "second"):
+        made = _recorder(tmp_path, name)
+        job = evaluate.Evaluation(name, str(tmp_path / "out"), norm_types=["none"], metrics=["WER"])
+        table, _ = evaluate.evaluate(
+            spark, job, samples, plan, cache, load=made, clips_per_commit=7, batch_size=4, tasks=2
+        )
+        tables.append(sorted(map(repr, table.select("system", "sample_idx", "hypothesis", "WER").collect())))
+        calls = made.calls()
+        assert sum(map(len, calls)) == (n if name == "first" else 0)
+        assert max(map(len, calls), default=0) <= 4
+    assert tables[0] == tables[1] and len(tables[0]) == n
+
+
+def test_a_failure_keeps_what_was_committed(spark, tmp_path):
+    import pytest
+
+    samples, plan = shapes.samples(spark, SF).filter("conv_id < 6"), shapes.plan(spark)
+    planned, cache = planned_samples(samples, plan), str(tmp_path / "cache")
+    broken = _recorder(tmp_path, "broken", fail_after=9)
+    with pytest.raises(Exception, match=r"(?s).*"):
+        evaluate.save_missing(planned, cache, broken, clips_per_commit=6, batch_size=1, tasks=1)
+    kept = evaluate.stored_hyp_cache(spark, cache).count()
+    assert kept > 0
+    rest = _recorder(tmp_path, "rest")
+    evaluate.save_missing(planned, cache, rest, clips_per_commit=6, batch_size=1, tasks=1)
+    assert len(rest.calls()) == planned.count() - kept
+    assert evaluate.stored_hyp_cache(spark, cache).count() == planned.count()
+
+
+def test_texts_do_not_reach_the_recogniser(spark):
+    samples, plan = shapes.samples(spark, SF), shapes.plan(spark)
+    made = evaluate.transcribe_missing(planned_samples(samples, plan), shapes.cache_of(samples), StubTranscriber)
+    plan_text = made._jdf.queryExecution().executedPlan().toString()
+    (line,) = [x for x in plan_text.split("\n") if "MapInPandas" in x]
+    assert "text#" not in line
+
+
+def test_metadata_columns_keep_their_names(spark):
+    rows = shapes.pairs(spark, SF).withColumn("n_speakers", F.lit(2)).withColumn("n_none_hits", F.lit("kept"))
+    table = evaluate.sample_results(rows, ["none"], ["WER"])
+    assert {(r.n_speakers, r.n_none_hits) for r in table.select("n_speakers", "n_none_hits").collect()} == {(2, "kept")}

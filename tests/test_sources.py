@@ -217,3 +217,57 @@ def test_stages_can_be_dropped(spark):
     drop_stages(spark)
     assert not path.exists()
     assert stage(spark.range(3), "new").count() == 3
+
+
+def test_cache_names_survive(spark, tmp_path):
+    names = ["meta_w2v large", "a+b", "50% off", "plain", "x=y"]
+    rows = [("da ta+%", n, f"{k}.wav", "007", "said", "p", "m", "20250101", None, None, None) for k, n in enumerate(names)]
+    cache = spark.createDataFrame(rows, CACHE)
+    cache_files.sink_hyp_cache(cache, str(tmp_path / "sink"))
+    back = cache_files.scan_hyp_cache(spark, str(tmp_path / "sink"))
+    assert sorted(map(tuple, back.collect())) == sorted(rows)
+    # Plain files of the same names.
+    for row in rows:
+        folder = tmp_path / "files" / row[0]
+        folder.mkdir(parents=True, exist_ok=True)
+        (line,) = cache_files.cache_lines(spark.createDataFrame([row], CACHE)).collect()
+        (folder / f"{row[1]}.asr_cache.jsonl").write_text(line.value + "\n")
+    back = cache_files.scan_hyp_cache(spark, str(tmp_path / "files"))
+    assert sorted(map(tuple, back.collect())) == sorted(rows)
+
+
+def test_appended_hypotheses_win(spark, tmp_path):
+    path = str(tmp_path / "cache")
+    assert cache_files.stored_hyp_cache(spark, path).count() == 0
+    for said in ("EMPTY", "word"):
+        row = ("d", "c", "a.wav", "v", said, "p", "m", "20250101", None, None, None)
+        cache_files.sink_hyp_cache(spark.createDataFrame([row], CACHE), path, append=True)
+    assert [r.asr_hyp for r in cache_files.stored_hyp_cache(spark, path).collect()] == ["word"]
+
+
+def test_stored_groups_keep_types_and_can_become_empty(spark, tmp_path):
+    path, keys = str(tmp_path / "groups"), ["subset", "version"]
+    wanted = spark.createDataFrame([("007", "2025"), ("a b", "2024"), (None, "2024"), ("none", "2024")], "subset string, version string")
+    calls = []
+
+    def compute(values):
+        rows = spark.createDataFrame(values, "subset string, version string, n int")
+
+        def of(groups):
+            calls.append(groups.count())
+            return rows.join(groups, [rows[k].eqNullSafe(groups[k]) for k in keys], "left_semi")
+
+        return of
+
+    first = [("007", "2025", 1), ("a b", "2024", 2), (None, "2024", 3)]
+    table = store.materialize_groups(spark, path, wanted, compute(first), keys)
+    assert sorted(map(tuple, table.select("subset", "version", "n").collect()), key=str) == sorted(first, key=str)
+    assert dict(table.dtypes) == {"subset": "string", "version": "string", "n": "int"}
+    # All groups are done, those without rows as well.
+    store.materialize_groups(spark, path, wanted, compute([("007", "2025", 9)]), keys)
+    assert calls == [4]
+    one = wanted.filter("subset = '007'")
+    table = store.materialize_groups(spark, path, one, compute([]), keys, force=True)
+    assert table.count() == 0
+    table = store.materialize_groups(spark, path, wanted, compute([]), keys)
+    assert sorted(r.n for r in table.collect()) == [2, 3]
