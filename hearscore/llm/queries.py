@@ -131,7 +131,6 @@ def decontaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
         F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
         ((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"),
-        F.size("near").cast("long").alias("n_near_items"),
     )
 
 
@@ -143,3 +142,74 @@ def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 @register
 def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return perplexity.score(table(spark, sf_dir, "documents"), left_over(10, 0))
+
+
+# The word patterns of the contracts.
+_SPACED = r"[^\x20\x09-\x0D]+"
+_ALNUM = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+SQL["op1_substring_dedup"] = f"""
+with texts as (select doc_id, regexp_extract_all(coalesce(text, ''), '{_SPACED}') w from documents),
+windows as (
+  select doc_id, s, array_to_string(w[s:s + 49], ' ') passage
+  from (select doc_id, w, unnest(range(1, len(w) - 48)) s from texts)
+),
+firsts as (select passage, min(doc_id) first from windows group by passage),
+gone as (
+  select distinct doc_id, s + k i from windows join firsts using (passage), range(50) r(k) where first < doc_id
+),
+spread as (select doc_id, unnest(w) word, generate_subscripts(w, 1) i from texts),
+kept as (select * from spread anti join gone using (doc_id, i)),
+joined as (select doc_id, string_agg(word, ' ' order by i) kept, count(*) n from kept group by doc_id)
+select t.doc_id, len(w)::bigint n_words, (len(w) - coalesce(n, 0))::bigint n_removed,
+  sha256(coalesce(kept, '')) kept_sha256
+from texts t left join joined using (doc_id)
+"""
+
+SQL["op4_benchmark_decontamination"] = f"""
+with items as (select item_id::varchar item_id, regexp_extract_all({_LOWER}, '{_ALNUM}') w from benchmark),
+phrases as (
+  select distinct item_id, w[s:s + least(13, len(w)) - 1] phrase
+  from (select item_id, w, unnest(range(1, len(w) - least(13, len(w)) + 2)) s from items where len(w) > 0)
+),
+texts as (select doc_id, regexp_extract_all({_LOWER}, '{_ALNUM}') w from documents),
+sizes as (select distinct len(phrase) n from phrases),
+windows as (
+  select doc_id, s, w[s:s + n - 1] phrase from (select doc_id, w, n, unnest(range(1, len(w) - n + 2)) s from texts, sizes)
+),
+found as (select doc_id, s, item_id, len(phrase) n from windows join phrases using (phrase)),
+hits as (
+  select doc_id, count(distinct i) n_hit from (select doc_id, unnest(range(s, s + n)) i from found) group by doc_id
+),
+named as (
+  select doc_id, count(*) n_items, string_agg(item_id, ',' order by item_id) items
+  from (select distinct doc_id, item_id from found) group by doc_id
+)
+select doc_id, len(w)::bigint n_words, coalesce(n_hit, 0)::bigint n_hit, coalesce(n_items, 0)::bigint n_items,
+  sha256(coalesce(items, '')) items_sha256, coalesce(n_hit > 0 and 20 * n_hit >= len(w), false) contaminated
+from texts left join hits using (doc_id) left join named using (doc_id)
+"""
+
+SQL["op5_ngram_jaccard_join"] = f"""
+with recursive texts as (select doc_id, regexp_extract_all({_LOWER}, '{_SPACED}') w from documents),
+shingles as (
+  select distinct doc_id, array_to_string(w[s:s + 2], ' ') shingle
+  from (select doc_id, w, unnest(range(1, greatest(len(w) - 2, 1) + 1)) s from texts where len(w) > 0)
+),
+sizes as (select doc_id, count(*) n from shingles group by doc_id),
+shared as (
+  select a.doc_id a, b.doc_id b, count(*) n_both from shingles a join shingles b using (shingle)
+  where a.doc_id < b.doc_id group by all
+),
+links as (
+  select a, b from shared join sizes x on a = x.doc_id join sizes y on b = y.doc_id
+  where 100 * n_both >= 90 * (x.n + y.n - n_both)
+),
+both_ways as (select a, b from links union select b, a from links),
+reached as (
+  select doc_id, doc_id other from texts union select doc_id, b from reached join both_ways on other = a
+)
+select doc_id, coalesce(n, 0)::bigint n_shingles, component_id
+from (select doc_id, min(other) component_id from reached group by doc_id) left join sizes using (doc_id)
+"""
