@@ -12,12 +12,13 @@ from pyspark.sql import types as T
 
 from catalog import shapes
 from catalog.stub import StubTranscriber
-from hearscore.functions import align, audio, rates, text
+from hearscore.functions import align, rates, text
 from hearscore.operators import corpus_stats, joins, scoring, selection, summary
 from hearscore.operators.transcribe import transcribe_batch
 from hearscore.plans import evaluate, profile, run_plan
 from hearscore.schema import EVAL_INPUT, SPLIT_KEYS
 from hearscore.session import stage, stage_path
+from hearscore.sources import audio as audio_files
 from hearscore.sources import cache as cache_files
 from hearscore.sources import corpora, store, tsv
 from hearscore.streaming import scores
@@ -95,7 +96,7 @@ def scan_tsv(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = shapes.table(spark, sf_dir, "documents")
     path = stage_path(spark, "tsv")
     tsv.sink_tsv(documents, path)
-    back = tsv.scan_tsv(spark, path, documents.schema)
+    back = tsv.scan_tsv(spark, path, documents.schema, multi_line=True)
     return back.select("doc_id", "lang", "source", F.md5("text").alias("digest"))
 
 
@@ -104,7 +105,7 @@ def sink_tsv(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = stage_path(spark, "tsv")
     levels = ["dataset", "subset", "split", "version"]
     tsv.sink_tsv(shapes.pairs(spark, sf_dir), path, partition_by=levels)
-    back = tsv.scan_tsv(spark, path, EVAL_INPUT)
+    back = tsv.scan_tsv(spark, path, EVAL_INPUT, multi_line=True)
     return back.select(*levels, "codename", "sample_idx", "text", "hypothesis", *_RESOURCES)
 
 
@@ -171,7 +172,7 @@ def sink_stats_json(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register
 def audio_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """WAV data made from the embeddings; every 13th is not a WAV file."""
+    """WAV files made from the embeddings; every 13th is not one."""
 
     def little_endian(n: Column) -> Column:
         digits = F.lpad(F.hex(n), 8, "0")
@@ -192,12 +193,15 @@ def audio_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
         )
     )
     files = shapes.table(spark, sf_dir, "embeddings").select(
-        F.concat(F.lit("clips/"), F.col("vec_id").cast("string"), F.lit(".wav")).alias("path"),
+        F.concat(F.lit("clips/"), F.col("vec_id").cast("string"), F.lit(".wav")).alias("name"),
         F.when(F.col("vec_id") % 13 == 0, F.lit("no audio").cast("binary"))
         .otherwise(data)
         .alias("content"),
     )
-    return audio.audio_durations(files)
+    folder = stage_path(spark, "audio")
+    shapes.write_files(files, folder)
+    found = audio_files.audio_manifest(spark, folder)
+    return found.withColumn("path", F.regexp_extract("path", "clips/[^/]*$", 0))
 
 
 @register
@@ -406,11 +410,10 @@ def word_count(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register
 def sample_duration(spark: SparkSession, sf_dir: str) -> DataFrame:
     vec = F.col("vec_id")
-    array = F.slice("embedding", 1, (vec % 65).cast("int"))
     row_rate = F.when(vec % 11 == 0, F.lit(0)).when(vec % 5 > 0, F.lit(8) + F.col("label"))
     struct_rate = F.when(vec % 7 > 0, F.lit(6))
     return shapes.table(spark, sf_dir, "embeddings").select(
-        "vec_id", corpus_stats.sample_duration(array, struct_rate, row_rate).alias("duration")
+        "vec_id", corpus_stats.sample_duration(F.col("embedding"), struct_rate, row_rate).alias("duration")
     )
 
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyarrow.fs import FileSystem
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -153,8 +154,8 @@ def stream_pairs(samples: DataFrame) -> DataFrame:
 
 def profiled(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as a corpus: language as dataset (one withholds its test
-    transcripts), source as subset; the audio array is a slice of an
-    embedding, a few are too short to count."""
+    transcripts), source as subset; the audio array is an embedding, at
+    sampling rates that differ by document."""
     documents = spread_table(spark, sf_dir, "documents")
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     dataset = F.when(F.col("lang") == "fr", F.lit("Withheld-fr")).otherwise(F.col("lang"))
@@ -162,13 +163,26 @@ def profiled(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.array(F.lit("train"), F.lit("validation"), F.lit("test")),
         (F.col("doc_id") % 3 + 1).cast("int"),
     )
-    withheld = (F.col("lang") == "fr") & (F.col("doc_id") % 6 == 2)
-    array = F.slice("embedding", 1, (F.col("doc_id") % 64).cast("int"))
+    rate = F.element_at(F.array(*(F.lit(1 << k) for k in range(8))), (F.col("doc_id") % 8 + 1).cast("int"))
     return documents.join(vectors, F.col("doc_id") == F.col("vec_id"), "left").select(
         dataset.alias("dataset"),
         F.col("source").alias("subset"),
         split.alias("split"),
         F.col("doc_id").alias("sample_idx"),
-        F.when(~withheld, F.col("text")).alias("text"),
-        sample_duration(array, F.lit(None).cast("int"), F.lit(8)).alias("duration"),
+        "text",
+        sample_duration(F.col("embedding"), F.lit(None).cast("int"), rate).alias("duration"),
     )
+
+
+def write_files(files: DataFrame, folder: str) -> None:
+    """Write ``name, content`` rows as single files below a folder."""
+
+    def put(rows) -> None:
+        for row in rows:
+            place, path = FileSystem.from_uri(folder if "://" in folder else f"file://{folder.removeprefix('file:')}")
+            target = f"{path}/{row.name}"
+            place.create_dir(target.rsplit("/", 1)[0])
+            with place.open_output_stream(target) as out:
+                out.write(bytes(row.content))
+
+    files.foreachPartition(put)

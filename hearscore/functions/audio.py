@@ -2,77 +2,16 @@
 
 from __future__ import annotations
 
-import io
 import wave
-from collections.abc import Iterator
+from typing import BinaryIO
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
 
-# Chunks that may come before the samples for a header to be cut off without
-# the rest of the file.
-_CHUNKS = 16
-_FARTHEST = (1 << 31) - 16
-
-
-def wav_seconds(data: bytes) -> float | None:
-    """Seconds by the header, two decimals; None if ``data`` does not hold
-    the header of a PCM WAV file."""
+def wav_seconds(file: BinaryIO) -> float | None:
+    """Seconds by the header of a seekable file, two decimals; None if it does
+    not hold the header of a PCM WAV file.  Chunks before the samples are
+    skipped, and the samples are not read."""
     try:
-        with wave.open(io.BytesIO(data)) as clip:
+        with wave.open(file) as clip:
             return round(clip.getnframes() / clip.getframerate(), 2)
     except (wave.Error, EOFError, ZeroDivisionError):
         return None
-
-
-def _is(content: Column, at: Column | int, mark: bytes) -> Column:
-    start = F.lit(at) if isinstance(at, int) else at
-    return F.substring(content, start, F.lit(len(mark))) == F.lit(bytearray(mark))
-
-
-def _samples_at(content: Column) -> Column:
-    """Position of the chunk with the samples, found by stepping from chunk
-    to chunk; NULL if it is not among the first ones."""
-
-    def following(at: Column, _: Column) -> Column:
-        digits = F.hex(F.substring(content, at + 4, F.lit(4)))
-        size = F.conv(
-            F.concat(*(F.substring(digits, F.lit(i), F.lit(2)) for i in (7, 5, 3, 1))), 16, 10
-        ).cast("long")
-        further = at.cast("long") + 8 + F.coalesce(size + size % 2, F.lit(0))
-        return F.when(_is(content, at, b"data"), at).otherwise(
-            F.least(further, F.lit(_FARTHEST)).cast("int")
-        )
-
-    last = F.aggregate(F.sequence(F.lit(1), F.lit(_CHUNKS)), F.lit(13), following)
-    return F.when(_is(content, last, b"data"), last)
-
-
-def _parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        seconds = [None if d is None else wav_seconds(bytes(d)) for d in batch["data"]]
-        yield pd.DataFrame(
-            {"path": batch["path"], "audio_duration": pd.array(seconds, dtype="Float64").fillna(0.0)}
-        )
-
-
-def audio_durations(files: DataFrame) -> DataFrame:
-    """``path, audio_duration`` of ``path, content`` rows; 0.0 if unreadable.
-
-    Only the header leaves the JVM: what comes before the samples.  Files of
-    another kind send a few bytes, and only a WAV file with very many chunks
-    is sent whole.
-    """
-    content = F.col("content")
-    start = F.col("start")
-    header = (
-        F.when(~(_is(content, 1, b"RIFF") & _is(content, 9, b"WAVE")), F.substring(content, 1, 12))
-        .when(start.isNotNull(), F.substring(content, F.lit(1), start + 7))
-        .otherwise(content)
-    )
-    return (
-        files.withColumn("start", _samples_at(content))
-        .select("path", header.alias("data"))
-        .mapInPandas(_parse, "path string, audio_duration double")
-    )

@@ -18,10 +18,11 @@ def scan_tsv(
     path: str | Sequence[str],
     schema: T.StructType,
     *,
-    multi_line: bool = True,
+    multi_line: bool = False,
 ) -> DataFrame:
-    """Read with an explicit schema.  ``multi_line`` keeps line breaks inside
-    quotes but reads each file in one task; without it large files split."""
+    """Read with an explicit schema.  Large files are split over tasks; texts
+    with line breaks inside quotes need ``multi_line``, which reads each file
+    in one task."""
     table = (
         spark.read.options(
             sep="\t", header=True, escape='"', multiLine=multi_line, emptyValue=_EMPTY
