@@ -13,14 +13,14 @@ def _with_least(edges: DataFrame) -> DataFrame:
     stored table, so that a node with very many edges is split by the skew
     join like any other large partition."""
     least = stage(edges.groupBy("u").agg(F.min("v").alias("m")), "least")
-    return edges.join(least, "u")
+    return edges.join(least.hint("merge"), "u")
 
 
 def components(edges: DataFrame) -> DataFrame:
     """``node, root`` for every node of the edges ``a, b``; the root is the
     smallest node of the component.
 
-    Alternates two steps until nothing changes: every node hands its larger
+    Alternates two steps until every node leads to one root: every node hands its larger
     neighbours to its least one, then its smaller ones (large star and small
     star of Kiveris et al., 2014).  The edges never become more, and the number
     of rounds grows with the logarithm of the nodes in practice.  Self-loops
@@ -31,18 +31,22 @@ def components(edges: DataFrame) -> DataFrame:
         edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u > v").distinct(),
         "edges",
     )
-    before = None
     while True:
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = _with_least(both).filter("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v"))
-        large = stage(large.distinct(), "large_star")
+        large = stage(large, "large_star")
         starred = _with_least(large)
         small = starred.filter("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         now = stage(small.union(starred.select("u", F.col("m").alias("v"))).distinct(), "small_star")
-        state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % (1 << 40))).first()
-        if state == before:
+        # Done when every node leads to one root: none leads to two, and none
+        # that is led to leads on.
+        ends = now.select(F.col("u").alias("node"), F.col("v").alias("to"))
+        ends = ends.union(now.select("v", F.lit(None).cast("long")))
+        roles = ends.groupBy("node").agg(
+            F.min("to").alias("least"), F.max("to").alias("most"), F.bool_or(F.col("to").isNull()).alias("led_to")
+        )
+        if roles.filter("least < most OR (led_to AND least IS NOT NULL)").isEmpty():
             break
-        before = state
     return loops.join(now.select(F.col("u").alias("node"), F.col("v").alias("root")), "node", "left").select(
         "node", F.coalesce("root", "node").alias("root")
     )

@@ -306,7 +306,8 @@ def link(docs: DataFrame, shingle: int = SHINGLE, similarity: int = SIMILARITY)
         parts.groupBy("part").agg(F.min("class").alias("hub"), F.max("class").alias("last")).filter("hub < last").drop("last"),
         "agreeing_parts",
     )
-    stars = parts.join(agreeing, "part").filter("class > hub").select(F.col("hub").alias("a"), F.col("class").alias("b")).distinct()
+    # Joins with all parts or texts are shuffled at every size.
+    stars = parts.join(agreeing.hint("merge"), "part").filter("class > hub").select(F.col("hub").alias("a"), F.col("class").alias("b")).distinct()
     clusters = stage(components(stage(stars, "stars")).toDF("class", "cluster"), "clusters")
 
     # What is cut and paired are rows without shingles; those come last.
@@ -325,7 +326,7 @@ def link(docs: DataFrame, shingle: int = SHINGLE, similarity: int = SIMILARITY)
         "row_blocks",
     )
     sets = stage(
-        docs.join(placed.select("doc_id", "class", "cluster", "blocks", "block"), "doc_id").mapInArrow(
+        docs.join(placed.select("doc_id", "class", "cluster", "blocks", "block").hint("merge"), "doc_id").mapInArrow(
             _set_rows(shingle), "class long, cluster long, blocks long, block long, n long, shingles binary"
         ),
         "sets",
@@ -359,4 +360,4 @@ def distinct(docs: DataFrame, shingle: int = SHINGLE, similarity: int = SIMILARI
     """The rows of ``docs``, with all their columns, but of each group of
     linked documents only that with the smallest ``doc_id``."""
     others = link(docs, shingle, similarity).filter("component_id < doc_id").select("doc_id").distinct()
-    return docs.join(others, "doc_id", "left_anti")
+    return docs.join(others.hint("merge"), "doc_id", "left_anti")

@@ -135,6 +135,22 @@ def test_components(spark):
     assert got == {x: find(x) for x in root}
 
 
+def test_components_of_many_shapes(spark):
+    """Chains, trees and stars whose numbers are in no order."""
+    r = random.Random(17)
+    for size in (3, 8, 40):
+        number = r.sample(range(10_000), size * 9)
+        edges, want = [], {}
+        for k in range(9):
+            own = number[k * size : (k + 1) * size]
+            for i in range(1, size):
+                other = own[i - 1] if k % 3 == 0 else own[0] if k % 3 == 1 else own[r.randrange(i)]
+                edges.append((own[i], other))
+            want |= {x: min(own) for x in own}
+        got = {r.node: r.root for r in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+        assert got == want
+
+
 def test_shingle_sets():
     texts = ["a b c d", "A B c", "a b", "", None, "x x x x x"]
     hashes, offsets = jaccard.shingle_sets(pa.array(texts), 3)
