@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import os
 import re
+import shutil
 import tempfile
 import uuid
 
@@ -28,6 +30,16 @@ def build_session(app: str = "hearscore", master: str | None = None, **conf: str
     return builder.getOrCreate()
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors of a cluster that hasn't it
+    installed: Arrow UDFs run there."""
+    package = os.path.dirname(os.path.abspath(__file__))
+    archive = shutil.make_archive(
+        os.path.join(tempfile.mkdtemp(), "hearscore"), "zip", os.path.dirname(package), os.path.basename(package)
+    )
+    spark.sparkContext.addPyFile(archive)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder that all executors can reach, as the cluster names it.
 
