@@ -38,7 +38,7 @@ def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids of every document and whether they decode to its text."""
-    return queries.coded(docs)
+    return queries.coded(pieces.round_trip(docs, queries.piece_model()))
 
 
 STAGES = [

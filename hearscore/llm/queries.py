@@ -106,13 +106,13 @@ def piece_model() -> bytes:
     return pieces.read_model(public_tokenizers.path("piece_bpe_32k.model"))
 
 
-def coded(docs: DataFrame) -> DataFrame:
-    return pieces.round_trip(docs, piece_model()).select("doc_id", F.size("ids").alias("n_ids"), "ids", "lossless")
+def coded(encoded: DataFrame) -> DataFrame:
+    return encoded.select("doc_id", F.size("ids").alias("n_ids"), "ids", "lossless")
 
 
 @register
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return coded(table(spark, sf_dir, "documents"))
+    return coded(pieces.round_trip(table(spark, sf_dir, "documents"), piece_model()))
 
 
 @register
