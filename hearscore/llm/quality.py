@@ -26,7 +26,7 @@ from hearscore.llm import words as W
 BUCKETS = 1 << 17
 GRAMS = (3, 5)
 # Labelled documents that the model is trained on, at most.
-SAMPLE = 2500
+SAMPLE = 2000
 
 _SALT = {"word": 1, "pair": 2, "mark": 3}
 
@@ -83,11 +83,12 @@ def _sparse_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             cut = np.searchsorted(keys, np.arange(len(part) + 1) * BUCKETS)
             yield pa.RecordBatch.from_arrays(
                 [
+                    part.column("doc_id"),
                     part.column("label"),
                     pa.array([(keys[a:b] % BUCKETS).astype(np.int32).tobytes() for a, b in zip(cut[:-1], cut[1:])], pa.binary()),
-                    pa.array([counts[a:b].astype(np.int32).tobytes() for a, b in zip(cut[:-1], cut[1:])], pa.binary()),
+                    pa.array([np.minimum(counts[a:b], 65535).astype(np.uint16).tobytes() for a, b in zip(cut[:-1], cut[1:])], pa.binary()),
                 ],
-                names=["label", "buckets", "counts"],
+                names=["doc_id", "label", "buckets", "counts"],
             )
 
 
@@ -172,18 +173,17 @@ def train(docs: DataFrame, labels: DataFrame, label: str, learn: Column, sample:
     gathered = (
         docs.select("doc_id", "text")
         .join(F.broadcast(ids), "doc_id")  # at most ``sample`` rows
-        .select("text", "label")
-        .mapInArrow(_sparse_rows, "label int, buckets binary, counts binary")
+        .select("doc_id", "text", "label")
+        .mapInArrow(_sparse_rows, "doc_id long, label int, buckets binary, counts binary")
         .toArrow()
     )
+    # The order of arrival is not fixed; that of the ids is.
+    gathered = gathered.sort_by("doc_id")
     rows = [
-        (np.frombuffer(b.as_py(), np.int32), np.frombuffer(c.as_py(), np.int32))
+        (np.frombuffer(b.as_buffer(), np.int32), np.frombuffer(c.as_buffer(), np.uint16))
         for b, c in zip(gathered.column("buckets"), gathered.column("counts"))
     ]
-    # The order of arrival is not fixed; that of the texts' features is.
-    order = sorted(range(len(rows)), key=lambda i: rows[i][0].tobytes() + rows[i][1].tobytes())
-    values = gathered.column("label").to_numpy()
-    return fit([rows[i] for i in order], values[order].astype(np.int64))
+    return fit(rows, gathered.column("label").to_numpy().astype(np.int64))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:

@@ -11,7 +11,6 @@ every task.
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +21,7 @@ _WORD_BASES = (0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93)
 
 # Texts of a slice, in bytes: what one numpy step holds at once is a small
 # multiple of it.  A single longer text is a slice of its own.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 
 
 def _table(separators: bytes) -> np.ndarray:
@@ -51,15 +50,16 @@ def mix(values: np.ndarray) -> np.ndarray:
     return x
 
 
-@lru_cache(maxsize=8)
-def _powers(base: int, bits: int) -> np.ndarray:
-    steps = np.full(1 << bits, base, dtype=np.uint64)
-    steps[0] = 1
-    return np.cumprod(steps, dtype=np.uint64)
+# Powers of each base: one table, as long as the longest slice has needed.
+_POWERS: dict[int, np.ndarray] = {}
 
 
 def _power_table(base: int, n: int) -> np.ndarray:
-    return _powers(base, max(16, int(n).bit_length()))[: n + 1]
+    if len(_POWERS.get(base, ())) <= n:
+        steps = np.full(1 << max(16, int(n).bit_length()), base, dtype=np.uint64)
+        steps[0] = 1
+        _POWERS[base] = np.cumprod(steps, dtype=np.uint64)
+    return _POWERS[base][: n + 1]
 
 
 def range_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int) -> np.ndarray:
