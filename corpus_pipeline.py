@@ -13,6 +13,12 @@ from hearscore.llm import jaccard, pieces, pii, queries, quality
 from hearscore.session import stage
 
 
+# Near copies: words of a shingle, percent of shared shingles.  The query of the
+# join has other values.
+SHINGLE = 5
+SIMILARITY = 80
+
+
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier accepts; it learns from the labels
     of those that this stage is given."""
@@ -20,8 +26,8 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents whose sets of three-word shingles link, the first one."""
-    return jaccard.distinct(docs)
+    """Of documents whose sets of five-word shingles link, the first one."""
+    return jaccard.distinct(docs, SHINGLE, SIMILARITY)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,0 +1,53 @@
+import random
+
+import corpus_pipeline
+from test_jaccard import shingles
+
+SF = "/root/testdata/sf0.001"
+
+
+def first_of_groups(rows, k=5, similarity=80):
+    """Smallest id of every group of linked texts, by comparing all pairs."""
+    sets = [(i, shingles(t, k)) for i, t in sorted(rows)]
+    root = {i: i for i, _ in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for n, (i, a) in enumerate(sets):
+        for j, b in sets[:n]:
+            if a and b and 100 * len(a & b) >= similarity * len(a | b):
+                p, q = find(i), find(j)
+                root[max(p, q)] = min(p, q)
+    return [i for i, _ in sets if find(i) == i]
+
+
+def edited(words, places):
+    return [f"e{k}" if k in places else w for k, w in enumerate(words)]
+
+
+def kept(spark, rows):
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    after = corpus_pipeline.drop_near_duplicates(spark, docs, SF)
+    return sorted(r.doc_id for r in after.collect())
+
+
+def test_copy_with_two_words_changed(spark):
+    words = [f"w{k}" for k in range(100)]
+    # 86 of 106 five-word shingles; of three words, 92 of 104.
+    assert kept(spark, [(1, " ".join(words)), (2, " ".join(edited(words, {30, 60})))]) == [1]
+    # 81 of 111.
+    assert kept(spark, [(1, " ".join(words)), (2, " ".join(edited(words, {20, 50, 80})))]) == [1, 2]
+
+
+def test_scattered_edits_against_brute_force(spark):
+    r, rows = random.Random(21), []
+    for size in (4, 5, 6, 30, 60, 100, 240, 500):
+        words = [f"v{r.randint(0, 900)}" for _ in range(size)]
+        for n in range(6):
+            rows.append((len(rows), " ".join(edited(words, set(r.sample(range(size), min(size, n * max(1, size // 90))))))))
+    want = first_of_groups(rows)
+    assert want != first_of_groups(rows, 3, 90) and len(want) < len(rows)
+    assert kept(spark, rows) == want
