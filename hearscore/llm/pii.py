@@ -4,8 +4,12 @@ Four kinds (e-mail addresses, IP addresses, card and phone numbers) are found
 by fixed rules and always kept.  Beside them, generators of high recall propose
 looser spans that may overlap: contacts, numbers, secrets.  Boosted trees judge
 these by format and context.  They learn, from a sample of bounded size, which
-proposals satisfy a rule (for secrets: which follow a telling key); a threshold
-per generator, set on documents left out of training, selects what is added.
+proposals satisfy a looser rule than the fixed ones: contacts that are e-mail
+addresses once "(at)" and "(dot)" are undone, numbers that are phone numbers or
+follow a word such as "tel", secrets that follow a telling key.  A threshold per
+generator, set on documents left out of training, selects what is added.  What
+no rule settles (written like a phone number, but no word says so) is neither
+trained on nor counted for a threshold; the trees judge it by its format.
 
 All rules are evaluated within the row of a document: no text is shuffled.
 Quantifiers that could try one stretch again and again are possessive and start
@@ -37,8 +41,8 @@ _PATTERNS = {
     "card": r"[0-9]++(?:[\x20-][0-9]++)*+",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
     "contact": (
-        rf"(?<!{_LOCAL}){_LOCAL}{{1,64}}+\x20?(?:@|\(at\)|\[at\])\x20?[A-Za-z0-9-]{{1,63}}+"
-        r"(?:\x20?(?:\.|\(dot\)|\[dot\])\x20?[A-Za-z0-9-]{2,63}+)+"
+        rf"(?i)(?<!{_LOCAL}){_LOCAL}{{1,64}}+\x20?(?:@|\(at\)|\[at\])\x20?[A-Za-z0-9-]{{1,63}}+"
+        r"(?:(?:\.|\x20\.\x20|\x20?(?:\(dot\)|\[dot\])\x20?)[A-Za-z0-9-]{2,63}+)+"
     ),
     "number": r"[+(]?[0-9][0-9\x20()./-]{4,40}[0-9]",
     "secret": rf"(?<!{_TOKEN})(?=[A-Za-z_+/-]{{0,64}}+[0-9]){_TOKEN}{{12,}}+",
@@ -98,7 +102,7 @@ def _located(text: Column, kind: str) -> Column:
     )
     need = F.contains(text, F.lit(_NEEDS[kind])) if kind in _NEEDS else text.rlike(_DIGIT)
     if kind == "contact":
-        need = text.rlike(r"@|[(\[]at[)\]]")
+        need = text.rlike(r"(?i)@|[(\[]at[)\]]")
     none = F.array().cast("array<struct<start:int,stop:int,m:string,left:string,right:string>>")
     return F.when(need, found).otherwise(none)
 
@@ -131,23 +135,54 @@ def _valid(kind: str, match: Column) -> Column:
     return F.lit(True)
 
 
-def _holds_base(match: Column) -> Column:
+def _holds_base(match: Column, kinds: tuple[str, ...] = BASE) -> Column:
     """Whether a string has a span of one of the fixed kinds."""
 
     def holds(kind: str) -> Column:
         return F.exists(F.regexp_extract_all(match, F.lit(_PATTERNS[kind]), F.lit(0)), lambda m: _valid(kind, m))
 
-    return reduce(lambda a, b: a | b, map(holds, BASE))
+    return reduce(lambda a, b: a | b, map(holds, kinds))
 
 
 _KEYED = r"(?i)(?:pass|pwd|token|secret|key|auth)[a-z_]*+[\x22\x27]?\x20?[:=]\x20?[\x22\x27]?$"
 
+# Words that announce a phone number, and such that announce another one.
+_CALLED = (
+    r"(?i)(?<!\p{L})(?:t[eé]l|t[eé]l[eé](?:ph|f)on[a-z]*+|phone|mobile|cell|handy|fax|call|dial|sms|whatsapp)"
+    r"(?:\x20(?:no|nr|number|us|me|now|at|on|is))*+\.?\x20?[:=#]?\x20?[\x22\x27]?$"
+)
+_OTHERWISE = r"(?i)(?:(?<!\p{L})(?:isbn|issn|doi|id|order|page|version|section|sku|item|ref|invoice)(?:\x20(?:no|nr|number))?+\.?\x20?[:=#]?\x20?|[$€£#])$"
+_DATED = r"^(?:[0-9]{4}[./-][0-9]{1,2}[./-][0-9]{1,2}|[0-9]{1,2}[./-][0-9]{1,2}[./-][0-9]{4})(?![0-9])|^[0-9]+(?:\.[0-9]+){3}$"
+_GROUPED = r"^\(|[0-9][\x20)./-]+[0-9]+[\x20./-]+[0-9]"
+
+
+def _sure_contact(match: Column) -> Column:
+    """Whether a string is an e-mail address once its signs are undone."""
+    plain = F.regexp_replace(match, r"(?i)\x20?(?:@|\(at\)|\[at\])\x20?", "@")
+    plain = F.regexp_replace(plain, r"(?i)\x20?(?:\.|\(dot\)|\[dot\])\x20?", ".")
+    return plain.rlike(rf"^{_LOCAL}+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{{2,}}$")
+
+
+def _sure_number(c: Column) -> Column:
+    """Whether a number is one to call: null if nothing tells."""
+    phone_like = F.length(_digits(c["m"])).between(7, 15) & ~c["m"].rlike(_DATED)
+    return (
+        F.when(_holds_base(c["m"], ("phone",)), True)
+        .when(_holds_base(c["m"], ("ip", "card")), None)
+        .when(~phone_like | c["left"].rlike(_OTHERWISE), False)
+        .when(c["left"].rlike(_CALLED), True)
+        .when(c["m"].rlike(_GROUPED), None)
+        .otherwise(False)
+    )
+
 
 def _count(text: Column, what: str) -> Column:
     return F.regexp_count(text, F.lit(what)).cast("double")
 
 
 def _features(c: Column, kind: str) -> dict[str, Column]:
+    """Format and context, without what defines the fixed rules (@, +, check
+    digits): a looser form must not differ by that."""
     m = c["m"]
     shared = {
         "length": F.char_length(m).cast("double"),
@@ -158,11 +193,8 @@ def _features(c: Column, kind: str) -> dict[str, Column]:
         "dots": _count(m, r"\."),
         "hyphens": _count(m, "-"),
         "brackets": _count(m, r"[()\[\]]"),
-        "plus": _count(m, r"\+"),
-        "at": _count(m, "@"),
         "kinds_of_characters": F.size(F.array_distinct(F.split(m, ""))).cast("double"),
         "groups": _count(m, "[0-9]+"),
-        "checks": F.when(F.length(_digits(m)).between(2, 40), luhn(_digits(m)).cast("double")).otherwise(0.0),
         "left_word": c["left"].rlike(r"[A-Za-z]\x20?$").cast("double"),
         "left_mark": c["left"].rlike(r"[:=#(\x22]\x20?$").cast("double"),
         "right_word": c["right"].rlike(r"^\x20?[a-z]").cast("double"),
@@ -172,16 +204,20 @@ def _features(c: Column, kind: str) -> dict[str, Column]:
 
 
 def _proposals(text: Column, kind: str) -> Column:
-    """Proposals of a generator: place, features, and whether they are known
-    to be (``sure``)."""
+    """Proposals of a generator: place, features, whether they are known to be
+    (``sure``; null if nothing tells), and whether they hold a base span."""
 
     def one(c: Column) -> Column:
-        sure = c["left"].rlike(_KEYED) if kind == "secret" else _holds_base(c["m"])
+        if kind == "secret":
+            sure, held = c["left"].rlike(_KEYED), F.lit(False)
+        else:
+            sure, held = _sure_contact(c["m"]) if kind == "contact" else _sure_number(c), _holds_base(c["m"])
         return F.struct(
             F.lit(kind).alias("kind"),
             c["start"].alias("start"),
             c["stop"].alias("stop"),
             sure.alias("sure"),
+            held.alias("held"),
             *(value.alias(name) for name, value in _features(c, kind).items()),
         )
 
@@ -210,8 +246,8 @@ def _scan(docs: DataFrame) -> DataFrame:
 
 # Names of the features, in the order of ``_features``.
 _NAMES = [
-    "length", "digits", "lower", "upper", "spaces", "dots", "hyphens", "brackets", "plus", "at",
-    "kinds_of_characters", "groups", "checks", "left_word", "left_mark", "right_word", "right_end",
+    "length", "digits", "lower", "upper", "spaces", "dots", "hyphens", "brackets",
+    "kinds_of_characters", "groups", "left_word", "left_mark", "right_word", "right_end",
     *(f"is_{k}" for k in ADDED),
 ]
 
@@ -224,7 +260,7 @@ def _judged(proposals: DataFrame, sample: int, precision: float) -> DataFrame |
     )
     left_out = F.pmod(F.xxhash64("doc_id", "hash"), F.lit(5)) == 0
     learn = (
-        rows.filter(~left_out)
+        rows.filter(~left_out & F.col("label").isNotNull())
         .select("doc_id", "hash", "kind", "start", "features", "label")
         .orderBy(F.xxhash64("doc_id", "hash", "start"), "start", "kind")
         .limit(sample)
@@ -235,7 +271,7 @@ def _judged(proposals: DataFrame, sample: int, precision: float) -> DataFrame |
     trees = GBTClassifier(maxIter=12, maxDepth=4, stepSize=0.3, seed=7, maxBins=32).fit(learn)
     scored = trees.transform(rows).withColumn("p", vector_to_array("probability")[1])
     bins = (
-        scored.filter(left_out)
+        scored.filter(left_out & F.col("label").isNotNull())
         .groupBy("kind", F.floor(F.col("p") * 100).alias("bin"))
         .agg(F.sum("label").alias("good"), F.count("*").alias("n"))
         .collect()  # at most 101 rows per generator
@@ -250,8 +286,8 @@ def _judged(proposals: DataFrame, sample: int, precision: float) -> DataFrame |
                 least = r.bin / 100
         if least is not None:
             keep |= (F.col("kind") == kind) & (F.col("p") >= max(least, 0.5))
-    # What satisfies a rule of a fixed kind is a base span already.
-    return scored.filter(keep & ((F.col("kind") == "secret") | ~F.col("sure")))
+    # What holds a span of a fixed kind is found already.
+    return scored.filter(keep & ~F.col("held"))
 
 
 def find(docs: DataFrame, sample: int = SAMPLE, precision: float = PRECISION) -> DataFrame:
