@@ -6,8 +6,9 @@ languages that come into question.  Viterbi over the words of a document, with
 a penalty for every switch, then labels spans of mixed text; a document has
 the language that most of its letters lie in.
 
-The model is counted on the executors over a sample of documents of bounded
-size; what returns to the driver is a table of languages by buckets.
+The model is counted on the executors over all labelled documents, so that rare
+languages are in it; what returns to the driver is a table of languages by
+buckets.
 """
 
 from __future__ import annotations
@@ -24,8 +25,6 @@ from hearscore.llm import words as W
 
 BUCKETS = 1 << 15
 GRAMS = (2, 3, 4)
-# Labelled documents that the model is counted on, at most.
-SAMPLE = 6000
 # Log-likelihood that a switch of language costs.
 SWITCH = 8.0
 
@@ -143,22 +142,12 @@ class Model:
         return np.where(allowed, scores, np.float32(-1e6))
 
 
-def train(docs: DataFrame, learn: Column, sample: int = SAMPLE) -> Model:
-    """Model of the non-null ``lang`` of documents, learned where ``learn``
-    (over ``doc_id``) holds, from the ``sample`` documents with the smallest
-    hash of their id."""
-    ids = (
-        docs.filter(learn)
-        .filter("lang IS NOT NULL AND text IS NOT NULL")
-        .select("doc_id")
-        .distinct()
-        .orderBy(F.xxhash64("doc_id"), "doc_id")
-        .limit(sample)
-    )
+def train(docs: DataFrame, learn: Column) -> Model:
+    """Model of the non-null ``lang`` of documents, learned from all rows where
+    ``learn`` (over ``doc_id``) holds."""
     counts = (
-        docs.select("doc_id", "text", "lang")
+        docs.filter(learn)
         .filter("lang IS NOT NULL AND text IS NOT NULL")
-        .join(F.broadcast(ids), "doc_id")  # at most ``sample`` rows
         .select("text", "lang")
         .mapInArrow(_count_rows, "lang string, bucket int, n long")
         .groupBy("lang", "bucket")
