@@ -22,6 +22,7 @@ from hearscore.llm import (
     pieces,
     pii,
     quality,
+    simhash,
     substring,
 )
 
@@ -144,6 +145,12 @@ def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return perplexity.score(table(spark, sf_dir, "documents"), left_over(10, 0))
 
 
+@register
+def op12_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.group(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", simhash.written().alias("fingerprint"), "component_id")
+
+
 # The word patterns of the contracts.
 _SPACED = r"[^\x20\x09-\x0D]+"
 _ALNUM = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"

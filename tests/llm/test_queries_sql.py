@@ -15,7 +15,7 @@ def con():
 def test_registered():
     names = set(entry.queries())
     assert set(queries.QUERIES) | {"pipeline"} <= names
-    for n in range(1, 11):
+    for n in range(1, 14):
         assert sum(name.startswith(f"op{n}_") for name in names) == 1
     assert set(queries.SQL) <= set(entry.oracle_sql())
 
