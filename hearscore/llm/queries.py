@@ -22,6 +22,7 @@ from hearscore.llm import (
     pieces,
     pii,
     quality,
+    ranked,
     simhash,
     substring,
 )
@@ -151,6 +152,11 @@ def op12_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.written().alias("fingerprint"), "component_id")
 
 
+@register
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked.rank(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 # The word patterns of the contracts.
 _SPACED = r"[^\x20\x09-\x0D]+"
 _ALNUM = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -220,3 +226,29 @@ reached as (
 select doc_id, coalesce(n, 0)::bigint n_shingles, component_id
 from (select doc_id, min(other) component_id from reached group by doc_id) left join sizes using (doc_id)
 """
+
+SQL["op13_ranked_search"] = f"""
+with texts as (select doc_id, regexp_extract_all({_LOWER}, '{_ALNUM}') w from documents),
+lengths as (select doc_id, len(w) n from texts where len(w) > 0),
+corpus as (select count(*) all_docs, sum(n)::bigint all_terms from lengths),
+asked as (select distinct item_id, unnest(regexp_extract_all({_LOWER}, '{_ALNUM}')) term from benchmark),
+occurrences as (
+  select doc_id, term, count(*) tf from (select doc_id, unnest(w) term from texts)
+  where term in (select term from asked) group by all
+),
+weights as (
+  select term, floor(1000 * ln((2 * all_docs + 2)::double / (2 * df + 1)))::bigint weight
+  from (select term, count(*) df from occurrences group by term), corpus
+),
+scored as (
+  select item_id, doc_id,
+    sum(weight * ((1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + ((50 * n * all_docs) // all_terms)))))::bigint score
+  from asked join occurrences using (term) join weights using (term) join lengths using (doc_id), corpus
+  group by item_id, doc_id
+),
+ranked as (
+  select item_id, row_number() over (partition by item_id order by score desc, doc_id)::int rank, doc_id, score
+  from scored where score > 0
+)
+select * from ranked where rank <= 50
+"""
