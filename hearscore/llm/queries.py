@@ -23,6 +23,7 @@ from hearscore.llm import (
     pii,
     quality,
     ranked,
+    resample,
     simhash,
     substring,
 )
@@ -146,6 +147,11 @@ def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return perplexity.score(table(spark, sf_dir, "documents"), left_over(10, 0))
 
 
+@register
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 @register
 def op12_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.group(table(spark, sf_dir, "documents"))
@@ -252,3 +258,46 @@ ranked as (
 )
 select * from ranked where rank <= 50
 """
+
+SQL["op11_importance_resampling"] = f"""
+with crc as (
+  select list(list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0],
+    lambda c, k: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end) order by i) steps
+  from range(256) r(i)
+),
+docs as (select doc_id, regexp_extract_all({_LOWER}, '{_ALNUM}') w from documents),
+goal as (select regexp_extract_all({_LOWER}, '{_ALNUM}') w from benchmark),
+bytes as (
+  select word, list_transform(range(1, length(hex(encode(word))), 2),
+    lambda k: ('0x' || substr(hex(encode(word)), k, 2))::bigint) b
+  from (select unnest(w) word from docs union select unnest(w) from goal)
+),
+buckets as (
+  select word, xor(list_reduce([4294967295::bigint] || b, lambda c, x: xor(c >> 8, steps[(xor(c, x) & 255) + 1])),
+    4294967295) % 10000 bucket
+  from bytes, crc
+),
+ours as (select bucket, count(*) s from (select unnest(w) word from docs) join buckets using (word) group by bucket),
+theirs as (select bucket, count(*) t from (select unnest(w) word from goal) join buckets using (word) group by bucket),
+sums as (select (select coalesce(sum(s), 0) from ours)::double all_s, (select coalesce(sum(t), 0) from theirs)::double all_t),
+gains as (
+  select bucket, floor(1000 * ln((coalesce(t, 0) + 1)::double * (all_s + 10000)
+    / ((s + 1)::double * (all_t + 10000))))::bigint gain
+  from ours left join theirs using (bucket), sums
+),
+weights as (
+  select doc_id, sum(gain)::bigint weight
+  from (select doc_id, unnest(w) word from docs) join buckets using (word) join gains using (bucket) group by doc_id
+),
+scored as (
+  select doc_id, len(w)::bigint n_features, coalesce(weight, 0) weight,
+    coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || doc_id), 1, 8))::bigint + 0.5::double)
+      / 4294967296)))::bigint score
+  from docs left join weights using (doc_id)
+),
+ranked as (
+  select doc_id, row_number() over (order by score desc, doc_id) rank, count(*) over () n from scored where n_features >= 20
+)
+select doc_id, n_features, weight, score, case when rank <= 10 * n // 100 then rank end rank
+from scored left join ranked using (doc_id)
+"""

@@ -117,19 +117,6 @@ def xxh64(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = SE
     return h
 
 
-def _spaced(words: W.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """All words, each followed by one space, and where they start and end."""
-    size = words.ends - words.starts
-    ends = np.cumsum(size + 1) - 1
-    starts = ends - size
-    out = np.full(int(ends[-1]) + 1 if len(ends) else 0, 0x20, dtype=np.uint8)
-    inside = np.ones(len(out), dtype=bool)
-    inside[ends] = False
-    source = np.arange(len(out)) + np.repeat(words.starts - starts, size + 1)
-    out[inside] = words.data[source[inside]]
-    return out, starts, ends
-
-
 def fingerprints(texts: pa.Array, shingle: int = SHINGLE) -> np.ndarray:
     """Fingerprint of every text: a bit is 1 if it is set in over half the
     hashes of its shingles, repeats counted.  A text of fewer words is one
@@ -137,7 +124,7 @@ def fingerprints(texts: pa.Array, shingle: int = SHINGLE) -> np.ndarray:
     words = W.words_of(texts, lower=True)
     first, offsets = words.windows(shingle)
     short = np.flatnonzero((words.counts > 0) & (words.counts < shingle))
-    data, starts, ends = _spaced(words)
+    data, starts, ends = W.spaced(words)
     owner = np.concatenate([np.repeat(np.arange(len(texts)), np.diff(offsets)), short])
     begin = np.concatenate([first, words.offsets[short]])
     last = np.concatenate([first + shingle - 1, words.offsets[short + 1] - 1])

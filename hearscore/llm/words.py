@@ -149,6 +149,19 @@ def words_in(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray = SPACED,
     return Words(data, starts, ends, np.searchsorted(starts, offsets), hashes)
 
 
+def spaced(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All words, each followed by one space, and where they start and end."""
+    size = words.ends - words.starts
+    ends = np.cumsum(size + 1) - 1
+    starts = ends - size
+    out = np.full(int(ends[-1]) + 1 if len(ends) else 0, 0x20, dtype=np.uint8)
+    inside = np.ones(len(out), dtype=bool)
+    inside[ends] = False
+    source = np.arange(len(out)) + np.repeat(words.starts - starts, size + 1)
+    out[inside] = words.data[source[inside]]
+    return out, starts, ends
+
+
 def slices(batch: pa.RecordBatch, column: str, size: int = SLICE_BYTES):
     """``batch`` in runs of rows whose texts have about ``size`` bytes."""
     texts = batch.column(column)
