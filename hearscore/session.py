@@ -74,6 +74,17 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def drop_stage(table: DataFrame) -> None:
+    """Delete the files of a stage table: after all that reads it is stored."""
+    spark = table.sparkSession
+    own = f"{shared_dir(spark)}/hearscore/{spark.sparkContext.applicationId}/"
+    mark = own.split(":", 1)[-1].lstrip("/")
+    for folder in {name.rsplit("/", 1)[0] for name in table.inputFiles()}:
+        if mark in folder:
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def drop_stages(spark: SparkSession) -> None:
     """Delete the stage tables of this application: after what was made from
     them is stored."""
