@@ -5,15 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hearscore.session import stage
+from hearscore.session import drop_stage, stage
 
 
-def _with_least(edges: DataFrame) -> DataFrame:
-    """Edges ``u, v`` with the least neighbour ``m`` of u.  The minima are a
-    stored table, so that a node with very many edges is split by the skew
+def _with_least(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Edges ``u, v`` with the least neighbour ``m`` of u, and the minima.  These
+    are a stored table, so that a node with very many edges is split by the skew
     join like any other large partition."""
     least = stage(edges.groupBy("u").agg(F.min("v").alias("m")), "least")
-    return edges.join(least.hint("merge"), "u")
+    return edges.join(least.hint("merge"), "u"), least
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -24,7 +24,8 @@ def components(edges: DataFrame) -> DataFrame:
     neighbours to its least one, then its smaller ones (large star and small
     star of Kiveris et al., 2014).  The edges never become more, and the number
     of rounds grows with the logarithm of the nodes in practice.  Self-loops
-    and repeated edges are allowed; nodes without an edge are not listed.
+    and repeated edges are allowed; nodes without an edge are not listed.  The
+    tables of a round are deleted after the next one.
     """
     loops = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct()
     now = stage(
@@ -33,11 +34,15 @@ def components(edges: DataFrame) -> DataFrame:
     )
     while True:
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = _with_least(both).filter("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v"))
+        spread, least = _with_least(both)
+        large = spread.filter("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v"))
         large = stage(large, "large_star")
-        starred = _with_least(large)
+        starred, nearest = _with_least(large)
         small = starred.filter("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        done = (now, least, large, nearest)
         now = stage(small.union(starred.select("u", F.col("m").alias("v"))).distinct(), "small_star")
+        for table in done:
+            drop_stage(table)
         # Done when every node leads to one root: none leads to two, and none
         # that is led to leads on.
         ends = now.select(F.col("u").alias("node"), F.col("v").alias("to"))

@@ -4,20 +4,28 @@ The incidence of documents and shingles is a sparse matrix; the overlaps of
 documents are its product with its transpose.  It is never multiplied whole:
 
 1. *Classes.*  Documents with equal sets are one row from here on.
-2. *Column blocks.*  Two sets with Jaccard similarity s or more differ in at
-   most (1 - s) / (1 + s) of their summed sizes.  With one column block more
-   than that bound, dealt by hash, they agree in at least one whole block.  A
-   class therefore gives one row (hash of its part of the block) per block,
-   about a fifth of a row per shingle; only classes that agree in a block can
-   link.  The bound follows from the sizes, so sets are dealt by size range.
-3. *Row blocks.*  Classes connected by agreeing blocks form clusters.  Their
-   shingles are fetched, clusters are cut into row blocks of bounded mass, and
-   the product of two row blocks is accumulated densely, a run of columns at a
-   time.  Pairs outside the size bounds are discarded, exact counts decide the
-   rest, and a block returns a spanning forest of its links, not the links.
-   A cluster's blocks are first multiplied with themselves and with its first
-   block; after that, only what is not yet connected is multiplied with the
-   remaining blocks.
+2. *Column order.*  Shingles are put in one order, rare ones first as far as a
+   table of counts by hash tells.  The table has a fixed size; any order gives
+   the same result, a good one only keeps common columns out of step 3.
+3. *First columns.*  Two sets that link share at least ``a`` shingles, a bound
+   that follows from their sizes.  Of the first ``n - a + k`` shingles of
+   either in that order they then share ``k`` or more.  Rows of these first
+   columns are brought together by shingle; batches of columns are multiplied
+   (overlap counts of the pairs within each column) and the counts of a pair
+   summed.  Pairs outside the size bounds are discarded at once, pairs with
+   fewer than ``k`` shared first columns after that.
+4. *Full columns.*  A column that very many classes have among their first ones
+   isn't multiplied.  It counts for each of its classes as if shared, so that no
+   pair is discarded for it; classes with ``k`` such columns or more, which
+   could link without any other column, are tied to each other.
+5. *Row blocks.*  What is left connects classes to clusters, mostly near copies
+   of each other.  Their shingles are fetched, clusters are cut into row blocks
+   of bounded mass, and the product of two row blocks is accumulated densely, a
+   run of columns at a time.  Pairs outside the size bounds are discarded, exact
+   counts decide the rest, and a block returns a spanning forest of its links,
+   not the links.  A cluster's blocks are first multiplied with themselves and
+   with its first block; after that, only what is not yet connected is
+   multiplied with the remaining blocks.
 
 Links between different sets are decided on exact counts, and none is lost:
 what is left out are pairs that are already connected.
@@ -30,18 +38,23 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from hearscore.llm import words as W
 from hearscore.llm.graph import components
-from hearscore.session import stage
+from hearscore.session import drop_stage, stage
 
 SHINGLE = 3
 SIMILARITY = 90  # percent
 
-# Sizes of one range differ by this factor.
-_RANGE = 1.6
+# Numbers in the table of shingle counts.
+_COUNTS = 1 << 18
+# Further first columns that linked sets must share, percent of the smaller set.
+_EXTRA = 2
+# Classes of a column that is multiplied, and pairs at hand.
+_FULL = 64
+_PAIRS = 1 << 20
 # Shingles and rows of a row block, about.
 _MASS = 200_000
 _ROWS = 512
@@ -74,61 +87,54 @@ def _signatures(hashes: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return W.mix(sums[offsets[1:]] - sums[offsets[:-1]] + sizes * np.uint64(0x9E3779B97F4A7C15))
 
 
-def _levels(sizes: np.ndarray, similarity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sets (by number), the range they are dealt in, and by how many shingles
-    two linked sets of that range differ at most.
-
-    A set is dealt in the range of its size and, near the border of two
-    ranges, also in one of their own for pairs across it: even numbers are
-    within a range, odd ones at its lower border."""
-    k = np.floor(np.log(sizes) / np.log(_RANGE) + 1e-9).astype(np.int64)
-    top = np.power(_RANGE, np.arange(int(k.max(initial=0)) + 3, dtype=float))
-    share = (100 - similarity) / (100 + similarity)
-    reach = similarity / 100
-    who, level, total = [np.arange(len(sizes))], [2 * k], [2 * top[k + 1]]
-    # A little wider than needed, so that rounding can't lose a pair.
-    for near, border in ((sizes >= top[k + 1] * reach - 1, k + 1), (sizes <= top[k] / reach + 1, k)):
-        at = np.flatnonzero(near)
-        who.append(at)
-        level.append(2 * border[at] - 1)
-        total.append(top[border[at]] * (1 + 1 / reach) + 2)
-    return np.concatenate(who), np.concatenate(level), np.floor(np.concatenate(total) * share + 1e-6).astype(np.int64)
-
-
-def _block_hashes(hashes: np.ndarray, offsets: np.ndarray, similarity: int) -> tuple[np.ndarray, np.ndarray]:
-    """Set and hash of each part that a set has in a column block.
-
-    There are ``spare`` more blocks than the bound needs, so linked sets agree
-    in more than ``spare`` blocks.  Parts of very few shingles, which sets may
-    share by chance, are therefore left out where a set has no more than
-    ``spare`` of them; else all its parts count, empty ones too.  Sets that
-    can't differ at all and link give nothing."""
-    sizes = np.diff(offsets)
-    full = np.flatnonzero(sizes)
-    who, level, bound = _levels(sizes[full], similarity)
-    who, level, bound = full[who][bound > 0], level[bound > 0], bound[bound > 0]
-    spare = 2 + bound // 16
-    blocks = bound + 1 + spare
-    few = np.select([bound < 5, bound < 16], [0, 1], 2)
-    lengths = sizes[who]
-    at = np.arange(lengths.sum()) + np.repeat(offsets[:-1][who] - (np.cumsum(lengths) - lengths), lengths)
-    values = hashes[at]
-    row = np.repeat(np.arange(len(who)), lengths)
-    first = np.concatenate([[0], np.cumsum(blocks)])
-    number = (W.mix(values ^ np.uint64(0x5851F42D4C957F2D)) % blocks[row].astype(np.uint64)).astype(np.int64)
-    cell = first[row] + number
-    order = np.argsort(cell, kind="stable")
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(W.mix(values[order]), dtype=np.uint64)])
-    cut = np.searchsorted(cell[order], np.arange(first[-1] + 1))
-    owner = np.repeat(np.arange(len(who)), blocks)
-    scarce = np.diff(cut) <= few[owner]
-    dropped = scarce & (np.bincount(owner, scarce, len(who)) <= spare)[owner]
-    tag = (level[owner] << 40 | (np.arange(first[-1]) - first[owner])).astype(np.uint64)
-    parts = W.mix((sums[cut[1:]] - sums[cut[:-1]]) + W.mix(tag))
-    return who[owner][~dropped], parts[~dropped]
-
-
-def _part_rows(shingle: int, similarity: int):
+def least_overlap(one, two, similarity: int):
+    """Shingles that sets of these sizes share at least if they link."""
+    return -(-similarity * (one + two) // (100 + similarity))
+
+
+def least_shared(n):
+    """First columns that linked sets share at least, the smaller of size ``n``."""
+    return 1 + _EXTRA * n // 100
+
+
+def first_columns(n, similarity: int):
+    """How many of the first columns of a set of size ``n`` can count for a
+    link, whatever the other set."""
+    return np.minimum(n, n - -(-similarity * n // 100) + least_shared(n))
+
+
+def _count_rows(shingle: int):
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(_COUNTS, dtype=np.int64)
+        for batch in batches:
+            for part in W.slices(batch, "text"):
+                hashes, _ = shingle_sets(part.column("text"), shingle)
+                counts += np.bincount(_number(hashes), minlength=_COUNTS)
+        full = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(full), pa.array(counts[full])], names=["number", "n"])
+
+    return rows
+
+
+def _number(hashes: np.ndarray) -> np.ndarray:
+    """Place of each shingle in the table of counts."""
+    return (W.mix(hashes) % np.uint64(_COUNTS)).astype(np.int64)
+
+
+def _column_counts(docs: DataFrame, shingle: int) -> np.ndarray:
+    """The table of counts: ``_COUNTS`` numbers, for documents of any number."""
+    found = docs.select("text").mapInArrow(_count_rows(shingle), "number long, n long")
+    found = found.groupBy("number").agg(F.sum("n").alias("n")).toArrow()
+    counts = np.zeros(_COUNTS, dtype=np.int64)
+    counts[found.column("number").to_numpy()] = found.column("n").to_numpy()
+    # Their order is all that matters.
+    return np.unique(counts, return_inverse=True)[1].astype(np.int32)
+
+
+def _first_rows(shingle: int, similarity: int, counts):
+    """A row per document (without ``column``), and a row per first column of
+    each class."""
+
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done: set[int] = set()
         for batch in batches:
@@ -138,8 +144,8 @@ def _part_rows(shingle: int, similarity: int):
                 signature = _signatures(hashes, offsets).view(np.int64)
                 none = pa.nulls(len(part), pa.int64())
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array(signature, mask=sizes == 0), pa.array(sizes), none],
-                    names=["doc_id", "class", "n", "part"],
+                    [part.column("doc_id"), part.column("key"), pa.array(signature, mask=sizes == 0), pa.array(sizes), none, none],
+                    names=["doc_id", "key", "class", "n", "column", "place"],
                 )
                 # Copies within the task give the same rows once.
                 new = np.zeros(len(part), dtype=bool)
@@ -147,18 +153,72 @@ def _part_rows(shingle: int, similarity: int):
                     if (s := int(signature[i])) not in done:
                         done.add(s)
                         new[i] = True
-                keep = np.repeat(new, sizes)
-                left = np.concatenate([[0], np.cumsum(np.where(new, sizes, 0))])
-                who, parts = _block_hashes(hashes[keep], left, similarity)
-                none = pa.nulls(len(who), pa.int64())
+                owner = np.repeat(np.arange(len(part)), sizes)
+                keep = new[owner]
+                owner, own = owner[keep], hashes[keep]
+                order = np.lexsort((own, counts.value[_number(own)], owner))
+                owner, own = owner[order], own[order]
+                place = np.arange(len(own)) - np.searchsorted(owner, owner)
+                first = place < first_columns(sizes, similarity)[owner]
+                owner, own, place = owner[first], own[first], place[first]
+                none = pa.nulls(len(owner), pa.int64())
                 yield pa.RecordBatch.from_arrays(
-                    [none, pa.array(signature[who]), pa.array(sizes[who]), pa.array(parts.view(np.int64))],
-                    names=["doc_id", "class", "n", "part"],
+                    [none, none, *map(pa.array, (signature[owner], sizes[owner], own.view(np.int64), place))],
+                    names=["doc_id", "key", "class", "n", "column", "place"],
                 )
 
     return rows
 
 
+def _pair_rows(similarity: int):
+    """Of each batch of columns, how many first columns pairs of classes share."""
+
+    def shared(members: np.ndarray, sizes: np.ndarray, places: np.ndarray) -> np.ndarray:
+        """Pairs of one row of ``members`` each, and the sizes of both."""
+        x, y = np.triu_indices(members.shape[1], 1)
+        a, b = members[:, x].ravel(), members[:, y].ravel()
+        n_a, n_b, at_a, at_b = (v.ravel() for v in (sizes[:, x], sizes[:, y], places[:, x], places[:, y]))
+        swap = a > b
+        least = least_overlap(n_a, n_b, similarity)
+        more = least_shared(np.minimum(n_a, n_b))
+        near = (100 * np.minimum(n_a, n_b) >= similarity * np.maximum(n_a, n_b)) & (a != b)
+        near &= (at_a < n_a - least + more) & (at_b < n_b - least + more)
+        pairs = np.stack([np.where(swap, b, a), np.where(swap, a, b), np.where(swap, n_b, n_a), np.where(swap, n_a, n_b)])
+        return pairs[:, near]
+
+    def summed(parts: list[np.ndarray]) -> pa.RecordBatch:
+        pairs = np.concatenate([*parts, np.zeros((4, 0), np.int64)], axis=1)
+        pairs = pairs[:, np.lexsort((pairs[1], pairs[0]))]
+        new = np.concatenate([[True], (pairs[:2, 1:] != pairs[:2, :-1]).any(0)])[: pairs.shape[1]]
+        first = np.flatnonzero(new)
+        count = np.diff(np.append(first, pairs.shape[1]))
+        return pa.RecordBatch.from_arrays(
+            [*(pa.array(v) for v in pairs[:, first]), pa.array(count)], names=["a", "b", "n_a", "n_b", "both"]
+        )
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, held = [], 0
+        for batch in batches:
+            lists = batch.column("members")
+            offsets = lists.offsets.to_numpy()
+            own = [lists.values.field(c).to_numpy() for c in ("class", "n", "place")]
+            length = np.diff(offsets)
+            for k in np.unique(length[length > 1]).tolist():
+                starts = offsets[:-1][length == k]
+                step = max(1, _PAIRS // (k * k))
+                for at in range(0, len(starts), step):
+                    place = starts[at : at + step, None] + np.arange(k)
+                    parts.append(shared(*(v[place] for v in own)))
+                    held += parts[-1].shape[1]
+                    if held > _PAIRS:
+                        yield summed(parts)
+                        parts, held = [], 0
+        if held:
+            yield summed(parts)
+
+    return rows
+
+
 def _set_rows(shingle: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -281,54 +341,90 @@ def _strays(large: DataFrame, sets: DataFrame, first: DataFrame, binned, similar
     return _multiply(binned(sets.join(pairs, "class")), similarity)
 
 
-def link(docs: DataFrame, shingle: int = SHINGLE, similarity: int = SIMILARITY) -> DataFrame:
-    """``doc_id, n_shingles, component_id`` for every row of ``docs``.
-
-    Two documents link when 100 * |A & B| >= similarity * |A | B| for their
-    sets of distinct shingles; ``component_id`` is the smallest ``doc_id``
-    reachable by links.  Only ``doc_id`` and ``text`` are read.  A document
-    without words, or with a null text, has no shingles and is alone, and so
-    is a row without a ``doc_id`` (its component is null).
-    """
-    docs = docs.select(F.col("doc_id").cast("long"), "text")
-    rows = stage(
-        docs.mapInArrow(_part_rows(shingle, similarity), "doc_id long, class long, n long, part long"), "parts"
+def _candidates(first: DataFrame, similarity: int) -> DataFrame:
+    """``a, b``: edges that connect any two classes that can link, directly
+    or through others.  ``first`` has the first columns of all classes."""
+    columns = (
+        first.groupBy("column")
+        .agg(F.min("class").alias("low"), F.max("class").alias("high"), F.count("*").alias("rows"))
+        .filter("low < high")
+        .select("column", (F.col("rows") > _FULL).alias("full"))
     )
-    members = rows.filter("part IS NULL").select("doc_id", "class", "n")
-    parts = rows.filter("part IS NOT NULL").select("class", "part")
-    classes = (
-        members.filter("class IS NOT NULL AND doc_id IS NOT NULL")
-        .groupBy("class")
-        .agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"))
+    # Joins with all rows or texts are shuffled at every size.
+    shared = stage(first.join(stage(columns, "shared_columns").hint("merge"), "column"), "shared_first_columns")
+    full = stage(shared.filter("full").select("column", "class", "n").distinct(), "full_columns")
+    n_full = full.groupBy("class").agg(F.first("n").alias("n"), F.count("*").alias("n_full"))
+    n_full = stage(n_full, "full_column_counts")
+
+    counted = (
+        shared.filter("NOT full")
+        .groupBy("column")
+        .agg(F.collect_set(F.struct("class", "n", "place")).alias("members"))
+        .mapInArrow(_pair_rows(similarity), "a long, b long, n_a long, n_b long, both long")
+        .groupBy("a", "b")
+        .agg(F.least(F.first("n_a"), F.first("n_b")).alias("n"), F.sum("both").alias("both"))
     )
-
-    agreeing = stage(
-        parts.groupBy("part").agg(F.min("class").alias("hub"), F.max("class").alias("last")).filter("hub < last").drop("last"),
-        "agreeing_parts",
+    known = n_full.select("class", "n_full")
+    needed = F.lit(1) + F.floor(F.lit(_EXTRA) * F.col("n") / 100)
+    pairs = (
+        counted.join(known.toDF("a", "full_a"), "a", "left")
+        .join(known.toDF("b", "full_b"), "b", "left")
+        .filter(F.col("both") + F.least(F.coalesce("full_a", F.lit(0)), F.coalesce("full_b", F.lit(0))) >= needed)
+        .select("a", "b")
     )
-    # Joins with all parts or texts are shuffled at every size.
-    stars = parts.join(agreeing.hint("merge"), "part").filter("class > hub").select(F.col("hub").alias("a"), F.col("class").alias("b")).distinct()
-    clusters = stage(components(stage(stars, "stars")).toDF("class", "cluster"), "clusters")
+    # The smaller of two linked sets has at least this share of the other.
+    smallest = F.ceil(F.lit(similarity) * F.col("n") / 100)
+    tied = full.join(
+        n_full.filter(F.col("n_full") >= 1 + F.floor(_EXTRA * smallest / 100)).select("class"), "class", "left_semi"
+    )
+    hubs = tied.groupBy("column").agg(F.min("class").alias("a"))
+    stars = tied.join(hubs, "column").filter("class > a").select("a", F.col("class").alias("b"))
+    edges = stage(pairs.union(stars).distinct(), "candidates")
+    drop_stage(shared)
+    return edges
 
-    # What is cut and paired are rows without shingles; those come last.
+
+def _class_components(docs: DataFrame, shingle: int, similarity: int) -> tuple[DataFrame, DataFrame]:
+    """``doc_id, key, class, n`` of every row of ``docs`` (``class`` null if it
+    has no shingles) and the ``links`` of a spanning forest of classes."""
+    if not 0 < similarity <= 100:
+        raise ValueError("similarity is a percentage above 0")
+    counts = docs.sparkSession.sparkContext.broadcast(_column_counts(docs, shingle))  # 1 MB
+    rows = stage(
+        docs.mapInArrow(
+            _first_rows(shingle, similarity, counts), "doc_id long, key long, class long, n long, column long, place long"
+        ),
+        "first_columns",
+    )
+    members = stage(rows.filter("column IS NULL").select("doc_id", "key", "class", "n"), "members")
+    edges = _candidates(rows.filter("column IS NOT NULL").select("column", "class", "n", "place"), similarity)
+    drop_stage(rows)
+    clusters = stage(components(edges).toDF("class", "cluster"), "clusters")
+
+    # One row stands for its class.  What is cut and paired are rows without
+    # shingles; those come last.
+    classes = members.filter("class IS NOT NULL").groupBy("class").agg(
+        F.min_by(F.struct("doc_id", "key"), F.struct(F.col("doc_id").isNull(), "doc_id", "key")).alias("one"),
+        F.first("n").alias("n"),
+    )
+    found = stage(clusters.join(classes, "class").select("class", "cluster", "n", "one.*"), "clustered")
     size = stage(
-        clusters.join(classes, "class")
-        .groupBy("cluster")
+        found.groupBy("cluster")
         .agg(F.count("*").alias("rows"), F.sum("n").alias("mass"))
         .withColumn("blocks", F.greatest(F.ceil(F.col("rows") / _ROWS), F.ceil(F.col("mass") / _MASS))),
         "cluster_sizes",
     )
     n_bins = size.agg(F.ceil(F.sum("mass") / _MASS)).first()[0] or 1
     placed = stage(
-        clusters.join(classes, "class")
-        .join(size.select("cluster", "blocks"), "cluster")
-        .withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks"))),
+        found.join(size.select("cluster", "blocks"), "cluster").withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks"))),
         "row_blocks",
     )
+    own = placed.select(F.col("doc_id").alias("__id"), "key", "class", "cluster", "blocks", "block").hint("merge")
+    same = (docs["key"] == own["key"]) & docs["doc_id"].eqNullSafe(own["__id"])
     sets = stage(
-        docs.join(placed.select("doc_id", "class", "cluster", "blocks", "block").hint("merge"), "doc_id").mapInArrow(
-            _set_rows(shingle), "class long, cluster long, blocks long, block long, n long, shingles binary"
-        ),
+        docs.join(own, same)
+        .select("text", "class", "cluster", "blocks", "block")
+        .mapInArrow(_set_rows(shingle), "class long, cluster long, blocks long, block long, n long, shingles binary"),
         "sets",
     )
 
@@ -340,24 +436,78 @@ def link(docs: DataFrame, shingle: int = SHINGLE, similarity: int = SIMILARITY)
     last = F.col("blocks") - 1
     others = F.when(F.col("block") > 0, F.array("block")).otherwise(F.sequence(F.least(F.lit(1), last), last))
     first = _multiply(binned(sets.withColumn("one", F.lit(0)).withColumn("two", F.explode(others))), similarity)
-
     links = first
     large = placed.filter("blocks > 1")
     if not large.isEmpty():
         links = first.union(_strays(large, sets, first, binned, similarity))
-    linked = components(links).toDF("class", "root")
-    found = classes.join(linked, "class", "left").withColumn("root", F.coalesce("root", "class"))
-    least = stage(found.groupBy("root").agg(F.min("doc_id").alias("component_id")), "least_documents")
+    drop_stage(sets)
+    return members, links
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """``doc_id, key, text``; the key stands for the text."""
+    return docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("key"), "text")
+
+
+def link(docs: DataFrame, shingle: int = SHINGLE, similarity: int = SIMILARITY) -> DataFrame:
+    """``doc_id, n_shingles, component_id`` for every row of ``docs``.
+
+    Two documents link when 100 * |A & B| >= similarity * |A | B| for their
+    sets of distinct shingles; ``component_id`` is the smallest ``doc_id``
+    reachable by links.  Only ``doc_id`` and ``text`` are read.  A text that is
+    null or without words has no shingles and links nothing.  Rows that share a
+    ``doc_id`` are one document: what links to any of its texts is reachable
+    through it, while ``n_shingles`` is each row's own.  A row without a
+    ``doc_id`` links like others but gives no id to a component, which is null
+    where no row of it has one.
+    """
+    members, links = _class_components(_keyed(docs), shingle, similarity)
+    full = members.filter("class IS NOT NULL")
+    named = full.filter("doc_id IS NOT NULL")
+    several = named.groupBy("doc_id").agg(F.min("class").alias("a"), F.max("class").alias("b")).filter("a < b")
+    same = named.join(several.select("doc_id", "a"), "doc_id").filter("class > a").select("a", F.col("class").alias("b"))
+    linked = components(links.union(stage(same.distinct(), "texts_of_one_id"))).toDF("class", "root")
+    found = full.groupBy("class").agg(F.min("doc_id").alias("doc_id"))
+    found = found.join(linked, "class", "left").withColumn("root", F.coalesce("root", "class"))
+    found = stage(found, "linked_classes")
+    least = found.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     by_class = stage(found.join(least, "root").select("class", "component_id"), "class_components")
-    return members.join(by_class, "class", "left").select(
-        "doc_id",
-        F.col("n").alias("n_shingles"),
-        F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"),
-    )
+    placed = stage(full.join(by_class, "class").select("doc_id", "n", "component_id"), "components")
+    blank = members.filter("class IS NULL").select("doc_id", "n")
+    by_id = placed.groupBy("doc_id").agg(F.first("component_id").alias("component_id"))
+    return placed.union(
+        blank.join(by_id, "doc_id", "left").select("doc_id", "n", F.coalesce("component_id", "doc_id"))
+    ).withColumnRenamed("n", "n_shingles")
 
 
 def distinct(docs: DataFrame, shingle: int = SHINGLE, similarity: int = SIMILARITY) -> DataFrame:
-    """The rows of ``docs``, with all their columns, but of each group of
-    linked documents only that with the smallest ``doc_id``."""
-    others = link(docs, shingle, similarity).filter("component_id < doc_id").select("doc_id").distinct()
-    return docs.join(others.hint("merge"), "doc_id", "left_anti")
+    """The rows of ``docs``, with all their columns, but of each group of equal
+    or linked texts only one.
+
+    That with the smallest ``doc_id`` stays (rows without one come last); of
+    several texts of that id which are linked, the one with the smallest
+    ``xxhash64``, and of rows that repeat this id and text, the first one as
+    JSON.  Ids don't link: other texts of an id are judged for themselves.
+    Texts without words stay, all of them.
+    """
+    members, links = _class_components(_keyed(docs), shingle, similarity)
+    linked = components(links).toDF("class", "root")
+    found = members.filter("class IS NOT NULL").join(linked, "class", "left")
+    found = found.select("doc_id", "key", F.coalesce("root", "class").alias("root"))
+    found = stage(found.groupBy("doc_id", "key").agg(F.first("root").alias("root"), F.count("*").alias("n")), "texts")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")
+    first = found.groupBy("root").agg(F.min(order).alias("first"))
+    # Texts that go, and those that stay but are there several times.
+    marks = found.join(first, "root").select(
+        F.col("doc_id").alias("__id"), F.col("key").alias("__of"), (order == F.col("first")).alias("__first"), "n"
+    )
+    marks = stage(marks.filter("NOT __first OR n > 1").drop("n"), "marks").hint("merge")
+    rows = docs.withColumn("__key", F.xxhash64("text"))
+    same = (F.col("__key") == F.col("__of")) & F.col("doc_id").cast("long").eqNullSafe(F.col("__id"))
+    once = rows.join(marks, same, "left_anti")
+    if not marks.filter("__first").isEmpty():
+        repeated = rows.join(marks.filter("__first"), same, "left_semi")
+        again = Window.partitionBy("doc_id", "__key").orderBy(F.to_json(F.struct(*docs.columns)))
+        repeated = repeated.withColumn("__again", F.row_number().over(again)).filter("__again = 1").drop("__again")
+        once = once.union(repeated)
+    return once.drop("__key")

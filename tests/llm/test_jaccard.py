@@ -3,8 +3,10 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import pytest
 
 from hearscore.llm import graph, jaccard
+from hearscore.llm import words as W
 from hearscore.llm.queries import QUERIES
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -83,23 +85,80 @@ def test_blocks_of_large_clusters(spark, monkeypatch):
     assert found(spark, rows) == sorted(brute(rows), key=str)
 
 
-def test_linked_sets_agree_in_a_block():
-    r = np.random.default_rng(2)
-    for size in [9, 10, 12, 20, 33, 57, 90, 145, 300, 371, 1000, 4000]:
-        for _ in range(20):
-            a = r.integers(1, 2**63, size).astype(np.uint64)
-            # b as far from a as a link allows: drop some and add some.
-            low = int(np.ceil(0.9 * size))
-            drop = r.integers(0, size - low + 1)
-            kept = a[drop:]
-            most = int(np.floor(len(kept) / 0.9 + 1e-9)) - size
-            b = np.concatenate([kept, r.integers(1, 2**63, max(0, most)).astype(np.uint64)])
-            assert 100 * len(kept) >= 90 * (size + max(0, most))
-            sets = [np.sort(a), np.sort(b)]
-            hashes, offsets = np.concatenate(sets), np.concatenate([[0], np.cumsum([len(x) for x in sets])])
-            who, parts = jaccard._block_hashes(hashes, offsets, 90)
-            if len(b) != size or drop:
-                assert set(parts[who == 0]) & set(parts[who == 1]), (size, len(b))
+def linked_sets(r, size, similarity):
+    """Two sets as far apart as a link allows, or nearer."""
+    a = r.integers(1, 2**63, size).astype(np.uint64)
+    low = -(-similarity * size // 100)
+    kept = a[r.integers(0, size - low + 1) :]
+    most = max(0, 100 * len(kept) // similarity - size)
+    b = np.concatenate([kept, r.integers(1, 2**63, r.integers(0, most + 1)).astype(np.uint64)])
+    assert 100 * len(kept) >= similarity * (size + len(b) - len(kept))
+    return a, b
+
+
+@pytest.mark.parametrize("similarity", [30, 50, 60, 80, 90, 100])
+def test_linked_sets_share_first_columns(similarity):
+    r = np.random.default_rng(similarity)
+    for size in [1, 2, 3, 9, 10, 17, 26, 43, 90, 300, 371, 1000]:
+        for _ in range(30):
+            a, b = linked_sets(r, size, similarity)
+            least = jaccard.least_overlap(len(a), len(b), similarity)
+            assert len(np.intersect1d(a, b)) >= least
+            extra = jaccard.least_shared(min(len(a), len(b)))
+            # Any order will do.
+            tops = [set(np.sort(W.mix(x))[: len(x) - least + extra].tolist()) for x in (a, b)]
+            assert len(tops[0] & tops[1]) >= min(extra, least)
+            for x in (a, b):
+                assert len(x) - least + extra <= jaccard.first_columns(len(x), similarity) or len(x) <= jaccard.first_columns(len(x), similarity)
+                assert extra >= jaccard.least_shared(-(-similarity * len(x) // 100))
+
+
+@pytest.mark.parametrize("similarity", [50, 60, 80, 95])
+@pytest.mark.parametrize("full", [64, 2])
+def test_other_similarities(spark, monkeypatch, similarity, full):
+    monkeypatch.setattr(jaccard, "_FULL", full)
+    r = random.Random(similarity)
+    rows = near_copies(r, 120)
+    for size in (10, 26, 60, 200):  # lengths far apart
+        words = [f"v{r.randint(0, 9000)}" for _ in range(size)]
+        for _ in range(5):
+            more = [f"u{r.randint(0, 9000)}" for _ in range(r.randint(0, size))]
+            rows.append((2000 + len(rows), " ".join(words + more)))
+    want = brute(rows, similarity)
+    assert found(spark, rows, similarity=similarity) == sorted(want, key=str)
+
+
+def test_pairs_of_columns():
+    """Counts of a batch are those of all pairs of its columns."""
+    r = np.random.default_rng(7)
+    columns = [r.choice(40, k, replace=False) for k in (1, 2, 2, 3, 9, 9, 20)]
+    member = [[{"class": int(c), "n": 100, "place": 0} for c in own] for own in columns]
+    kind = pa.list_(pa.struct([("class", pa.int64()), ("n", pa.int64()), ("place", pa.int64())]))
+    batch = pa.RecordBatch.from_arrays([pa.array(member, kind)], names=["members"])
+    got = {}
+    for part in jaccard._pair_rows(90)([batch]):
+        for row in part.to_pylist():
+            assert (row["a"], row["b"]) not in got and row["a"] < row["b"]
+            got[row["a"], row["b"]] = row["both"]
+    want = {}
+    for own in columns:
+        for x in own:
+            for y in own:
+                if x < y:
+                    want[int(x), int(y)] = want.get((int(x), int(y)), 0) + 1
+    assert got == want
+
+
+def test_columns_in_common_do_not_gather_documents(spark):
+    """Documents that share passages but don't link stay out of clusters."""
+    r = random.Random(12)
+    shared = [" ".join(f"s{k}x{i}" for i in range(40)) for k in range(3)]
+    rows = [(i, " ".join([*(f"t{r.randint(0, 10**6)}" for _ in range(200)), shared[i % 3]])) for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    counts = spark.sparkContext.broadcast(jaccard._column_counts(docs, 3))
+    kind = "doc_id long, key long, class long, n long, column long, place long"
+    first = jaccard._keyed(docs).mapInArrow(jaccard._first_rows(3, 80, counts), kind).filter("column IS NOT NULL")
+    assert jaccard._candidates(first.select("column", "class", "n", "place"), 80).count() == 0
 
 
 def test_overlaps():
@@ -114,8 +173,29 @@ def test_overlaps():
 
 def test_empty_and_odd(spark):
     assert found(spark, []) == []
-    docs = spark.createDataFrame([(None, "a b c d"), (4, "a b c d"), (4, None)], "doc_id long, text string")
-    assert sorted(map(tuple, jaccard.link(docs).collect()), key=str) == [(4, 0, 4), (4, 2, 4), (None, 2, None)]
+    docs = spark.createDataFrame([(None, "a b c d"), (4, "a b c d"), (4, None), (None, "e"), (None, "")], "doc_id long, text string")
+    assert sorted(map(tuple, jaccard.link(docs).collect()), key=str) == [
+        (4, 0, 4), (4, 2, 4), (None, 0, None), (None, 1, None), (None, 2, 4)
+    ]
+    for similarity in (0, 101):
+        with pytest.raises(ValueError):
+            jaccard.link(docs, similarity=similarity)
+
+
+def test_texts_of_one_id(spark):
+    rows = [(5, "a b c"), (5, "d e f"), (3, "a b c"), (1, "d e f"), (5, None), (7, "g")]
+    assert sorted(set(found(spark, rows))) == [(1, 1, 1), (3, 1, 1), (5, 0, 1), (5, 1, 1), (7, 1, 7)]
+
+
+def test_distinct(spark):
+    a, b = "one text of some words", "another text of other words"
+    rows = [(1, a), (1, a), (None, a), (None, a), (2, a), (2, b), (3, a), (4, None), (4, None), (5, " "), (None, "n o"), (None, "n o")]
+    docs = spark.createDataFrame([(i, t, k, {"k": k}) for k, (i, t) in enumerate(rows)], "doc_id long, text string, key int, `class` map<string,int>")
+    kept = jaccard.distinct(docs)
+    assert kept.columns == docs.columns
+    got = sorted([(r.doc_id, r.text, r.key) for r in kept.collect()], key=str)
+    assert got == sorted([(1, a, 0), (2, b, 5), (4, None, 7), (4, None, 8), (5, " ", 9), (None, "n o", 10)], key=str)
+    assert jaccard.distinct(docs.limit(0)).collect() == []
 
 
 def test_components(spark):

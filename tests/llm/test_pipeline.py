@@ -1,16 +1,18 @@
+import random
 import re
 
 import pytest
 import sentencepiece
 from test_decontaminate import brute as hits_of
-from test_jaccard import brute as groups_of
 from test_pii import brute as spans_of
+from test_pipeline_near import first_of_groups
 
 import corpus_pipeline
 from hearscore.llm import quality, queries
 from hearscore.session import stage
 
 SF = "/root/testdata/sf0.001"
+KIND = "doc_id long, text string, lang string, source string, n_chars long"
 
 
 @pytest.fixture(scope="module")
@@ -45,10 +47,34 @@ def test_quality(spark, stages):
 
 def test_one_of_each_group(stages):
     before, after = stages[1]
-    kept = [(i,) for i, _, c in groups_of(rows_of(before, "doc_id", "text")) if i == c]
+    kept = [(i,) for i in first_of_groups(rows_of(before, "doc_id", "text"))]
     assert rows_of(after, "doc_id") == kept and len(kept) < before.count()
 
 
+def test_decisions_are_on_texts(spark):
+    """Null and repeated ids: equal texts leave one row, others stay."""
+    r = random.Random(4)
+    a, b = (" ".join(f"{c}{r.randint(0, 999)}" for _ in range(60)) for c in "ab")
+    rows = [(1, a), (1, a), (None, a), (None, a), (2, a), (2, b), (3, a)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t), "x") for i, t in rows], f"{KIND}, __key string")
+    kept = corpus_pipeline.drop_near_duplicates(spark, docs, SF)
+    assert kept.columns == docs.columns and rows_of(kept, "doc_id", "text") == [(1, a), (2, b)]
+
+    item = spark.read.parquet(f"{SF}/benchmark.parquet").first().text
+    rows = [(None, item), (None, b), (5, item), (5, b), (6, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0, "x") for i, t in rows], f"{KIND}, contaminated string")
+    kept = corpus_pipeline.drop_contaminated(spark, docs, SF)
+    assert kept.columns == docs.columns
+    assert sorted(((x.doc_id, x.text) for x in kept.collect()), key=str) == sorted([(None, b), (5, b), (6, None)], key=str)
+
+
+def test_empty_tables(spark):
+    docs = spark.createDataFrame([], KIND)
+    for name, step in corpus_pipeline.STAGES[1:]:
+        after = step(spark, docs, SF)
+        assert after.collect() == [] and (name == "sentencepiece" or after.columns == docs.columns)
+
+
 def test_contaminated(spark, stages):
     before, after = stages[2]
     items = rows_of(spark.read.parquet(f"{SF}/benchmark.parquet"), "item_id", "text")
