@@ -8,6 +8,7 @@ passages of test items go, personal data is replaced, and texts become ids.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from hearscore.llm import jaccard, pieces, pii, queries, quality
 from hearscore.session import stage
@@ -26,15 +27,19 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents whose sets of five-word shingles link, the first one."""
+    """Of equal texts and of those whose sets of five-word shingles link, one;
+    rows without an id are judged like others."""
     return jaccard.distinct(docs, SHINGLE, SIMILARITY)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents a twentieth of whose words, or more, lie in windows of test
-    items go."""
-    found = queries.decontaminated(docs, queries.table(spark, sf_dir, "benchmark"))
-    return docs.join(found.filter("contaminated").select("doc_id").distinct(), "doc_id", "left_anti")
+    items go.  Texts are judged, not ids: rows without an id, and several texts
+    of one id, each get their own decision."""
+    texts = docs.select(F.xxhash64("text").alias("doc_id"), "text")
+    found = queries.decontaminated(texts, queries.table(spark, sf_dir, "benchmark"))
+    gone = found.filter("contaminated").select(F.col("doc_id").alias("__text")).distinct()
+    return docs.join(gone, F.xxhash64(docs["text"]) == gone["__text"], "left_anti")
 
 
 def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
