@@ -1,0 +1,121 @@
+"""Files with line breaks inside quotes, read in many blocks."""
+
+import random
+
+import pytest
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from hearscore.sources import tsv
+
+KIND = T.StructType([T.StructField(c, T.StringType()) for c in ("a", "b", "c")])
+
+
+@pytest.fixture(params=[61, 1 << 20])
+def blocks(spark, request):
+    """Blocks of so many bytes."""
+    old = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    for k in old:
+        spark.conf.set(k, str(request.param))
+    yield request.param
+    for k, v in old.items():
+        spark.conf.set(k, v)
+
+
+def quoted(text):
+    return '"' + text.replace('"', '""') + '"'
+
+
+def random_field(r):
+    parts = ["x", "żó", " ", '"', '""', "\n", "\n\n", "\t", "'", "5\" pipe", "\\", "word", "a\r\nb", "é" * r.randint(1, 9)]
+    text = "".join(r.choice(parts) for _ in range(r.choice([0, 1, 3, 8, 40])))
+    kind = r.random()
+    if kind < 0.6:
+        return quoted(text)
+    plain = text.replace("\n", "").replace("\t", "").replace("\r", "")
+    return "" if kind < 0.7 else ("p" + plain if plain.startswith('"') else plain)
+
+
+def expected(spark, path):
+    """What the reader of one task per file gives."""
+    options = {"sep": "\t", "header": True, "escape": '"', "multiLine": True, "emptyValue": "\u0001empty\u0001"}
+    table = spark.read.options(**options).schema(KIND).csv(path)
+    return table.select(*(F.when(F.col(c) == "\u0001empty\u0001", F.lit("")).otherwise(F.col(c)).alias(c) for c in KIND.names))
+
+
+def rows(df):
+    return sorted(map(repr, map(tuple, df.collect())))
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_as_one_task_reads_it(spark, tmp_path, blocks, seed):
+    r = random.Random(seed)
+    for k in range(3):
+        records = ["\t".join(random_field(r) or "z" for _ in range(3)) for _ in range(60)]
+        body = "\n".join(["a\tb\tc", *records]) + ("\n" if k % 2 else "")
+        (tmp_path / f"{k}.tsv").write_bytes(body.encode())
+    (tmp_path / "empty.tsv").write_bytes(b"")
+    (tmp_path / "header.tsv").write_bytes(b"a\tb\tc\n")
+    found = tsv.scan_tsv(spark, str(tmp_path), KIND, multi_line=True)
+    assert found.columns == KIND.names
+    assert rows(found) == rows(expected(spark, str(tmp_path)))
+
+
+def test_windows_line_ends(spark, tmp_path, blocks):
+    body = 'a\tb\tc\r\n"1"\t"x\r\ny"\tz\r\n\r\n2\t""\t"q""\n"\r\n'
+    (tmp_path / "w.tsv").write_bytes(body.encode())
+    found = tsv.scan_tsv(spark, str(tmp_path), KIND, multi_line=True)
+    assert rows(found) == sorted(map(repr, [("1", "x\r\ny", "z"), ("2", "", 'q"\n')]))
+
+
+def test_a_record_over_many_blocks(spark, tmp_path, blocks):
+    long = "\n".join(f'line {k} with ""quotes""' if k % 3 else "" for k in range(200))
+    head = '"a\n\n' + "header " * 20 + '"\tb\tc\n'
+    body = head + f'1\t"{long}"\tx\n2\ty\t"{long}"\n3\tlast\t"open\nto the end'
+    (tmp_path / "l.tsv").write_text(body)
+    text = long.replace('""', '"')
+    found = tsv.scan_tsv(spark, str(tmp_path), KIND, multi_line=True).filter("a < 3")
+    assert rows(found) == sorted(map(repr, [("1", text, "x"), ("2", "y", text)]))
+    everything = tsv.scan_tsv(spark, str(tmp_path), KIND, multi_line=True)
+    assert everything.count() == 3 and "open\nto the end" in everything.filter("a = 3").first().c
+
+
+def test_many_tasks_read_one_file(spark, tmp_path, blocks):
+    body = "a\tb\tc\n" + "".join(f'{k}\t"two\nlines"\t"say ""{k}"""\n' for k in range(2000))
+    (tmp_path / "m.tsv").write_text(body)
+    found = tsv.scan_tsv(spark, str(tmp_path), KIND, multi_line=True)
+    assert rows(found) == sorted(repr((f"{k}", "two\nlines", f'say "{k}"')) for k in range(2000))
+    if blocks < 100:
+        # The second half of the partitions belongs to what crosses blocks.
+        assert found.rdd.getNumPartitions() > 100
+
+
+def test_what_is_written_comes_back_by_partition(spark, tmp_path, blocks):
+    data = [(k, f"t{k}\n\"{k}\"", None if k % 3 else "", f"0{k % 4}") for k in range(50)]
+    df = spark.createDataFrame(data, "n int, text string, other string, level string")
+    path = str(tmp_path / "p")
+    tsv.sink_tsv(df, path, partition_by=["level"])
+    back = tsv.scan_tsv(spark, path, df.schema, multi_line=True)
+    assert rows(back.select(*df.columns)) == rows(df)
+    assert rows(back.filter("level = '01'").select("n")) == sorted(repr((k,)) for k in range(50) if k % 4 == 1)
+
+
+@pytest.mark.parametrize(
+    ("line", "out", "inn"),
+    [
+        ("a\tb", False, True),
+        ('"a', True, False),
+        ('a"b\tc', False, False),
+        ('x\t"a""', True, False),
+        ('x\t"a"""', False, False),
+        ('"a"\t"b', True, True),
+        ('""', False, True),
+        ('"""', True, False),
+        ('a"\t"b', True, True),
+        ('a"\tb', False, False),
+        ('"a"x\t"y"', False, True),
+        ("", False, True),
+    ],
+)
+def test_state_of_a_line(line, out, inn):
+    assert (tsv.ends_inside(line, False), tsv.ends_inside(line, True)) == (out, inn)
