@@ -754,4 +754,12 @@ def statements() -> dict[str, str]:
         "worded",
         extra=[*_STREAM_VARIANTS, *_counting(), *_GROUPED, pooled],
     )
+    spoken = [(n, f"select * from ({q}) where sample_idx // 100 % 17 <> 0" if n == "said" else q) for n, q in _STREAM_VARIANTS]
+    sql["streaming_rescored"] = _q(
+        _percents("pooled", groups),
+        "samples",
+        "runs",
+        "worded",
+        extra=[*spoken, *_counting(), *_GROUPED, pooled],
+    )
     return sql

@@ -15,9 +15,9 @@ from pyspark.sql import functions as F
 
 from hearscore.functions import rates
 from hearscore.functions.align import edit_counts_of_variants
-from hearscore.functions.text import check_norm_types, clip_id, normalise
+from hearscore.functions.text import check_norm_types, clip_id, is_valid_pair, normalise
 from hearscore.operators.ordered import BITS, running_totals
-from hearscore.operators.selection import non_empty_pairs, valid_pairs
+from hearscore.operators.selection import cast_text, non_empty_pairs, require_columns, valid_pairs
 
 RUN_KEYS = ["dataset", "subset", "split", "codename", "version"]
 
@@ -56,16 +56,22 @@ def score_clips(
     tasks: int | None = None,
     ref: str = "text",
     hyp: str = "hypothesis",
+    keep_invalid: bool = False,
 ) -> DataFrame:
     """Eval input rows that can be scored, with the counts of every
     normalisation; those of a normalisation that leaves a side empty are NULL.
+    ``keep_invalid`` keeps the other rows, without hypothesis and counts.
 
     ``tasks`` spreads the rows over that many tasks first: for input that
     has fewer partitions than there are cores (scoring is CPU work).
     """
     norm_types = check_norm_types(norm_types)
     wanted = rates.needed_counts(metrics)
-    rows = valid_pairs(eval_input, ref, hyp)
+    if keep_invalid:
+        rows = eval_input.withColumn(hyp, F.when(is_valid_pair(ref, hyp), F.col(hyp)))
+        rows = cast_text(require_columns(rows, ref, hyp), ref, hyp)
+    else:
+        rows = valid_pairs(eval_input, ref, hyp)
     if tasks:
         rows = rows.repartition(tasks)
     # Each text is made once, in a projection of its own.
@@ -170,8 +176,15 @@ def corpus_counts(
         *(
             F.sum(count_column(n, c)).alias(count_column(n, c)) for n in norm_types for c in wanted
         ),
-        *(F.count(count_column(n, first)).alias(f"__n_{n}_rows") for n in norm_types),
+        *(F.count(count_column(n, first)).alias(count_column(n, "rows")) for n in norm_types),
     )
+    return by_normalisation(pooled, norm_types, wanted, keys).filter(F.col("sample_count") > 0)
+
+
+def by_normalisation(
+    pooled: DataFrame, norm_types: Sequence[str], wanted: Sequence[str], keys: Sequence[str]
+) -> DataFrame:
+    """Pooled counts that stand side by side as one row per normalisation."""
     return pooled.select(
         *keys,
         F.inline(
@@ -179,14 +192,14 @@ def corpus_counts(
                 *(
                     F.struct(
                         F.lit(n).alias("norm_type"),
-                        F.col(f"__n_{n}_rows").alias("sample_count"),
+                        counts_of(n)("rows").alias("sample_count"),
                         *(counts_of(n)(c).alias(c) for c in wanted),
                     )
                     for n in norm_types
                 )
             )
         ),
-    ).filter(F.col("sample_count") > 0)
+    )
 
 
 def corpus_metrics(

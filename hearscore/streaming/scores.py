@@ -2,22 +2,42 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
+from hearscore.functions import rates
 from hearscore.operators.corpus_stats import split_moments
 from hearscore.operators.joins import latest_hypotheses
-from hearscore.operators.scoring import RUN_KEYS, corpus_counts, score_clips
+from hearscore.operators.scoring import RUN_KEYS, by_normalisation, count_column, score_clips
 from hearscore.schema import CACHE_KEY
 
 
+# Results of earlier batches that stay for who is still reading them.
+_RESULTS_KEPT = 3
+
+
 def _batch_path(path: str, batch_id: int) -> str:
     return f"{path}/batch={batch_id:012d}"
 
 
+def _batches(spark: SparkSession, path: str) -> list[int]:
+    """Numbers of the batches below ``path`` that are complete."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = files.globStatus(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/batch=*/_SUCCESS")) or []
+    return sorted(int(f.getPath().getParent().getName().split("=")[1]) for f in found)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def _run(
     stream: DataFrame,
     write: Callable[[DataFrame, int], None],
@@ -56,6 +76,36 @@ def stream_statistics(
     return _run(split_moments(samples, **options), write, checkpoint, "complete", available_now)
 
 
+def _replacing(order: Sequence[str], values: Sequence[str], groups: Sequence[str], made: Sequence[str]):
+    """State of one clip: the order of its last write and that write's counts.
+    Returned is what a new write changes: its counts less the old ones."""
+
+    def rank(row: dict) -> tuple:
+        return tuple((row[c] is not None, row[c]) for c in order)
+
+    def change(key: tuple, arrived: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        old = dict(zip((*order, *values), state.get)) if state.exists else None
+        last = old
+        for rows in arrived:
+            plain = rows.astype(object).where(rows.notna(), None)
+            for row in plain[[*order, *values]].to_dict("records"):
+                # Of equal ranks the later one, as far as rows have an order.
+                if last is None or rank(row) >= rank(last):
+                    last = row
+        if last is old:
+            return
+        state.update(tuple(last[c] if c in order or last[c] is None else int(last[c]) for c in (*order, *values)))
+        counts = [int(last[c] or 0) - int(old[c] or 0 if old else 0) for c in values]
+        # Each normalisation has as many values; the first one tells if it counted.
+        each = len(values) // len(made)
+        rows = [
+            int(last[c] is not None) - int(old is not None and old[c] is not None) for c in values[::each]
+        ]
+        yield pd.DataFrame([[*key[: len(groups)], *counts, *rows]], columns=[*groups, *values, *made])
+
+    return change
+
+
 def stream_scores(
     eval_input: DataFrame,
     path: str,
@@ -64,26 +114,58 @@ def stream_scores(
     metrics: Sequence[str],
     *,
     keys: Sequence[str] = RUN_KEYS,
+    order: Sequence[str] = (),
     tasks: int | None = None,
     available_now: bool = True,
 ) -> StreamingQuery:
     """Score arriving pairs and keep the pooled counts of every group up to
-    date (counts add up, so order and batching do not matter).  ``tasks``
-    spreads batches that arrive in few files."""
-    clips = score_clips(eval_input, norm_types, metrics, tasks=tasks)
-    pooled = corpus_counts(clips, norm_types, metrics, keys)
+    date.  ``tasks`` spreads batches that arrive in few files.
+
+    A clip (``keys`` and ``sample_idx``) counts once, with its last write:
+    ``order`` names the columns that rank writes, as in ``latest_hypotheses``
+    (of equal ranks, and without ``order``, what arrives later counts).  A write
+    that can't be scored takes an earlier one out.  State has one row per clip:
+    its rank and as many integers as there are counts.
+
+    Each batch adds its changes to the result of the one before and writes it
+    under its own number, so a repeated batch replaces itself; read it with
+    ``latest_batch``.  Only the last few results are kept.
+    """
+    wanted = rates.needed_counts(rates.resolve_metrics(metrics))
+    values = [count_column(n, c) for n in norm_types for c in wanted]
+    made = [count_column(n, "rows") for n in norm_types]
+    clips = score_clips(eval_input, norm_types, metrics, tasks=tasks, keep_invalid=True)
+    clips = clips.select(*keys, "sample_idx", *order, *(F.col(v).cast("long").alias(v) for v in values))
+    kinds = [clips.schema[c] for c in keys], [clips.schema[c] for c in order]
+    numbers = [T.StructField(c, T.LongType()) for c in (*values, *made)]
+    changes = clips.groupBy(*keys, "sample_idx").applyInPandasWithState(
+        _replacing(order, values, keys, made),
+        T.StructType([*kinds[0], *numbers]),
+        T.StructType([*kinds[1], *numbers[: len(values)]]),
+        "update",
+        "NoTimeout",
+    )
+    sums = [F.sum(c).alias(c) for c in ("sample_count", *wanted)]
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(_batch_path(path, batch_id))
+        spark = batch.sparkSession
+        pooled = batch.groupBy(*keys).agg(*(F.sum(c).alias(c) for c in (*values, *made)))
+        total = by_normalisation(pooled, norm_types, wanted, keys)
+        before = [n for n in _batches(spark, path) if n < batch_id]
+        if before:
+            total = total.unionByName(spark.read.parquet(_batch_path(path, before[-1])))
+        total = total.groupBy(*keys, "norm_type").agg(*sums).filter(F.col("sample_count") > 0)
+        # A few rows, one per group and normalisation.
+        total.coalesce(1).write.mode("overwrite").parquet(_batch_path(path, batch_id))
+        for number in before[:-_RESULTS_KEPT]:
+            _delete(spark, _batch_path(path, number))
 
-    return _run(pooled, write, checkpoint, "complete", available_now)
+    return _run(changes, write, checkpoint, "update", available_now)
 
 
 def latest_batch(spark: SparkSession, path: str) -> DataFrame:
     """Rows of the last batch written below ``path``."""
-    table = spark.read.parquet(path)
-    last = table.agg(F.max("batch")).scalar()
-    return table.filter(F.col("batch") == last).drop("batch")
+    return spark.read.parquet(_batch_path(path, _batches(spark, path)[-1]))
 
 
 def stream_cache_log(

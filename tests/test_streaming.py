@@ -1,8 +1,11 @@
+import random
+
 from pyspark.sql import functions as F
 
 from catalog import shapes
 from hearscore.functions import rates
 from hearscore.operators import corpus_stats, scoring
+from hearscore.operators.joins import latest_hypotheses
 from hearscore.streaming import scores
 
 METRICS = list(rates.METRICS)
@@ -50,6 +53,48 @@ def test_scores_of_a_stream_are_those_of_the_batch(spark, tmp_path):
     assert _rows(scores.latest_batch(spark, out)) == _rows(scoring.corpus_counts(clips, norms, METRICS))
 
 
+def test_replaced_hypotheses_count_once(spark, tmp_path):
+    """Several batches with replacements, late writes and sentinels equal the
+    last write per clip scored at once."""
+    r = random.Random(5)
+    kind = (
+        "dataset string, subset string, split string, codename string, version string, sample_idx long, "
+        "audio_path string, text string, hypothesis string, hyp_gen_date string, seq long, provider string"
+    )
+    said = ["a b c", "a x c", "b c", "", "EMPTY", None, "a b c d e", "INVALID", "..."]
+    source, out, progress = (str(tmp_path / n) for n in ("in", "out", "progress"))
+    norms, seen, seq = ["none", "all"], [], 0
+    for batch in range(6):
+        rows = []
+        for _ in range(30):
+            seq += 1
+            day = f"2025010{r.randint(1, 5)}"
+            k = r.randint(0, 14)
+            rows.append(("d", "s", f"p{k % 2}", f"c{r.randint(0, 1)}", "v", k, f"{k}.wav", "a b c" if k else None, r.choice(said), day, seq, "p"))
+        seen += rows
+        spark.createDataFrame(rows, kind).coalesce(2).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(kind).option("maxFilesPerTrigger", 1).parquet(source)
+        query = scores.stream_scores(stream, out, progress, norms, METRICS, order=["hyp_gen_date", "seq"])
+        query.awaitTermination()
+        latest = latest_hypotheses(spark.createDataFrame(seen, kind), ["hyp_gen_date", "seq"])
+        want = scoring.corpus_counts(scoring.score_clips(latest, norms, METRICS), norms, METRICS)
+        got = scores.latest_batch(spark, out)
+        assert _rows(got) == _rows(want), batch
+    assert len(list((tmp_path / "out").glob("batch=*"))) <= 1 + scores._RESULTS_KEPT
+    assert sum(row.sample_count for row in got.filter("norm_type = 'none'").collect()) < len({x[3:6:2] for x in seen})
+
+
+def test_wrong_then_right(spark, tmp_path):
+    kind = "dataset string, subset string, split string, codename string, version string, sample_idx long, text string, hypothesis string"
+    source, out, progress = (str(tmp_path / n) for n in ("in", "out", "progress"))
+    for said, hits in (("a x", 1), ("a b", 2), ("a b", 2), (None, None)):
+        spark.createDataFrame([("d", "s", "p", "c", "v", 1, "a b", said)], kind).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(kind).parquet(source)
+        scores.stream_scores(stream, out, progress, ["none"], ["WER"]).awaitTermination()
+        got = [(x.sample_count, x.hits) for x in scores.latest_batch(spark, out).collect()]
+        assert got == ([(1, hits)] if hits else [])
+
+
 def test_cache_log(spark, tmp_path):
     schema = (
         "dataset string, codename string, audio_path string, version string, asr_hyp string, "

@@ -113,7 +113,7 @@ def test_what_is_written_comes_back_by_partition(spark, tmp_path, blocks):
         ('"""', True, False),
         ('a"\t"b', True, True),
         ('a"\tb', False, False),
-        ('"a"x\t"y"', False, True),
+        ('"a"x\t"y"', False, False),
         ("", False, True),
     ],
 )
