@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -169,6 +170,82 @@ def latest_hypotheses(
     )
 
 
+def _lowest_files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Walk one range of the sorted listing; ``folder, name, near`` for its
+    wanted names: the lowest file of those that follow and begin with the name.
+
+    Open names are nested, each a prefix of the next: a file counts for the
+    last one and is handed on when that closes.  Names of earlier ranges may
+    still be open where a range begins.  They are prefixes of its first entry,
+    so all of these are opened, and whoever wanted one takes its file.
+    """
+    open_names: list[list] = []
+    done: list[tuple] = []
+    begun = False
+
+    def close() -> None:
+        folder, name, near = open_names.pop()
+        if near is not None:
+            done.append((folder, name, near))
+            if open_names:
+                above = open_names[-1]
+                above[2] = near if above[2] is None else min(above[2], near)
+
+    def result() -> pa.RecordBatch:
+        columns = list(zip(*done)) or [(), (), ()]
+        done.clear()
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in columns], names=["folder", "name", "near"])
+
+    for batch in batches:
+        columns = (batch.column(c).to_pylist() for c in ("folder", "name", "file"))
+        for folder, name, file in zip(*columns):
+            if not begun:
+                open_names = [[folder, name[:size], None] for size in range(len(name) + 1)]
+                begun = True
+            while open_names and not (open_names[-1][0] == folder and name.startswith(open_names[-1][1])):
+                close()
+            if file is None:
+                if not open_names or open_names[-1][1] != name:
+                    open_names.append([folder, name, None])
+            elif open_names:
+                last = open_names[-1]
+                last[2] = file if last[2] is None else min(last[2], file)
+        yield result()
+    while open_names:
+        close()
+    yield result()
+
+
+def _lowest_with_prefix(listed: DataFrame, missing: DataFrame) -> DataFrame:
+    """``folder, name, near``: for each of the ``missing(folder, name)`` that
+    has one, the lowest ``file`` below the folder whose name begins with it."""
+    steps = F.split("home", "/")
+    ancestors = F.transform(
+        F.sequence(F.lit(0), F.size(steps)),
+        lambda depth: F.array_join(F.slice(steps, F.lit(1), depth), "/"),
+    )
+    entries = (
+        listed.select(
+            "file",
+            F.substring_index("file", "/", -1).alias("name"),
+            F.regexp_replace("file", r"/?[^/]*\z", "").alias("home"),
+        )
+        .select("file", "name", F.explode(F.array_distinct(ancestors)).alias("folder"))
+        .join(missing.select("folder").distinct(), "folder", "left_semi")
+        .groupBy("folder", "name")
+        .agg(F.min("file").alias("file"))
+    )
+    asked = missing.select("folder", "name", F.lit(None).cast("string").alias("file")).distinct()
+    both = stage(entries.select("folder", "name", "file").union(asked), "sorted_listing")
+    return (
+        both.repartitionByRange("folder", "name")
+        .sortWithinPartitions("folder", "name", F.col("file").asc_nulls_first())
+        .mapInArrow(_lowest_files, "folder string, name string, near string")
+        .groupBy("folder", "name")
+        .agg(F.min("near").alias("near"))
+    )
+
+
 def resolve_audio_paths(
     wanted: DataFrame,
     files: DataFrame,
@@ -184,9 +261,10 @@ def resolve_audio_paths(
     ``cache_root`` (anywhere if not given); ``''``.  Of several candidates
     the lowest path is taken.
 
-    ``files(path)`` lists existing files.  Every step is an equi-join against
-    an aggregate of the listing: a folder that holds a large part of all
-    files never produces pairs of wanted names and files.
+    ``files(path)`` lists existing files.  Names are looked up in one sorted
+    listing of files and wanted names, dealt by range: a folder that holds a
+    large part of all files is many ranges, and files of one name in many
+    folders are one entry per wanted folder before they are sorted.
     """
     paths = wanted.select(F.col(path).alias("path")).distinct()
     listed = files.select(F.col("path").alias("file")).distinct()
@@ -197,38 +275,8 @@ def resolve_audio_paths(
         F.substring_index("path", "/", -1).alias("name"),
         F.regexp_replace("path", r"/?[^/]*\z", "").alias("folder"),
     )
-
-    # Candidates are looked up by the prefixes of their names.  Only prefixes
-    # as long as some missing name count, and all files of a folder with the
-    # same prefix are one row before anything is joined.
-    sizes = missing.agg(F.collect_set(F.char_length("name"))).scalar()
-    prefixes = F.transform(
-        F.filter("sizes", lambda size: size <= F.char_length("base")),
-        lambda size: F.substring(F.col("base"), F.lit(1), size),
-    )
-    heads = (
-        listed.select(
-            "file",
-            F.substring_index("file", "/", -1).alias("base"),
-            F.regexp_replace("file", r"/?[^/]*\z", "").alias("home"),
-            sizes.alias("sizes"),
-        )
-        .select("file", "home", F.explode(prefixes).alias("name"))
-        .groupBy("home", "name")
-        .agg(F.min("file").alias("file"))
-        .join(missing.select("name").distinct(), "name", "left_semi")
-    )
-    steps = F.split("home", "/")
-    ancestors = F.transform(
-        F.sequence(F.lit(0), F.size(steps)),
-        lambda depth: F.array_join(F.slice(steps, F.lit(1), depth), "/"),
-    )
-    nearby = (
-        heads.select("file", "name", F.explode(F.array_distinct(ancestors)).alias("folder"))
-        .join(missing.select("name", "folder").distinct(), ["name", "folder"], "left_semi")
-        .groupBy("name", "folder")
-        .agg(F.min("file").alias("near"))
-    )
+    missing = stage(missing, "missing_paths")
+    nearby = _lowest_with_prefix(listed, missing)
     anywhere = listed
     if cache_root is not None:
         root = cache_root.rstrip("/") + "/"

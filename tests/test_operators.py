@@ -294,6 +294,53 @@ def test_resolve_audio_paths(spark):
     assert placed == {1: got[wanted[0]], 2: "", 3: ""}
 
 
+@pytest.mark.parametrize("ranges", ["1", "7", "40"])
+def test_resolve_nested_names_over_ranges(spark, ranges):
+    """Wanted names that are prefixes of each other, in ranges of any size."""
+    rnd = random.Random(int(ranges))
+    old = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", ranges)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    letters = ["a", "ab", "b", "é", "aa", "\U0001f600"]
+
+    def name():
+        return "".join(rnd.choice(letters) for _ in range(rnd.randint(1, 5)))
+
+    files = sorted({f"{rnd.choice(['x', 'x/y', 'x/y/z', 'w', 'x/q'])}/{name()}" for _ in range(300)})
+    wanted = sorted({f"{rnd.choice(['x', 'x/y', 'w', '', 'v'])}/{name()}".removeprefix("/") for _ in range(150)} | {"x/", "w/a", "x/a"})
+    found = joins.resolve_audio_paths(
+        spark.createDataFrame([(w,) for w in wanted], "audio_path string"),
+        spark.createDataFrame([(f,) for f in files], "path string"),
+        cache_root="x",
+    )
+    got = {r.path: r.resolved for r in found.collect()}
+    for k, v in old.items():
+        spark.conf.set(k, v)
+    assert got == {w: resolve_plainly(w, files, "x") for w in wanted}
+    assert len({v for v in got.values() if v}) > 30
+
+
+def test_resolve_spreads_one_name_and_one_folder(spark):
+    """Many files of one name, and a folder with a third of all files: the
+    sorted listing has no more entries than folders that are asked for, and
+    its ranges are even."""
+    n = 20_000
+    same = spark.range(n).select(F.format_string("d%05d/1.wav", "id").alias("path"))
+    full = spark.range(n).select(F.format_string("big/%05d.wav", "id").alias("path"))
+    files = same.union(full)
+    wanted = spark.range(n // 2).select(F.format_string("big/%05d", F.col("id") * 2).alias("audio_path")).union(
+        spark.createDataFrame([("1.wa",), ("d00007/1",), ("big/1",), ("none/x",)], "audio_path string")
+    )
+    found = joins.resolve_audio_paths(wanted, files, cache_root="nowhere")
+    assert found.filter(F.col("resolved") == F.concat("path", F.lit(".wav"))).count() == n // 2 + 1
+    got = {r.path: r.resolved for r in found.filter("path NOT LIKE 'big/%' OR path = 'big/1'").collect()}
+    assert got == {"1.wa": "d00000/1.wav", "d00007/1": "d00007/1.wav", "big/1": "big/10000.wav", "none/x": ""}
+    missing = wanted.select(F.substring_index("audio_path", "/", -1).alias("name"), F.regexp_replace("audio_path", r"/?[^/]*\z", "").alias("folder"))
+    listing = joins._lowest_with_prefix(files.select(F.col("path").alias("file")), missing)
+    plan = listing._jdf.queryExecution().executedPlan().toString()
+    assert "rangepartitioning" in plan and "Join" not in plan  # what is sorted was stored before
+
+
 def test_resolve_does_not_pair_files_of_one_folder(spark):
     """4000 wanted names and 4000 files in one folder, none equal."""
     n = 4000
