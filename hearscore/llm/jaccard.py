@@ -54,7 +54,7 @@ _COUNTS = 1 << 18
 _EXTRA = 2
 # Classes of a column that is multiplied, and pairs at hand.
 _FULL = 64
-_PAIRS = 1 << 20
+_PAIRS = 1 << 17
 # Shingles and rows of a row block, about.
 _MASS = 200_000
 _ROWS = 512
