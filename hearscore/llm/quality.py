@@ -18,6 +18,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,7 +27,7 @@ from hearscore.llm import words as W
 BUCKETS = 1 << 17
 GRAMS = (3, 5)
 # Labelled documents that the model is trained on, at most.
-SAMPLE = 2000
+SAMPLE = 2500
 
 _SALT = {"word": 1, "pair": 2, "mark": 3}
 
@@ -81,12 +82,15 @@ def _sparse_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             buckets, text = features(part.column("text"))
             keys, counts = np.unique(text.astype(np.int64) * BUCKETS + buckets, return_counts=True)
             cut = np.searchsorted(keys, np.arange(len(part) + 1) * BUCKETS)
+            ranges = list(zip(cut[:-1], cut[1:]))
+            # Counts take as many bytes as the largest of a text needs: mostly one.
+            sizes = [np.min_scalar_type(int(counts[a:b].max(initial=1))) for a, b in ranges]
             yield pa.RecordBatch.from_arrays(
                 [
                     part.column("doc_id"),
                     part.column("label"),
-                    pa.array([(keys[a:b] % BUCKETS).astype(np.int32).tobytes() for a, b in zip(cut[:-1], cut[1:])], pa.binary()),
-                    pa.array([np.minimum(counts[a:b], 65535).astype(np.uint16).tobytes() for a, b in zip(cut[:-1], cut[1:])], pa.binary()),
+                    pa.array([(keys[a:b] % BUCKETS).astype(np.int32).tobytes() for a, b in ranges], pa.binary()),
+                    pa.array([counts[a:b].astype(t).tobytes() for (a, b), t in zip(ranges, sizes)], pa.binary()),
                 ],
                 names=["doc_id", "label", "buckets", "counts"],
             )
@@ -178,17 +182,22 @@ def train(docs: DataFrame, labels: DataFrame, label: str, learn: Column, sample:
         .toArrow()
     )
     # The order of arrival is not fixed; that of the ids is.
-    gathered = gathered.sort_by("doc_id")
-    rows = [
-        (np.frombuffer(b.as_buffer(), np.int32), np.frombuffer(c.as_buffer(), np.uint16))
-        for b, c in zip(gathered.column("buckets"), gathered.column("counts"))
-    ]
-    return fit(rows, gathered.column("label").to_numpy().astype(np.int64))
+    order = pc.sort_indices(gathered.column("doc_id")).to_pylist()
+    stored = list(zip(gathered.column("buckets"), gathered.column("counts")))
+    rows = [_sparse(*stored[i]) for i in order]
+    return fit(rows, gathered.column("label").to_numpy().astype(np.int64)[order])
+
+
+def _sparse(buckets: pa.Scalar, counts: pa.Scalar) -> tuple[np.ndarray, np.ndarray]:
+    own = np.frombuffer(buckets.as_buffer(), np.int32)
+    return own, np.frombuffer(counts.as_buffer(), f"u{counts.as_buffer().size // max(1, len(own)) or 1}")
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """``doc_id, score`` for every row; the score of a text without features
-    (empty or null) is that of the bias alone."""
+    (empty or null) is that of the bias alone.  Only ``doc_id`` and ``text`` are
+    read, texts of any length whole; equal texts have equal scores, and a row
+    without an id is scored like any other."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS numbers
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -55,3 +55,17 @@ def test_odd_tables(spark):
     none = quality.train(odd.limit(0), labels.limit(0), "quality", learn)
     assert quality.score(odd.limit(0), none).collect() == []
     assert {r.score for r in quality.score(odd, none).collect()} == {0.5}
+
+
+def test_counts_are_kept_whole(spark):
+    """A feature that a text repeats more often than two bytes can tell."""
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array([1, 2, 3]), pa.array([1, 0, 1]), pa.array(["a " * 70_000, "b c", None])], names=["doc_id", "label", "text"]
+    )
+    out = pa.Table.from_batches(quality._sparse_rows([batch]))
+    rows = [quality._sparse(b, c) for b, c in zip(out.column("buckets"), out.column("counts"))]
+    buckets, text = quality.features(batch.column("text"))
+    for i, (own, counts) in enumerate(rows):
+        values, want = np.unique(buckets[text == i], return_counts=True)
+        assert own.tolist() == values.tolist() and counts.tolist() == want.tolist()
+    assert rows[0][1].max() > 65_535 and rows[1][1].dtype == np.uint8
