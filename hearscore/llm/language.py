@@ -172,8 +172,9 @@ def viterbi(scores: np.ndarray, offsets: np.ndarray, switch: float) -> np.ndarra
     begins, lengths = offsets[:-1][order], lengths[order]
     # Texts that still have a word at step t come first.
     active = np.searchsorted(-lengths, -np.arange(lengths[0] if len(lengths) else 0), side="left")
-    labels = np.zeros(len(scores), dtype=np.int8)
-    came = np.zeros(len(scores), dtype=np.int8)
+    kind = np.min_scalar_type(-max(1, scores.shape[1]))
+    labels = np.zeros(len(scores), dtype=kind)
+    came = np.zeros(len(scores), dtype=kind)
     stays = np.zeros(scores.shape, dtype=bool)
     best = np.zeros((len(lengths), scores.shape[1]), dtype=np.float64)
     for t, n in enumerate(active):
@@ -185,7 +186,7 @@ def viterbi(scores: np.ndarray, offsets: np.ndarray, switch: float) -> np.ndarra
             stays[at], came[at] = stay, top
             now = np.where(stay, now, other)
         best[:n] = now + scores[at]
-    last = best.argmax(1).astype(np.int8)
+    last = best.argmax(1).astype(kind)
     for t in range(len(active) - 1, -1, -1):
         n = active[t]
         at, label = begins[:n] + t, last[:n]
@@ -249,7 +250,8 @@ def identify(docs: DataFrame, model: Model, switch: float = SWITCH, spans: bool
 
     ``score`` is the share of the document's letters that lie in spans of the
     predicted language.  A text that is null or has no letter is ``und`` with
-    score 0 and no spans."""
+    score 0 and no spans.  Only ``doc_id`` and ``text`` are read: a row without
+    an id, and each of repeated rows, is labelled like any other."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS rows
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -3,6 +3,7 @@ import itertools
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from hearscore.llm import language
 from hearscore.llm.queries import QUERIES
@@ -73,3 +74,25 @@ def test_odd_rows(spark, model):
     assert language.identify(docs.limit(0), model).collect() == []
     none = language.train(docs.withColumn("lang", language.F.lit(None).cast("string")), language.F.lit(True))
     assert {r.lang_pred for r in language.identify(docs, none, spans=True).collect()} == {"und"}
+
+
+@pytest.mark.parametrize("n_labels", [1, 127, 128, 129, 300])
+def test_viterbi_with_many_labels(n_labels):
+    r = np.random.default_rng(n_labels)
+    offsets = np.array([0, 7, 7, 20, 21])
+    scores = np.full((21, n_labels), -9.0)
+    # Every word's best label is so much better that switching pays.
+    want = r.integers(0, n_labels, 21)
+    scores[np.arange(21), want] = 0
+    got = language.viterbi(scores, offsets, 1.0)
+    assert got.tolist() == want.tolist()
+
+
+def test_ids_and_clashing_columns(spark):
+    rows = [(k, t, lang) for k, (t, lang) in enumerate([("der hund und die katze", "de"), ("the dog and the cat", "en")] * 20)]
+    learned = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.train(learned, F.lit(True))
+    odd = [(None, "the cat", "x", 1.0), (3, "die katze", "y", 2.0), (3, "die katze", "y", 2.0), (None, None, None, None)]
+    docs = spark.createDataFrame(odd, "doc_id long, text string, lang_pred string, score double")
+    got = [(x.doc_id, x.lang_pred) for x in language.identify(docs, model).collect()]
+    assert sorted(got, key=str) == [(3, "de"), (3, "de"), (None, "en"), (None, "und")]
