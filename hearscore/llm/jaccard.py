@@ -497,17 +497,20 @@ def distinct(docs: DataFrame, shingle: int = SHINGLE, similarity: int = SIMILARI
     found = stage(found.groupBy("doc_id", "key").agg(F.first("root").alias("root"), F.count("*").alias("n")), "texts")
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")
     first = found.groupBy("root").agg(F.min(order).alias("first"))
-    # Texts that go, and those that stay but are there several times.
+    # Texts that go, and those that stay but are there several times.  Names are
+    # longer than those of any column.
+    key, own, of, stays, again = (
+        name + "_" * max(map(len, docs.columns)) for name in ("key", "id", "of", "stays", "again")
+    )
     marks = found.join(first, "root").select(
-        F.col("doc_id").alias("__id"), F.col("key").alias("__of"), (order == F.col("first")).alias("__first"), "n"
+        F.col("doc_id").alias(own), F.col("key").alias(of), (order == F.col("first")).alias(stays), "n"
     )
-    marks = stage(marks.filter("NOT __first OR n > 1").drop("n"), "marks").hint("merge")
-    rows = docs.withColumn("__key", F.xxhash64("text"))
-    same = (F.col("__key") == F.col("__of")) & F.col("doc_id").cast("long").eqNullSafe(F.col("__id"))
+    marks = stage(marks.filter(~F.col(stays) | (F.col("n") > 1)).drop("n"), "marks").hint("merge")
+    rows = docs.withColumn(key, F.xxhash64("text"))
+    same = (F.col(key) == F.col(of)) & F.col("doc_id").cast("long").eqNullSafe(F.col(own))
     once = rows.join(marks, same, "left_anti")
-    if not marks.filter("__first").isEmpty():
-        repeated = rows.join(marks.filter("__first"), same, "left_semi")
-        again = Window.partitionBy("doc_id", "__key").orderBy(F.to_json(F.struct(*docs.columns)))
-        repeated = repeated.withColumn("__again", F.row_number().over(again)).filter("__again = 1").drop("__again")
-        once = once.union(repeated)
-    return once.drop("__key")
+    if not marks.filter(stays).isEmpty():
+        order = Window.partitionBy("doc_id", key).orderBy(F.to_json(F.struct(*docs.columns)))
+        repeated = rows.join(marks.filter(stays), same, "left_semi").withColumn(again, F.row_number().over(order))
+        once = once.union(repeated.filter(F.col(again) == 1).drop(again))
+    return once.drop(key)
