@@ -38,8 +38,8 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     of one id, each get their own decision."""
     texts = docs.select(F.xxhash64("text").alias("doc_id"), "text")
     found = queries.decontaminated(texts, queries.table(spark, sf_dir, "benchmark"))
-    gone = found.filter("contaminated").select(F.col("doc_id").alias("__text")).distinct()
-    return docs.join(gone, F.xxhash64(docs["text"]) == gone["__text"], "left_anti")
+    gone = found.filter("contaminated").select("doc_id").distinct()
+    return docs.join(gone, F.xxhash64(docs["text"]) == gone["doc_id"], "left_anti")
 
 
 def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
