@@ -603,6 +603,12 @@ def statements() -> dict[str, str]:
     )
 
     sql["attach_hypotheses"] = _q("select * from pairs", *_PAIRS)
+    sql["bucketed_hypotheses"] = _q(
+        "select codename, version, sample_idx, hypothesis, n_meta, resources_gen_time_seconds, "
+        "resources_peak_vram_bytes, resources_vram_diff_bytes from pairs left join "
+        "(select audio_path, count(*) n_meta from cache where codename like 'meta%' group by audio_path) using (audio_path)",
+        *_PAIRS,
+    )
     sql["attach_metadata"] = (
         "select doc_id, d.lang, n_chars, quality, toxic, case when quality is not null then '?' end "
         "lang_right from documents d left join labels using (doc_id)"

@@ -3,6 +3,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Sequence
 from dataclasses import replace
 
@@ -16,7 +17,7 @@ from hearscore.functions import align, rates, text
 from hearscore.operators import corpus_stats, joins, scoring, selection, summary
 from hearscore.operators.transcribe import transcribe_batch
 from hearscore.plans import evaluate, profile, run_plan
-from hearscore.schema import EVAL_INPUT, SPLIT_KEYS
+from hearscore.schema import EVAL_INPUT, SAMPLE, SPLIT_KEYS
 from hearscore.session import stage, stage_path
 from hearscore.sources import audio as audio_files
 from hearscore.sources import cache as cache_files
@@ -567,6 +568,23 @@ def transcribe(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES["transcribe_batch"] = QUERIES.pop("transcribe")
 
 
+@register
+def bucketed_hypotheses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cache and samples as bucketed tables: one model's folder is read, and
+    the planned runs are joined where the buckets lie."""
+    rows, run = shapes.samples(spark, sf_dir), uuid.uuid4().hex
+    path = stage_path(spark, "bucketed")
+    cache = cache_files.store_cache_table(shapes.cache_of(rows), f"hyp_cache_{run}", buckets=8, path=f"{path}/cache")
+    (
+        rows.select(*SAMPLE.names).write.bucketBy(8, "audio_path").sortBy("audio_path")
+        .option("path", f"{path}/samples").saveAsTable(f"samples_{run}")
+    )
+    plan = corpora.planned_runs(shapes.plan(spark))
+    found = joins.attach_planned_hypotheses(spark.table(f"samples_{run}"), plan, cache, bucketed=True)
+    one = cache.filter(F.col("codename") == shapes.CODENAMES["meta"]).groupBy("audio_path").agg(F.count("*").alias("n_meta"))
+    return found.join(one, "audio_path", "left").select("codename", "version", "sample_idx", "hypothesis", "n_meta", *_RESOURCES)
+
+
 @register
 def saved_hypotheses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Transcribe what is missing, in several commits, and read the cache."""

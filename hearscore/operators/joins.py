@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -55,7 +56,9 @@ def attach_hypotheses(samples: DataFrame, cache: DataFrame) -> DataFrame:
     ).drop("__dataset", "__codename", "__version", "__path")
 
 
-def attach_planned_hypotheses(samples: DataFrame, runs: DataFrame, cache: DataFrame) -> DataFrame:
+def attach_planned_hypotheses(
+    samples: DataFrame, runs: DataFrame, cache: DataFrame, *, bucketed: bool = False
+) -> DataFrame:
     """One row per sample and run of its split, with the same columns.
 
     The cache is gathered per path first, one entry per run, and looked up in
@@ -64,30 +67,35 @@ def attach_planned_hypotheses(samples: DataFrame, runs: DataFrame, cache: DataFr
     row per key (``latest_hypotheses``).  The entries are a stored table: both
     sides of the join are then shuffled for it, and a path that very many
     samples share is split by adaptive skew-join handling.
+
+    A ``bucketed`` cache (``store_cache_table``) is gathered and joined where its
+    buckets lie; samples bucketed alike (by ``audio_path``) are not moved
+    either, others are dealt to the buckets.  The runs are stored first, so
+    that the planner knows how few they are and doesn't shuffle for them.
     """
+    if bucketed:
+        runs = stage(runs, "runs")
     wanted = runs.select("dataset", "codename", "version").distinct()
-    entry = F.struct(
-        "codename",
-        "version",
-        F.col("asr_hyp").alias("hypothesis"),
-        *(F.col(c).alias(name) for c, name in _RESOURCES.items()),
-    )
-    entries = (
-        cache.join(wanted, ["dataset", "codename", "version"], "left_semi")
-        .groupBy(F.col("dataset").alias("__dataset"), F.col("audio_path").alias("__path"))
-        .agg(F.collect_list(entry).alias("__entries"))
-    )
-    entries = stage(entries, "hypotheses_by_path")
-    joined = samples.join(
-        entries,
-        (F.col("dataset") == F.col("__dataset"))
-        & (_path_key("audio_path", "sample_idx") == F.col("__path")),
-        "left",
-    ).join(runs, ["dataset", "subset", "split"])
-    mine = F.filter(
-        "__entries",
-        lambda e: (e["codename"] == F.col("codename")) & (e["version"] == F.col("version")),
-    )
+    values = [F.col("asr_hyp").alias("hypothesis"), *(F.col(c).alias(name) for c, name in _RESOURCES.items())]
+    if bucketed:
+        wanted = stage(wanted, "wanted_runs")
+    used = cache.join(wanted, ["dataset", "codename", "version"], "left_semi")
+    if bucketed:
+        # Where the buckets lie is what the aggregate and the join need.
+        entries = used.filter("audio_path <> ''").groupBy(F.col("audio_path").alias("__path")).agg(
+            F.collect_list(F.struct("dataset", "codename", "version", *values)).alias("__entries")
+        )
+        placed = samples.join(entries, F.col("audio_path") == F.col("__path"), "left")
+    else:
+        entries = used.groupBy(F.col("dataset").alias("__dataset"), F.col("audio_path").alias("__path")).agg(
+            F.collect_list(F.struct("dataset", "codename", "version", *values)).alias("__entries")
+        )
+        entries = stage(entries, "hypotheses_by_path")
+        same = (F.col("dataset") == F.col("__dataset")) & (_path_key("audio_path", "sample_idx") == F.col("__path"))
+        placed = samples.join(entries, same, "left")
+    joined = placed.join(runs, ["dataset", "subset", "split"])
+    key = ("dataset", "codename", "version")
+    mine = F.filter("__entries", lambda e: reduce(lambda a, b: a & b, (e[c] == F.col(c) for c in key)))
     values = F.transform(
         mine, lambda e: F.struct(*(e[c].alias(c) for c in ("hypothesis", *_RESOURCES.values())))
     )

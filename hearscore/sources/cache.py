@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
@@ -56,25 +57,80 @@ def flatten_cache_lines(
     )
 
 
-def scan_hyp_cache(
-    spark: SparkSession, path: str | Sequence[str], *, strict: bool = True, latest: bool = True
-) -> DataFrame:
-    """Read cache files ``<dataset>/<codename>.asr_cache.jsonl``, or what
-    ``sink_hyp_cache`` has written; by default the last line of a key wins."""
-    lines = spark.read.option("recursiveFileLookup", True).text(path if isinstance(path, str) else list(path)).select(
-        "value",
-        _file_name_part(1).alias("dataset"),
-        _file_name_part(2).alias("codename"),
+def _cache_text(spark: SparkSession, path: str | list[str], dataset: str | None, codename: str | None) -> DataFrame:
+    """Lines of the cache with ``dataset, codename``.  What the sink has
+    written has these in its folders, so that files are chosen before any is
+    read.  Of other files, those of ``codename`` are chosen by name and those of
+    ``dataset`` by their lines' origin.  Filters that come later choose none: they
+    don't pass the numbering of the lines."""
+    name = F.lit(True) if dataset is None else F.col("dataset") == dataset
+    plain = spark.read.text(path).columns
+    if {"dataset", "file"} <= set(plain):
+        # Named as text, or a dataset called 007 would become a number.
+        lines = spark.read.schema(", ".join(f"`{c}` string" for c in plain)).text(path).filter(name)
+        if codename is not None:
+            lines = lines.filter(F.startswith("file", F.lit(f"{codename}.asr_cache.jsonl")))
+        own = F.regexp_extract("file", r"^(.*)\.asr_cache\.jsonl", 1).alias("codename")
+        return lines.select("value", "dataset", own, *_order_columns())
+    reader = spark.read.option("recursiveFileLookup", True)
+    if codename is not None:
+        literal = re.sub(r"([\\*?{}\[\]])", r"\\\1", codename)
+        reader = reader.option("pathGlobFilter", f"{literal}.asr_cache.jsonl*")
+    parts = _file_name_part(1).alias("dataset"), _file_name_part(2).alias("codename")
+    return reader.text(path).select("value", *parts, *_order_columns()).filter(name)
+
+
+def _order_columns() -> list[Column]:
+    return [
         F.col("_metadata.file_modification_time").alias("__written"),
         F.col("_metadata.file_block_start").alias("__block"),
         F.monotonically_increasing_id().alias("__line"),
-    )
+    ]
+
+
+def scan_hyp_cache(
+    spark: SparkSession,
+    path: str | Sequence[str],
+    *,
+    dataset: str | None = None,
+    codename: str | None = None,
+    strict: bool = True,
+    latest: bool = True,
+) -> DataFrame:
+    """Read cache files ``<dataset>/<codename>.asr_cache.jsonl``, or what
+    ``sink_hyp_cache`` has written; by default the last line of a key wins.
+
+    ``dataset`` and ``codename`` read one of each, without the others' files
+    where the layout allows."""
+    lines = _cache_text(spark, path if isinstance(path, str) else list(path), dataset, codename)
     rows = flatten_cache_lines(lines, strict=strict)
     if latest:
         rows = latest_hypotheses(rows, LINE_ORDER)
     return rows.select(*CACHE.names)
 
 
+def store_cache_table(cache: DataFrame, name: str, *, buckets: int, path: str | None = None) -> DataFrame:
+    """Keep the cache as a table in columns: one folder per dataset and
+    codename, bucketed and sorted by path, the last write per key.
+
+    Reading one model reads its folder only, and joins by path
+    (``attach_planned_hypotheses(…, bucketed=True)``) neither shuffle nor sort
+    the table.  ``path`` puts its files elsewhere than in the warehouse.
+    """
+    rows = latest_hypotheses(cache.select(*CACHE.names), ["hyp_gen_date"])
+    writer = (
+        rows.repartition(buckets, "audio_path")  # one file per bucket and folder
+        .write.mode("overwrite")
+        .partitionBy("dataset", "codename")
+        .bucketBy(buckets, "audio_path")
+        .sortBy("audio_path")
+    )
+    if path is not None:
+        writer = writer.option("path", path)
+    writer.saveAsTable(name)
+    return cache.sparkSession.table(name).select(*CACHE.names)
+
+
 def cache_line(all_versions: Column | str = "versions") -> Column:
     """JSON line of one path from its ``map<version, value>``."""
     versions = F.col(all_versions) if isinstance(all_versions, str) else all_versions

@@ -5,7 +5,7 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
-from hearscore.operators import corpus_stats
+from hearscore.operators import corpus_stats, joins
 from hearscore.schema import CACHE
 from hearscore.session import drop_stages, shared_dir, stage
 from hearscore.sources import audio, corpora, store, tsv
@@ -69,6 +69,70 @@ def test_cache_files_last_line_wins(spark, tmp_path):
     assert {"b.wav": {"v1": lines[1]["b.wav"]["v1"], "v2": value | {"version": "v2"}}} in written
 
 
+def _cache_rows(spark, n=60):
+    rows = [
+        (d, c, f"clips/{k}.wav", v, f"{d} {c} {k} {v}", "p", "m", "20250101", 0.5, None, None)
+        for d in ("007", "a b=c") for c in ("sys", "o+x") for k in range(n) for v in ("v1", "v2")
+    ]
+    return spark.createDataFrame(rows, CACHE)
+
+
+def _scans(df):
+    return [line for line in df._jdf.queryExecution().toString().splitlines() if "FileScan" in line]
+
+
+def test_cache_reads_one_model(spark, tmp_path):
+    cache = _cache_rows(spark)
+    out = str(tmp_path / "sunk")
+    cache_files.sink_hyp_cache(cache, out)
+    whole = cache_files.scan_hyp_cache(spark, out)
+    assert sorted(map(tuple, whole.collect()), key=str) == sorted(map(tuple, cache.collect()), key=str)
+    for kind in ({"dataset": "007", "codename": "o+x"}, {"codename": "sys"}, {"dataset": "a b=c"}):
+        want = sorted(map(tuple, cache.filter(" and ".join(f"{c} = '{v}'" for c, v in kind.items())).collect()), key=str)
+        found = cache_files.scan_hyp_cache(spark, out, **kind)
+        assert sorted(map(tuple, found.collect()), key=str) == want
+        filters = [x.split("PartitionFilters: ")[1].split("PushedFilters")[0] for x in _scans(found) if "PartitionFilters: [" in x]
+        assert filters and all(f"{'file' if c == 'codename' else c}#" in f for c in kind for f in filters)
+
+    folder = tmp_path / "plain" / "conv"
+    folder.mkdir(parents=True)
+    for name in ("one", "t[w]o"):
+        line = {"a.wav": {"v": {"asr_hyp": name, "provider": "p", "model": "m", "version": "v", "codename": name, "hyp_gen_date": "1"}}}
+        (folder / f"{name}.asr_cache.jsonl").write_text(json.dumps(line) + "\n")
+    for name in ("one", "t[w]o"):
+        found = cache_files.scan_hyp_cache(spark, str(tmp_path / "plain"), codename=name)
+        assert [r.asr_hyp for r in found.collect()] == [name]
+        assert len(found.inputFiles()) == 1
+    assert cache_files.scan_hyp_cache(spark, str(tmp_path / "plain"), dataset="other").count() == 0
+
+
+def test_cache_table_is_joined_where_it_lies(spark, tmp_path):
+    cache = _cache_rows(spark)
+    for name in ("hyp_cache", "bucketed_samples"):
+        spark.sql(f"drop table if exists {name}")
+    table = cache_files.store_cache_table(cache, "hyp_cache", buckets=4, path=str(tmp_path / "table"))
+    one = table.filter("dataset = '007' and codename = 'sys'")
+    assert one.count() == 120 and "dataset#" in _scans(one)[0].split("PartitionFilters")[1].split("PushedFilters")[0]
+    rows = [(d, "s", f"t{k % 2}", k, f"clips/{k}.wav" if k % 9 else "") for d in ("007", "a b=c") for k in range(0, 90)]
+    samples = spark.createDataFrame(rows, "dataset string, subset string, split string, sample_idx long, audio_path string")
+    runs = spark.createDataFrame(
+        [("007", "s", f"t{k}", "p", "m", v, c) for k in (0, 1) for v, c in (("v1", "sys"), ("v2", "o+x"))],
+        "dataset string, subset string, split string, provider string, model string, version string, codename string",
+    )
+    want = sorted(map(tuple, joins.attach_planned_hypotheses(samples, runs, cache).collect()), key=str)
+    found = joins.attach_planned_hypotheses(samples, runs, table, bucketed=True)
+    assert sorted(map(tuple, found.collect()), key=str) == want and len(want) == 180
+
+    samples.write.bucketBy(4, "audio_path").sortBy("audio_path").option("path", str(tmp_path / "samples")).saveAsTable("bucketed_samples")
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "20k")  # the plan's runs are broadcast, the cache isn't
+    found = joins.attach_planned_hypotheses(spark.table("bucketed_samples"), runs, table, bucketed=True)
+    assert sorted(map(tuple, found.collect()), key=str) == want
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert "SortMergeJoin" in plan and "Exchange hashpartitioning(audio_path" not in plan, plan
+
+
 def test_broken_cache_line(spark):
     lines = spark.createDataFrame([("{not json",)], "value string")
     with pytest.raises(Exception, match="MALFORMED|malformed|FAILFAST|Malformed"):
