@@ -91,19 +91,40 @@ def split_moments(
     )
 
 
+def _pooled(parts: Column) -> Column:
+    """``n, mean, m2`` of several groups' moments, two at a time: what a group
+    adds to the squared deviations follows from the distance of the means, so
+    nothing large is subtracted from something large."""
+    kind = "struct<n:double,mean:double,m2:double>"
+
+    def merge(s: Column, x: Column) -> Column:
+        total, apart = s["n"] + x["n"], x["avg"] - s["mean"]
+        both = F.struct(
+            total.alias("n"),
+            (s["mean"] + apart * x["n"] / total).alias("mean"),
+            (s["m2"] + x["n"] * x["var"] + apart * apart * s["n"] * x["n"] / total).alias("m2"),
+        )
+        return F.when(x["n"] > 0, both.cast(kind)).otherwise(s)
+
+    none = F.struct(F.lit(0.0).alias("n"), F.lit(0.0).alias("mean"), F.lit(0.0).alias("m2")).cast(kind)
+    return F.aggregate(parts, none, merge)
+
+
+def _parts(name: str) -> Column:
+    """The moments of a group's members, few rows, in an order of their own."""
+    n, avg, var = (F.col(f"{name}_{p}").cast("double").alias(p) for p in ("n", "avg", "var"))
+    return F.array_sort(F.collect_list(F.struct(n, avg, var))).alias(f"{name}_parts")
+
+
 def _merge(name: str, out: str) -> list[Column]:
-    """Pool the moments of several groups."""
-    n, avg, var = (F.col(f"{name}_{p}") for p in ("n", "avg", "var"))
-    total = F.sum(n)
-    mean = F.try_divide(F.sum(n * avg), total)
-    # Spread inside the groups plus spread of the group means.
-    spread = F.sum(n * var) + F.sum(n * avg * avg) - total * mean * mean
-    std = F.sqrt(F.greatest(F.try_divide(spread, total), F.lit(0.0)))
+    """Statistics of the pooled moments ``<name>_pool``."""
+    pool = F.col(f"{name}_pool")
+    std = F.sqrt(F.try_divide(pool["m2"], pool["n"]))
     return [
-        F.coalesce(mean, F.lit(0.0)).alias(f"{out}_mean"),
-        F.coalesce(F.when(total > 1, std), F.lit(0.0)).alias(f"{out}_std"),
-        F.coalesce(F.min(f"{name}_lo"), F.lit(0.0)).alias(f"{out}_min"),
-        F.coalesce(F.max(f"{name}_hi"), F.lit(0.0)).alias(f"{out}_max"),
+        pool["mean"].alias(f"{out}_mean"),
+        F.coalesce(F.when(pool["n"] > 1, std), F.lit(0.0)).alias(f"{out}_std"),
+        F.coalesce(f"{name}_lo", F.lit(0.0)).alias(f"{out}_min"),
+        F.coalesce(f"{name}_hi", F.lit(0.0)).alias(f"{out}_max"),
     ]
 
 
@@ -133,9 +154,19 @@ def split_statistics(moments: DataFrame, planned: DataFrame | None = None) -> Da
 
 
 def dataset_statistics(moments: DataFrame) -> DataFrame:
-    return moments.groupBy("dataset").agg(
+    names = ("dur", "len")
+    ends = [f(f"{m}_{e}").alias(f"{m}_{e}") for m in names for f, e in ((F.min, "lo"), (F.max, "hi"))]
+    pooled = moments.groupBy("dataset").agg(
         F.sum("sample_count").alias("sample_count"),
         (F.sum("audio_seconds") / 3600).alias("total_audio_hours"),
+        *ends,
+        *map(_parts, names),
+    )
+    pooled = pooled.withColumns({f"{m}_pool": _pooled(F.col(f"{m}_parts")) for m in names})
+    return pooled.select(
+        "dataset",
+        "sample_count",
+        "total_audio_hours",
         *_merge("dur", "audio_duration"),
         *_merge("len", "transcript_length"),
     )

@@ -374,6 +374,22 @@ def test_run_plan(spark):
     assert run_plan.expand_splits("all") == ["train", "validation", "test"]
 
 
+@pytest.mark.parametrize("mean", [0.0, 1e5, 1e8, 1e9])
+def test_deviation_of_far_values(spark, mean):
+    """Small deviations around a large mean, in splits of very different sizes."""
+    rnd = random.Random(3)
+    rows = [("d", f"s{k}", "train", "a b", mean + rnd.random() + k / 7) for k, n in enumerate((1, 2, 50, 700)) for _ in range(n)]
+    rows += [("d", "none", "test", "a", 0.0), ("e", "one", "test", "a", mean + 1)]
+    df = spark.createDataFrame(rows, "dataset string, subset string, split string, text string, duration double")
+    want = df.filter("duration > 0").groupBy("dataset").agg(F.stddev_pop("duration").alias("std"), F.avg("duration").alias("mean"))
+    want = {r.dataset: r for r in want.collect()}
+    found = {r.dataset: r for r in corpus_stats.dataset_statistics(corpus_stats.split_moments(df)).collect()}
+    for name in ("d", "e"):
+        assert abs(found[name].audio_duration_std - want[name]["std"]) <= 1e-9 * max(1, mean * 2e-7)
+        assert abs(found[name].audio_duration_mean - want[name]["mean"]) <= 1e-15 * max(1, mean) * 10
+    assert found["d"].audio_duration_std > 0.2 and found["e"].audio_duration_std == 0
+
+
 def test_statistics_merge(spark):
     rnd = random.Random(8)
     data = []
