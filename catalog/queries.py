@@ -218,6 +218,26 @@ def materialize(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table.select(*SPLIT_KEYS, "n_rows")
 
 
+@register
+def refreshed_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts per split, stored; then the test splits lose rows and the counts
+    are asked for again: those of other splits are read."""
+    path = stage_path(spark, "refreshed")
+    rows = shapes.samples(spark, sf_dir)
+    for now in (rows, rows.filter("split <> 'test' OR conv_id % 2 = 0")):
+        counts = now.groupBy(*SPLIT_KEYS).agg(F.count("*").alias("n_rows"))
+        table = store.materialize_groups(
+            spark,
+            path,
+            now,
+            lambda g, counts=counts: counts.join(g, SPLIT_KEYS, "left_semi"),
+            SPLIT_KEYS,
+            marks=store.fingerprints(now, SPLIT_KEYS),
+        )
+    runs = spark.read.parquet(f"{path}.groups").groupBy(*SPLIT_KEYS).agg(F.count("*").alias("n_runs"))
+    return table.join(runs, SPLIT_KEYS).select(*SPLIT_KEYS, "n_rows", "n_runs")
+
+
 @register
 def dated_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = stage_path(spark, "dated")

@@ -25,11 +25,11 @@ from hearscore.operators.selection import first_n_per_split
 from hearscore.operators.summary import group_summary, sort_summary
 from hearscore.operators.transcribe import Transcriber, cache_rows, transcribe_batch
 from hearscore.plans.run_plan import Corpus, corpus_table
-from hearscore.schema import CACHE_KEY, RESOURCES, SAMPLE, SPLIT_KEYS
+from hearscore.schema import CACHE_COSTS, CACHE_KEY, RESOURCES, SAMPLE, SPLIT_KEYS
 from hearscore.session import stage
 from hearscore.sources.cache import sink_hyp_cache, stored_hyp_cache
 from hearscore.sources.corpora import planned_runs, planned_samples
-from hearscore.sources.store import dated_path, materialize_groups
+from hearscore.sources.store import dated_path, fingerprints, materialize_groups
 from hearscore.sources.tsv import sink_tsv
 
 # Directory levels of stored stages.
@@ -138,14 +138,30 @@ def prepare_eval_input(
     *,
     force: bool = False,
 ) -> DataFrame:
-    """Stored eval input of the plan; groups that are there are kept."""
+    """Stored eval input of the plan; groups that are there are kept as long
+    as their samples, their model's cache and its entry in the plan are the same."""
 
     def compute(groups: DataFrame) -> DataFrame:
         todo = plan.join(groups, GROUPS, "left_semi")
         return eval_input(samples, todo, cache, job.metadata_columns)
 
+    known = [c for c in job.metadata_columns if c in samples.columns]
+    spoken = fingerprints(samples.select(*dict.fromkeys([*SAMPLE.names, *known])), SPLIT_KEYS, "spoken")
+    model = ["dataset", "codename", "version"]
+    said = fingerprints(cache.select(*model, "audio_path", "asr_hyp", *CACHE_COSTS), model, "said")
+    groups = plan.groupBy(*GROUPS).agg(F.max(F.struct("provider", "model")).cast("string").alias("named"))
+    marks = groups.join(spoken, SPLIT_KEYS, "left").join(said, model, "left")
+    marks = marks.select(*GROUPS, F.concat_ws("|", "named", *(F.coalesce(c, F.lit("")) for c in ("spoken", "said"))).alias("mark"))
     return materialize_groups(
-        spark, job.path("eval_input"), plan, compute, GROUPS, force=force, rebalance=True
+        spark,
+        job.path("eval_input"),
+        plan,
+        compute,
+        GROUPS,
+        marks=marks,
+        parameters=known,
+        force=force,
+        rebalance=True,
     )
 
 
@@ -181,7 +197,8 @@ def generate_metrics(
     """(per-sample results, sorted summary) of a stored eval input.
 
     ``durations(path, audio_duration)`` adds the length of each clip; clips
-    without an entry get 0.0.
+    without an entry get 0.0.  Stored groups are kept as long as their pairs
+    and what is computed of them are the same.
     """
     metrics = resolve_metrics(job.metrics)
     if durations is not None:
@@ -199,7 +216,14 @@ def generate_metrics(
         return table.withColumn("codename", F.col("system"))
 
     table = materialize_groups(
-        spark, job.path("eval_output"), pairs, compute, GROUPS, force=force
+        spark,
+        job.path("eval_output"),
+        pairs,
+        compute,
+        GROUPS,
+        marks=fingerprints(pairs, GROUPS),
+        parameters=[list(job.norm_types), metrics, job.metric_mode],
+        force=force,
     ).drop("codename")
     summary = sort_summary(group_summary(table, metrics, job.metadata_columns))
     return table, summary

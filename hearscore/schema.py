@@ -52,6 +52,7 @@ CACHE = _struct(
     ("vram_diff_bytes", _L),
 )
 
+CACHE_COSTS = ["elapsed_time_seconds", "peak_vram_bytes", "vram_diff_bytes"]
 CACHE_KEY = ["dataset", "codename", "audio_path", "version"]
 
 RESOURCES = _struct(

@@ -9,7 +9,7 @@ from datetime import UTC, datetime
 from functools import reduce
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -46,6 +46,43 @@ def materialize(
     return spark.read.parquet(path)
 
 
+def fingerprints(rows: DataFrame, keys: Sequence[str], name: str = "mark") -> DataFrame:
+    """``keys`` and a text that stands for all rows of a group.
+
+    Rows are hashed and the hashes summed, so neither their order nor that of
+    the columns matters, but how often a row occurs does.  Sums are combined
+    before the shuffle: a group is one row of it per task.
+    """
+    kinds = {f.name: f.dataType for f in rows.schema.fields}
+    values = [
+        F.to_json(c) if isinstance(kinds[c], T.MapType) else F.col(c) for c in sorted(kinds) if c not in keys
+    ]
+    # A null and an absent hash input are alike, so what is null counts as well.
+    nulls = [F.isnull(c) for c in sorted(kinds) if c not in keys]
+
+    def total(salt: int) -> Column:
+        return F.sum(F.xxhash64(F.lit(salt), *values, *nulls).cast("decimal(20,0)")).cast("string")
+
+    return rows.groupBy(*keys).agg(F.concat_ws("/", F.count("*"), total(1), total(2)).alias(name))
+
+
+def _same_keys(one: DataFrame, two: DataFrame, keys: Sequence[str]) -> list[Column]:
+    return [one[k].eqNullSafe(two[k]) for k in keys]
+
+
+def _last_runs(spark: SparkSession, path: str, keys: Sequence[str]) -> DataFrame | None:
+    """``keys, run, schema, mark`` of the groups that are done, each as its last
+    run left it."""
+    done = stored(spark, f"{path}.groups")
+    if done is None:
+        return None
+    done = spark.read.option("mergeSchema", True).parquet(f"{path}.groups")
+    if "mark" not in done.columns:
+        done = done.withColumn("mark", F.lit(None).cast("string"))
+    last = F.max(F.struct("done", "run", "schema", "mark")).alias("last")
+    return done.groupBy(*keys).agg(last).select(*keys, "last.run", "last.schema", "last.mark")
+
+
 def materialize_groups(
     spark: SparkSession,
     path: str,
@@ -53,12 +90,19 @@ def materialize_groups(
     compute: Callable[[DataFrame], DataFrame],
     keys: Sequence[str],
     *,
+    marks: DataFrame | None = None,
+    parameters: object = None,
     force: bool = False,
     rebalance: bool = False,
 ) -> DataFrame:
     """The same per group: only groups of ``wanted`` (a table of ``keys``)
     that are not done yet are computed and written.
 
+    ``marks`` (``keys, mark``, as ``fingerprints`` makes them of what goes into
+    a group) and ``parameters`` tell whether a stored group is still right: one
+    whose mark or parameters have changed is computed again.  Without them
+    what is stored counts as right.
+
     Beside the rows, ``<path>.groups`` lists which groups are done, groups
     without rows included, and in which run: a forced group is written by a
     new run, and rows of earlier runs are no longer read.  Keys keep the types
@@ -68,36 +112,60 @@ def materialize_groups(
     results that come in no order: few files per directory, and a large
     group is still split over several tasks.
     """
-    asked = stage(wanted.select(*keys).distinct(), "groups")
-    done = stored(spark, f"{path}.groups")
-    groups = asked
-    if done is not None and not force:
-        groups = asked.join(done.select(*keys), [asked[k].eqNullSafe(done[k]) for k in keys], "left_anti")
-    if done is None or not groups.isEmpty():
+    asked = wanted.select(*keys).distinct()
+    given = F.lit(None if parameters is None else json.dumps(parameters, sort_keys=True, default=str)).cast("string")
+    own = F.lit(None).cast("string")
+    if marks is not None:
+        marks = marks.select(*keys, "mark")
+        asked = asked.join(marks, _same_keys(asked, marks, keys), "left").select(*(asked[k] for k in keys), marks["mark"])
+        own = F.coalesce("mark", F.lit(""))
+    # Null if there is neither, which is also what older lists say.
+    mark = F.when(own.isNotNull() | given.isNotNull(), F.sha2(F.concat_ws("|", own, given), 256))
+    asked = stage(asked.select(*keys, mark.alias("mark")), "groups")
+    groups, done = asked, _last_runs(spark, path, keys)
+    first = done is None
+    if not first and not force:
+        same = [*_same_keys(asked, done, keys), asked["mark"].eqNullSafe(done["mark"])]
+        groups = asked.join(done, same, "left_anti")
+    if first or not groups.isEmpty():
         run = uuid.uuid4().hex
-        table = compute(groups)
+        groups = stage(groups, "groups_to_do")
+        table = compute(groups.select(*keys))
         # The run is the folder above those of the keys, so that a run that
         # is cut short leaves nothing that would be read.
         (table.hint("rebalance", *keys) if rebalance else table).write.partitionBy(*keys).parquet(f"{path}/run={run}")
         (
-            groups.withColumn("run", F.lit(run))
-            .withColumn("schema", F.lit(table.schema.json()))
+            groups.select(*keys, F.lit(run).alias("run"), F.lit(table.schema.json()).alias("schema"), "mark")
             .withColumn("done", F.current_timestamp())
             .coalesce(1)  # one row per group
             .write.mode("append")
             .parquet(f"{path}.groups")
         )
-    done = spark.read.parquet(f"{path}.groups")
-    last = done.groupBy(*keys).agg(F.max(F.struct("done", "run", "schema")).alias("last"))
-    current = last.join(asked, [last[k].eqNullSafe(asked[k]) for k in keys], "left_semi")
-    schema = T.StructType.fromJson(json.loads(current.agg(F.max("last")["schema"]).first()[0]))
+    last = _last_runs(spark, path, keys)
+    current = last.join(asked, _same_keys(last, asked, keys), "left_semi")
+    schema = T.StructType.fromJson(json.loads(current.agg(F.max_by("schema", "run")).first()[0]))
     rows = spark.read.schema(T.StructType([*schema.fields, T.StructField("run", T.StringType())])).parquet(path)
     names = {k: f"__{k}" for k in keys}
-    current = current.select(*(F.col(k).alias(n) for k, n in names.items()), F.col("last.run").alias("__run"))
+    current = current.select(*(F.col(k).alias(n) for k, n in names.items()), F.col("run").alias("__run"))
     same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(n)) for k, n in names.items()], F.col("run") == F.col("__run"))
     return rows.join(current, same, "left_semi").drop("run")
 
 
+def drop_old_runs(spark: SparkSession, path: str, keys: Sequence[str]) -> int:
+    """Delete the runs below ``path`` that no group is read from any more, and
+    those that were cut short; how many they were.  Nobody may be writing
+    there, or reading what was returned before the last run."""
+    last = _last_runs(spark, path, keys)
+    needed = set() if last is None else {r.run for r in last.select("run").distinct().collect()}
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = files.globStatus(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/run=*")) or []
+    old = [f.getPath() for f in found if f.getPath().getName().removeprefix("run=") not in needed]
+    for place in old:
+        files.delete(place, True)
+    return len(old)
+
+
 def run_date() -> str:
     """UTC day of a run, as output names carry it."""
     return datetime.now(tz=UTC).strftime("%Y%m%d")

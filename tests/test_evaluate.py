@@ -1,4 +1,5 @@
 import sys
+from dataclasses import replace
 
 from pyspark import cloudpickle
 from pyspark.sql import functions as F
@@ -55,13 +56,29 @@ def test_three_stages(spark, tmp_path):
     assert [(r.subset, r.split, r.norm_type, r.system) for r in rows] == sorted(
         (r.subset, r.split, r.norm_type, r.system) for r in rows
     )
-    # What is stored is kept: another cache changes nothing unless forced.
-    again, _ = evaluate.evaluate(spark, job, samples, plan, shapes.cache_of(samples))
-    assert sorted(map(repr, again.collect())) == sorted(map(repr, table.collect()))
-    forced, renewed = evaluate.evaluate(
-        spark, job, samples, plan, shapes.cache_of(samples), force_prepare=True, force_metrics=True
-    )
+    # Another cache is noticed; the same one computes nothing.
+    forced, renewed = evaluate.evaluate(spark, job, samples, plan, shapes.cache_of(samples))
     assert not forced.filter(F.col("hypothesis").startswith("this is")).count()
+    stages = [job.path(name) for name in ("eval_input", "eval_output")]
+
+    def runs():
+        return [spark.read.parquet(f"{path}.groups").count() for path in stages]
+
+    before = runs()
+    again, _ = evaluate.evaluate(spark, job, samples, plan, shapes.cache_of(samples))
+    assert runs() == before and sorted(map(repr, again.collect())) == sorted(map(repr, forced.collect()))
+    # One changed reference: its split is computed again, for both systems.
+    changed = samples.withColumn("text", F.when((F.col("conv_id") == 3) & (F.col("turn") == 1), F.lit("new words")).otherwise(F.col("text")))
+    again, _ = evaluate.evaluate(spark, job, changed, plan, shapes.cache_of(samples))
+    n_changed = changed.filter("text = 'new words'").select("subset", "split").distinct().count()
+    assert n_changed == 1 and runs() == [n + 2 for n in before]
+    assert again.filter("reference = 'new words'").count() > 0
+    # Other metrics leave the eval input as it is.
+    evaluate.evaluate(spark, replace(job, metrics=["WER"]), changed, plan, shapes.cache_of(samples))
+    after = runs()
+    assert after[0] == before[0] + 2 and after[1] > before[1] + 2
+    forced, renewed = evaluate.evaluate(spark, job, samples, plan, shapes.cache_of(samples), force_prepare=True, force_metrics=True)
+    assert runs()[0] > after[0]
     evaluate.write_reports(job, forced, renewed, "20250101")
     written = spark.read.options(sep="\t", header=True).csv(
         f"{job.path('reports')}/avg_eval_output_all_20250101"

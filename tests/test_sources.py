@@ -203,6 +203,57 @@ def test_materialize_groups(spark, tmp_path):
     assert seen[-1] == [0, 1]
 
 
+def test_fingerprints(spark):
+    kind = "g string, n int, text string, more map<string,int>"
+    rows = [("a", 1, "x", {"k": 1}), ("a", 2, None, None), ("b", 1, "x", {"k": 1}), (None, 1, "x", {"k": 1})]
+
+    def marks(rows, columns=("g", "n", "text", "more")):
+        df = spark.createDataFrame(rows, kind).select(*columns).repartition(3)
+        return {r.g: r.mark for r in store.fingerprints(df, ["g"]).collect()}
+
+    first = marks(rows)
+    assert first == marks(rows[::-1], ("more", "text", "g", "n")) and first["b"] == first[None] != first["a"]
+    for changed in (
+        [*rows, rows[0]], [("a", 1, None, {"k": 1}), ("a", 2, "x", None), *rows[2:]], [rows[0], ("a", None, "2", None), *rows[2:]],
+        [("a", 1, "x", {"k": 2}), *rows[1:]],
+    ):
+        other = marks(changed)
+        assert other["a"] != first["a"] and other["b"] == first["b"]
+
+
+def test_stored_groups_notice_changes(spark, tmp_path):
+    path, keys, calls = str(tmp_path / "m"), ["g"], []
+
+    def run(values, **kind):
+        rows = spark.createDataFrame(values, "g string, v int")
+
+        def compute(groups):
+            calls.append(sorted(str(r.g) for r in groups.collect()))
+            return rows.join(groups, rows["g"].eqNullSafe(groups["g"]), "left_semi")
+
+        table = store.materialize_groups(spark, path, rows, compute, keys, marks=store.fingerprints(rows, keys), **kind)
+        assert sorted(map(tuple, table.select("g", "v").collect()), key=str) == sorted(values, key=str)
+
+    first = [("a", 1), ("a", 2), ("b", 3), (None, 4)]
+    run(first)
+    run(first[::-1])
+    assert calls == [["None", "a", "b"]]
+    run([("a", 1), ("a", 5), ("b", 3), (None, 4)])
+    run([("a", 1), ("a", 5), ("b", 3), (None, 4), (None, 4), ("c", 0)])
+    assert calls[1:] == [["a"], ["None", "c"]]
+    run(first)  # what was there once isn't taken up again
+    assert calls[3:] == [["None", "a"]]
+    run(first, parameters={"norms": ["none"]})
+    run(first, parameters={"norms": ["none"]})
+    run(first, parameters={"norms": ["none", "all"]})
+    assert calls[4:] == [["None", "a", "b"]] * 2
+    (tmp_path / "m" / "run=cutshort").mkdir()
+    runs = len(list((tmp_path / "m").glob("run=*")))
+    assert store.drop_old_runs(spark, path, keys) == runs - 2  # the last one, and that of c
+    run(first, parameters={"norms": ["none", "all"]})
+    assert len(calls) == 6
+
+
 def test_dated_path():
     assert store.dated_path("a/", "b", "20250101") == "a/b_20250101"
     assert len(store.run_date()) == 8
