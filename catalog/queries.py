@@ -490,8 +490,7 @@ def metric_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register
 def running_metric(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Values up to each clip; small buckets, so that every level is used."""
-    clips = stage(_clips(spark, sf_dir, ["all"]), "clip_counts")
-    running = scoring.with_running_counts(clips, ["all"], METRICS, bits=8)
+    running = scoring.running_clips(shapes.pairs(spark, sf_dir), ["all"], METRICS, tasks=shapes.TASKS, bits=8)
     table = scoring.results(running, ["all"], METRICS, texts=False)
     return table.select("subset", "split", "system", "norm_type", "sample_idx", *METRICS)
 

@@ -18,6 +18,7 @@ from hearscore.functions.align import edit_counts_of_variants
 from hearscore.functions.text import check_norm_types, clip_id, is_valid_pair, normalise
 from hearscore.operators.ordered import BITS, running_totals
 from hearscore.operators.selection import cast_text, non_empty_pairs, require_columns, valid_pairs
+from hearscore.session import bucketed_stage
 
 RUN_KEYS = ["dataset", "subset", "split", "codename", "version"]
 
@@ -57,13 +58,15 @@ def score_clips(
     ref: str = "text",
     hyp: str = "hypothesis",
     keep_invalid: bool = False,
+    spread_by: Sequence[str] = (),
 ) -> DataFrame:
     """Eval input rows that can be scored, with the counts of every
     normalisation; those of a normalisation that leaves a side empty are NULL.
     ``keep_invalid`` keeps the other rows, without hypothesis and counts.
 
     ``tasks`` spreads the rows over that many tasks first: for input that
-    has fewer partitions than there are cores (scoring is CPU work).
+    has fewer partitions than there are cores (scoring is CPU work); rows alike
+    in ``spread_by`` come together.
     """
     norm_types = check_norm_types(norm_types)
     wanted = rates.needed_counts(metrics)
@@ -73,7 +76,7 @@ def score_clips(
     else:
         rows = valid_pairs(eval_input, ref, hyp)
     if tasks:
-        rows = rows.repartition(tasks)
+        rows = rows.repartition(tasks, *spread_by)
     # Each text is made once, in a projection of its own.
     made = {f"__r_{n}": normalise(ref, n) for n in norm_types}
     made |= {f"__h_{n}": normalise(hyp, n) for n in norm_types}
@@ -106,6 +109,38 @@ def with_running_counts(
     return running_totals(clips, RUN_KEYS, "sample_idx", values, bits=bits)
 
 
+# Clips of a bucket: what is joined to them is held in memory, some hundred bytes each.
+_CLIPS = 500_000
+
+
+def running_clips(
+    eval_input: DataFrame, norm_types: Sequence[str], metrics: Sequence[str], *, tasks: int | None = None, bits: int = BITS
+) -> DataFrame:
+    """``score_clips`` with ``with_running_counts``, for clips that are unique by
+    run and ``sample_idx``; the texts don't travel for the running values.
+
+    Clips are dealt by a hash of that key before they are scored, and stored as
+    a table with these buckets.  Windows run over the counts alone; their sums
+    are dealt to the buckets and joined there.  The texts aren't shuffled for
+    that, and not sorted unless buckets are too large to hold their sums.
+    """
+    key = [*RUN_KEYS, "sample_idx"]
+    rows = eval_input.withColumn("__row", F.xxhash64(*key)).withColumn("__check", F.xxhash64(F.lit(1), *key))
+    buckets = tasks or int(eval_input.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    clips = score_clips(rows, norm_types, metrics, tasks=buckets, spread_by=["__row"])
+    clips = bucketed_stage(clips, "clip_counts", buckets, "__row")
+    values = [count_column(n, c) for n in norm_types for c in rates.needed_counts(metrics)]
+    narrow = clips.select(*key, "__row", "__check", *values)
+    sums = running_totals(narrow, RUN_KEYS, "sample_idx", values, bits=bits).select(
+        F.col("__row").alias("__at"), F.col("__check").alias("__of"), *(f"{v}_so_far" for v in values)
+    )
+    # Two hashes tell clips apart; only the first one is a key of the buckets.
+    same = (F.col("__row") == F.col("__at")) & (F.col("__check") <= F.col("__of")) & (F.col("__check") >= F.col("__of"))
+    few = clips.count() <= buckets * _CLIPS
+    joined = clips.join(sums.hint("shuffle_hash" if few else "merge"), same)
+    return joined.drop("__row", "__check", "__at", "__of")
+
+
 def results(
     clips: DataFrame,
     norm_types: Sequence[str],

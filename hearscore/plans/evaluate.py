@@ -20,7 +20,7 @@ from hearscore.operators.joins import (
     pending_work,
     resolve_audio_paths,
 )
-from hearscore.operators.scoring import results, score_clips, with_running_counts
+from hearscore.operators.scoring import results, running_clips, score_clips
 from hearscore.operators.selection import first_n_per_split
 from hearscore.operators.summary import group_summary, sort_summary
 from hearscore.operators.transcribe import Transcriber, cache_rows, transcribe_batch
@@ -180,9 +180,10 @@ def sample_results(
     scoring is the costly part.
     """
     check_norm_types(norm_types)
-    clips = score_clips(pairs, norm_types, metrics, tasks=tasks)
     if mode == "running":
-        clips = with_running_counts(stage(clips, "clip_counts"), norm_types, metrics)
+        clips = running_clips(pairs, norm_types, metrics, tasks=tasks)
+    else:
+        clips = score_clips(pairs, norm_types, metrics, tasks=tasks)
     return results(clips, norm_types, metrics, mode=mode, counts=counts)
 
 

@@ -74,6 +74,17 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bucketed_stage(df: DataFrame, label: str, buckets: int, column: str) -> DataFrame:
+    """The same as a table whose rows lie in ``buckets`` by the hash of
+    ``column``: joins on it alone shuffle only the other side.  ``df`` should
+    be dealt that way already (``repartition(buckets, column)``), or each task
+    writes a file for every bucket."""
+    spark = df.sparkSession
+    name = f"stage_{uuid.uuid4().hex}"
+    df.write.bucketBy(buckets, column).option("path", stage_path(spark, label)).saveAsTable(name)
+    return spark.table(name)
+
+
 def drop_stage(table: DataFrame) -> None:
     """Delete the files of a stage table: after all that reads it is stored."""
     spark = table.sparkSession

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import uuid
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
@@ -17,6 +19,11 @@ from hearscore.operators.scoring import RUN_KEYS, by_normalisation, count_column
 from hearscore.schema import CACHE_KEY
 
 
+# Segments of a level that are merged, and earlier manifests that stay readable.
+_FAN = 8
+_MANIFESTS_KEPT = 2
+_LOG_ORDER = ["hyp_gen_date", "seq", "batch"]
+
 # Results of earlier batches that stay for who is still reading them.
 _RESULTS_KEPT = 3
 
@@ -168,25 +175,97 @@ def latest_batch(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(_batch_path(path, _batches(spark, path)[-1]))
 
 
+def _files(spark: SparkSession, path: str):
+    """(file system, function that makes a path of it)."""
+    made = spark._jvm.org.apache.hadoop.fs.Path
+    return made(path).getFileSystem(spark._jsc.hadoopConfiguration()), made
+
+
+def _manifests(spark: SparkSession, path: str) -> list[str]:
+    files, made = _files(spark, path)
+    found = files.globStatus(made(f"{path}/manifest/*.json")) or []
+    return sorted(f.getPath().toString() for f in found)
+
+
+def _read_manifest(spark: SparkSession, name: str) -> dict:
+    return json.loads(spark.read.text(name, wholetext=True).first().value)
+
+
+def _commit_manifest(spark: SparkSession, path: str, number: int, content: dict) -> None:
+    """The manifest appears under its name whole or not at all."""
+    files, made = _files(spark, path)
+    draft, name = made(f"{path}/manifest/_{number}.draft"), made(f"{path}/manifest/{number:012d}.json")
+    out = files.create(draft, True)
+    out.write(bytearray(json.dumps(content).encode()))
+    out.close()
+    if not files.rename(draft, name):
+        raise RuntimeError(f"another writer has committed {name}")
+
+
+def append_cache_log(batch: DataFrame, path: str, batch_id: int) -> None:
+    """Add the writes of one batch to the log at ``path``.
+
+    The log is a list of segments, which the newest manifest names.  A segment
+    has one row per key; as soon as ``_FAN`` segments of a level are there, they
+    are merged to one of the next level.  So a log of n batches has about
+    ``_FAN * log(n)`` segments, and a row is rewritten log(n) times.  The
+    manifest is replaced after all segments it names are written: readers see
+    the state before or after a batch, and one that has been committed already
+    is left out when it is repeated.
+    """
+    spark = batch.sparkSession
+    names = _manifests(spark, path)
+    state = _read_manifest(spark, names[-1]) if names else {"batch": -1, "segments": []}
+    if batch_id <= state["batch"]:
+        return
+
+    files, made = _files(spark, path)
+    own = f"{path}/segments/{batch_id:012d}"
+    for left in files.globStatus(made(f"{own}-*")) or []:  # by a run that was cut short
+        files.delete(left.getPath(), True)
+
+    def write(rows: DataFrame, level: int) -> dict:
+        place = f"{own}-{level}-{uuid.uuid4().hex}"
+        rows.write.parquet(place)
+        return {"path": place, "level": level}
+
+    arrived = latest_hypotheses(batch.withColumn("batch", F.lit(batch_id).cast("long")), _LOG_ORDER)
+    segments = [*state["segments"], write(arrived, 0)]
+    while len(segments) >= _FAN and len({s["level"] for s in segments[-_FAN:]}) == 1:
+        level, merged = segments[-1]["level"] + 1, segments[-1]["path"]
+        rows = spark.read.parquet(*(s["path"] for s in segments[-_FAN:]))
+        segments[-_FAN:] = [write(latest_hypotheses(rows, _LOG_ORDER), level)]
+        files.delete(made(merged), True)  # of this batch: no manifest names it
+    _commit_manifest(spark, path, batch_id, {"batch": batch_id, "segments": segments})
+
+    # What only older manifests name goes, and those manifests.
+    kept = [_read_manifest(spark, name) for name in names[-_MANIFESTS_KEPT:]]
+    needed = {s["path"] for m in [*kept, {"segments": segments}] for s in m["segments"]}
+    for name in names[:-_MANIFESTS_KEPT]:
+        for segment in _read_manifest(spark, name)["segments"]:
+            if segment["path"] not in needed:
+                files.delete(made(segment["path"]), True)
+        files.delete(made(name), True)
+
+
 def stream_cache_log(
     rows: DataFrame, path: str, checkpoint: str, *, available_now: bool = True
 ) -> StreamingQuery:
-    """Append cache writes to a log, one directory per batch.  A batch only
-    writes what arrived; stored rows are not rewritten.  Within a batch the
-    last write per key is kept (``seq`` ranks writes of one day)."""
+    """Append cache writes to a log (``append_cache_log``).  Of a key, the last
+    write is kept (``seq`` ranks writes of one day)."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        latest_hypotheses(batch, ["hyp_gen_date", "seq"]).write.mode("overwrite").parquet(
-            _batch_path(path, batch_id)
-        )
+        append_cache_log(batch, path, batch_id)
 
     return _run(rows, write, checkpoint, "append", available_now)
 
 
 def read_cache_log(spark: SparkSession, path: str) -> DataFrame:
-    """The cache as of the last batch: one row per key."""
-    log = spark.read.parquet(path)
-    return latest_hypotheses(log, ["hyp_gen_date", "seq", "batch"]).drop("batch")
+    """The cache as of the last batch: one row per key.  Only the segments of
+    the newest manifest are opened."""
+    state = _read_manifest(spark, _manifests(spark, path)[-1])
+    log = spark.read.parquet(*(s["path"] for s in state["segments"]))
+    return latest_hypotheses(log, _LOG_ORDER).drop("batch")
 
 
 def compact_cache_log(spark: SparkSession, path: str, target: str) -> None:

@@ -6,9 +6,11 @@ from pyspark.sql import functions as F
 
 from catalog import shapes
 from catalog.stub import StubTranscriber
+from hearscore.operators import scoring
 from hearscore.operators.transcribe import cache_rows, transcribe_batch
 from hearscore.plans import evaluate
 from hearscore.schema import CACHE
+from hearscore.session import stage
 from hearscore.sources.corpora import planned_samples
 
 SF = "/root/testdata/sf0.001"
@@ -184,3 +186,37 @@ def test_metadata_columns_keep_their_names(spark):
     rows = shapes.pairs(spark, SF).withColumn("n_speakers", F.lit(2)).withColumn("n_none_hits", F.lit("kept"))
     table = evaluate.sample_results(rows, ["none"], ["WER"])
     assert {(r.n_speakers, r.n_none_hits) for r in table.select("n_speakers", "n_none_hits").collect()} == {(2, "kept")}
+
+
+def test_running_values_leave_texts_where_they_are(spark):
+    pairs = shapes.pairs(spark, SF, ["conv_id"])
+    metrics = ["WER", "CER"]
+    table = evaluate.sample_results(pairs, ["none", "all"], metrics, tasks=6)
+    clips = stage(scoring.score_clips(pairs, ["none", "all"], metrics), "clips")
+    plain = scoring.results(scoring.with_running_counts(clips, ["none", "all"], metrics), ["none", "all"], metrics)
+    assert table.columns == plain.columns
+    assert sorted(map(repr, table.collect())) == sorted(map(repr, plain.collect())) and table.count() > 100
+    plan = table._jdf.queryExecution().executedPlan().toString()
+    windows = [line for line in plan.splitlines() if "Window" in line or "Exchange" in line or "Sort " in line]
+    assert windows and not any("text#" in line or "hypothesis#" in line for line in windows)
+    scans = [line for line in plan.splitlines() if "FileScan" in line]
+    assert any("Bucketed: true" in line and "text#" in line for line in scans)
+    # Only the side of the sums is shuffled.
+    below = plan[plan.index("ShuffledHashJoin") :]
+    texts = min(i for i, line in enumerate(below.splitlines()) if "FileScan" in line and "text#" in line)
+    assert not any("Exchange" in line for line in below.splitlines()[:texts])
+
+
+def test_running_values_with_null_keys_and_large_buckets(spark, monkeypatch):
+    monkeypatch.setattr(scoring, "_CLIPS", 0)  # joins by sorting
+    rows = [(None if k % 2 else "d", "s", None, "c", "v", k, f"{k}.wav", "a b c", "a x c" if k % 3 else "a b c") for k in range(40)]
+    kind = "dataset string, subset string, split string, codename string, version string, sample_idx long, audio_path string, text string, hypothesis string"
+    pairs = spark.createDataFrame(rows, kind)
+    got = evaluate.sample_results(pairs, ["none"], ["WER"], counts=True).collect()
+    for dataset in (None, "d"):
+        own = sorted((r for r in got if r.dataset == dataset), key=lambda r: r.sample_idx)
+        wrong, seen = 0, 0
+        for r in own:
+            wrong, seen = wrong + (r.sample_idx % 3 != 0), seen + 3
+            assert r.WER == round(100 * wrong / seen, 2)
+        assert len(own) == 20

@@ -1,5 +1,6 @@
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from catalog import shapes
@@ -117,3 +118,55 @@ def test_cache_log(spark, tmp_path):
     scores.compact_cache_log(spark, log, str(tmp_path / "compact"))
     compact = spark.read.parquet(str(tmp_path / "compact"))
     assert {(r.audio_path, r.version): r.asr_hyp for r in compact.collect()} == state
+
+
+_LOGGED = "dataset string, codename string, audio_path string, version string, asr_hyp string, hyp_gen_date string, seq long"
+
+
+def test_cache_log_in_levels(spark, tmp_path, monkeypatch):
+    """Many batches: few segments, the state of the last write per key, the
+    same after a repeated batch and for who read before a merge."""
+    monkeypatch.setattr(scores, "_FAN", 3)
+    r, log, state, held = random.Random(6), str(tmp_path / "log"), {}, None
+
+    def read():
+        return {(x.audio_path, x.version): x.asr_hyp for x in scores.read_cache_log(spark, log).collect()}
+
+    ranks = {}
+    for batch in range(30):
+        rows = []
+        for k in range(4):
+            key, day = (f"{r.randint(0, 9)}.wav", f"v{r.randint(0, 1)}"), f"2025010{r.randint(1, 3)}"
+            rows.append(("d", "c", *key, f"{batch}-{k}", day, batch * 10 + k))
+            if ranks.get(key, ("", -1, -1)) <= (day, batch * 10 + k, batch):
+                ranks[key], state[key] = (day, batch * 10 + k, batch), f"{batch}-{k}"
+        df = spark.createDataFrame(rows, _LOGGED).coalesce(1)
+        scores.append_cache_log(df, log, batch)
+        if held is not None:  # read before this batch, used after it
+            assert {(x.audio_path, x.version): x.asr_hyp for x in held[0].collect()} == held[1]
+        if batch % 4 == 1:
+            scores.append_cache_log(df, log, batch)
+            scores.append_cache_log(df.limit(0), log, batch - 1)
+        if batch % 3 == 2:
+            assert read() == state
+            held = scores.read_cache_log(spark, log), dict(state)
+    segments = scores._read_manifest(spark, scores._manifests(spark, log)[-1])["segments"]
+    assert [s["level"] for s in segments] == [3, 1]  # 27 and 3 batches
+    assert len(list((tmp_path / "log" / "segments").glob("*"))) <= 12
+    assert len(scores.read_cache_log(spark, log).inputFiles()) <= 2 * 8
+
+
+def test_cut_short_batch_is_not_seen(spark, tmp_path, monkeypatch):
+    log = str(tmp_path / "log")
+
+    def rows(said):
+        return spark.createDataFrame([("d", "c", "a", "v", said, "1", 1)], _LOGGED)
+
+    scores.append_cache_log(rows("one"), log, 0)
+    with monkeypatch.context() as broken:
+        broken.setattr(scores, "_commit_manifest", lambda *_: 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            scores.append_cache_log(rows("two"), log, 1)
+    assert scores.read_cache_log(spark, log).first().asr_hyp == "one"
+    scores.append_cache_log(rows("two"), log, 1)
+    assert [x.asr_hyp for x in scores.read_cache_log(spark, log).collect()] == ["two"]
