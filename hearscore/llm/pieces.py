@@ -119,11 +119,22 @@ def _merges(spec: Spec) -> list[tuple[str, str]]:
     return [(a, b) for _, _, a, b in found]
 
 
+def _lattice(spec: Spec) -> list[tuple[str, float]]:
+    """Pieces of a unigram model as text can choose them.  Control, unknown,
+    byte and unused pieces get names with a space, which no text with markers
+    has; pieces of the user are better than any others of their length."""
+    best = max((s for _, s, kind in spec.pieces if kind == _NORMAL), default=0.0)
+    score = {_NORMAL: lambda text, s: s, _USER: lambda text, s: len(text) * best - 0.1}
+    return [
+        (text, score[kind](text, s)) if kind in score else (f" {i}", best) for i, (text, s, kind) in enumerate(spec.pieces)
+    ]
+
+
 def _bare(spec: Spec) -> Tokenizer:
-    """The model without normaliser: for text with markers."""
+    """The model without normaliser: for text with markers.  That of a unigram
+    model gives unknown text as one unknown token with that text."""
     if spec.kind == _UNIGRAM:
-        scores = [(text, s) for text, s, _ in spec.pieces]
-        return Tokenizer(models.Unigram(scores, unk_id=spec.unknown, byte_fallback=spec.byte_fallback))
+        return Tokenizer(models.Unigram(_lattice(spec), unk_id=spec.unknown, byte_fallback=False))
     if spec.kind != _BPE:
         raise ValueError(f"model kind {spec.kind} is neither unigram nor BPE")
     vocabulary = {text: i for i, (text, _, _) in enumerate(spec.pieces)}
@@ -134,7 +145,8 @@ def _bare(spec: Spec) -> Tokenizer:
 
 
 def tokenizer(model: bytes) -> Tokenizer:
-    """The whole tokenizer, for single texts and for decoding."""
+    """The whole tokenizer, for single texts and for decoding.  Of a unigram
+    model it leaves unknown text as it is: ``Codec`` spells it in bytes."""
     spec = parse(model)
     if spec.suffix or not spec.escape:
         raise ValueError("models with the marker as suffix or without a marker aren't supported")
@@ -174,8 +186,21 @@ class Codec:
         spelled = [b"" if k == 3 else " ⁇ ".encode() if k == _UNKNOWN else s for s, (_, _, k) in zip(spelled, self.spec.pieces)]
         self.spelled = np.frombuffer(b"".join(spelled), np.uint8)
         self.spelled_at = np.concatenate([[0], np.cumsum([len(s) for s in spelled])])
+        byte_ids = [i for i, (_, _, kind) in enumerate(self.spec.pieces) if kind == _BYTE]
+        self.byte_ids = sorted(byte_ids, key=lambda i: self.spec.pieces[i][0])  # <0x00> to <0xFF>
+        self.falls_back = self.spec.kind == _UNIGRAM and self.spec.byte_fallback and len(byte_ids) == 256
         self._forget()
 
+    def _ids(self, found) -> list[int]:
+        """Ids of an encoding, unknown text as the ids of its bytes."""
+        ids, unknown = found.ids, self.spec.unknown
+        if not self.falls_back or unknown not in ids:
+            return ids
+        out = []
+        for i, text in zip(ids, found.tokens):
+            out += [self.byte_ids[b] for b in text.encode()] if i == unknown else [i]
+        return out
+
     def _forget(self) -> None:
         self.known = np.zeros(0, np.uint64)
         self.place = np.zeros(0, np.int64)
@@ -185,7 +210,7 @@ class Codec:
     def _learn(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray) -> None:
         """Encode cuts that are not known yet."""
         texts = [bytes(data[a:b]).decode().replace(" ", _MARK) for a, b in zip(starts, ends)]
-        ids = [e.ids for e in self.bare.encode_batch(texts, add_special_tokens=False)]
+        ids = [self._ids(e) for e in self.bare.encode_batch(texts, add_special_tokens=False)]
         length = np.array([len(x) for x in ids], dtype=np.int64)
         place = len(self.pool) + np.cumsum(length) - length
         self.pool = np.concatenate([self.pool, np.array([i for x in ids for i in x], dtype=np.int32)])
@@ -201,7 +226,7 @@ class Codec:
             lists = []
             values = texts.fill_null("").to_pylist()
             for at in range(0, len(values), _TEXTS):
-                lists += [e.ids for e in self.whole.encode_batch(values[at : at + _TEXTS], add_special_tokens=False)]
+                lists += [self._ids(e) for e in self.whole.encode_batch(values[at : at + _TEXTS], add_special_tokens=False)]
             offsets = np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype(np.int64)
             return np.array([i for x in lists for i in x], dtype=np.int32), offsets
         # The marker itself in a text is white space, as in the library.

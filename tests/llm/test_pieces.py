@@ -1,10 +1,10 @@
 import random
+import struct
 
 import numpy as np
 import pyarrow as pa
 import pytest
 import sentencepiece
-from tokenizers import Tokenizer
 
 from hearscore.llm import packing, pieces
 from hearscore.llm.queries import QUERIES, piece_model
@@ -47,12 +47,53 @@ def test_whole_tokenizer_and_decoding(model, own):
         assert whole.decode(want) == back
 
 
-def test_unigram_model(model):
+def changed(model, kinds=(), score=None):
+    """The installed model as a unigram model (field 3 of the trainer's part);
+    pieces of some numbers get another kind."""
+
+    def varint(n):
+        out = bytearray()
+        while n > 127:
+            out.append(n & 127 | 128)
+            n >>= 7
+        return bytes([*out, n])
+
+    def field(number, value):
+        return varint(number << 3 | 2) + varint(len(value)) + value
+
+    out, k, kinds = b"", 0, dict(kinds)
+    for number, value in pieces._fields(model):
+        if number == 1:
+            own = dict(pieces._fields(value))
+            points = struct.unpack("<f", own.get(2, bytes(4)))[0]
+            value = field(1, own[1]) + b"\x15" + struct.pack("<f", score(points) if score else points)
+            value += b"\x18" + varint(kinds.get(k, own.get(3, 1)))
+            k += 1
+        elif number == 2:
+            at = value.index(b"\x18\x02")  # the kind of the model
+            value = value[:at] + b"\x18\x01" + value[at + 2 :]
+        out += field(number, value)
+    assert pieces.parse(out).kind == 1
+    return out
+
+
+@pytest.mark.parametrize("score", [None, lambda s: s / 3000 - 2])
+def test_unigram_parity(model, score):
+    """All kinds of pieces, texts that spell them, bytes, unused and user pieces."""
     spec = pieces.parse(model)
-    small = [("<unk>", 0.0, 2), *((t, s, k) for t, s, k in spec.pieces if k == 6), *((c, -5.0, 1) for c in "▁abc"), ("▁ab", -3.0, 1)]
-    made = pieces._bare(pieces.Spec(tuple(small), 1, True, False, b"", True, False, True))
-    assert isinstance(made, Tokenizer)
-    assert made.encode("▁abca€", add_special_tokens=False).tokens == ["▁ab", "c", "a", "<0xE2>", "<0x82>", "<0xAC>"]
+    normal = [i for i, (t, _, kind) in enumerate(spec.pieces) if kind == 1 and len(t) > 3]
+    some = {normal[5]: 5, normal[60]: 5, normal[700]: 4, normal[90]: 4}
+    for kinds in ({}, some):
+        made = changed(model, kinds, score)
+        own, codec = sentencepiece.SentencePieceProcessor(model_proto=made), pieces.Codec(made)
+        texts = odd_texts()[:250] + ["a <s> b", "</s>x", "<unk> a", "<0x41>", "<0x0A><0xFF>", "😀<0x41>€", " 5", "\u2047 x", "\x00\x01"]
+        texts += [f"a{spec.pieces[i][0].replace('▁', ' ')}b {spec.pieces[i][0].replace('▁', ' ')}" for i in some]
+        ids, offsets = codec.encode(pa.array(texts))
+        lists = [ids[a:b].tolist() for a, b in zip(offsets[:-1], offsets[1:])]
+        for text, got in zip(texts, lists):
+            assert got == own.encode(text), repr(text[:90])
+        back = codec.decode(ids, offsets).to_pylist()
+        assert [b for b, t in zip(back, texts) if b != t.replace("▁", " ")] == []
 
 
 def test_encode_and_decode_tables(spark, model, own):
