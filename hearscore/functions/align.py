@@ -40,6 +40,8 @@ _SPACE_RUN = re.compile(r"\s\s+")
 # Cells of one anti-diagonal held by one group of pairs: bounds the working
 # set of a task (a few arrays of this many integers) whatever the batch holds.
 _GROUP_CELLS = 1 << 16
+# First width of the band that alignments are looked for in.
+_BAND = 16
 # The same for the 64-bit blocks of a group in the character distance.
 _GROUP_BLOCKS = 1 << 13
 
@@ -50,31 +52,50 @@ def score_tokens(text: str) -> list[str]:
     return [w for w in _SPACE_RUN.sub(" ", text).strip().split(" ") if w]
 
 
-def _trim(ref: Sequence[int], hyp: Sequence[int]) -> tuple[int, int]:
-    """Lengths of the common prefix and of the common suffix after it."""
-    limit = min(len(ref), len(hyp))
-    head = 0
-    while head < limit and ref[head] == hyp[head]:
-        head += 1
-    tail = 0
-    while tail < limit - head and ref[-1 - tail] == hyp[-1 - tail]:
-        tail += 1
-    return head, tail
+# Whitespace of ``str.strip`` and of the pattern above, for RE2.
+_SPACES = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + (
+    "\u2028\u2029\u202f\u205f\u3000"
+)
+
 
+def word_codes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Words of all texts (``score_tokens``) as numbers, equal words alike, and
+    the offsets of each text's words.  No word becomes a Python string."""
+    single = pc.replace_substring_regex(texts, f"[{_SPACES}]{{2,}}", " ")
+    parts = pc.split_pattern(pc.utf8_trim(single, characters=_SPACES), " ")
+    words = parts.flatten()
+    full = pc.not_equal(words, "").to_numpy(zero_copy_only=False)
+    before = np.concatenate([[0], np.cumsum(full)])
+    ends = np.concatenate([[0], np.cumsum(parts.value_lengths().to_numpy(zero_copy_only=False))])
+    codes = words.filter(pa.array(full)).dictionary_encode().indices
+    return codes.to_numpy().astype(np.int32), before[ends]
 
-def _align_group(pairs: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    """Edit distance and hits of several pairs, swept diagonal by diagonal.
+
+def _align_group(pairs: list[tuple[np.ndarray, np.ndarray]], band: int | None = None) -> tuple[np.ndarray, np.ndarray, int]:
+    """Edit distance and hits of several pairs, swept diagonal by diagonal,
+    and the number of cells that took.
 
     Cell (i, j) lies on diagonal ``i + j``; arrays are indexed by ``i``, one
     column per pair.  Among equal-cost alignments the path is fixed: a
     deletion if it explains the cell's cost, else an insertion if the cell to
     the left is cheaper than the diagonal one, else the diagonal.
+
+    With a ``band``, only cells are swept whose offset ``j - i`` is at most so
+    far outside of 0 and ``m - n``.  Distances up to ``|m - n| + 2 * band`` and
+    the hits with them are then those of the whole table: all cells of all
+    paths of that cost lie in the band, so they have their costs, and others
+    have no less than theirs.  At a cell of the path, the deletion, or a cheaper
+    cell to the left, is chosen only if it is on such a path itself.
     """
     width = len(pairs)
     n = np.array([len(r) for r, _ in pairs])
     m = np.array([len(h) for _, h in pairs])
     rows, cols = int(n.max()), int(m.max())
     kind = np.int16 if rows + cols < 32000 else np.int32
+    far = np.iinfo(kind).max - 8
+    low, high = -rows, cols
+    if band is not None:
+        low, high = min(0, int((m - n).min())) - band, max(0, int((m - n).max())) + band
 
     ref = np.full((rows, width), -1, dtype=np.int32)
     # The hypothesis is stored backwards so that a diagonal is a plain slice.
@@ -90,11 +111,17 @@ def _align_group(pairs: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray
 
     cost2 = np.zeros((rows + 1, width), dtype=kind)
     cost1, cost0 = cost2.copy(), cost2.copy()
-    hit2, hit1, hit0 = cost2.copy(), cost2.copy(), cost2.copy()
-    done = int(np.searchsorted(ends, 0, side="right"))
+    # What lies beside the first cell is out of reach.
+    cost1[1:] = far
+    cost2[:] = far
+    hit2, hit1, hit0 = np.zeros_like(cost0), np.zeros_like(cost0), np.zeros_like(cost0)
+    done, cells = int(np.searchsorted(ends, 0, side="right")), 0
     for k in range(1, int(ends[-1]) + 1):
-        lo, hi = max(1, k - cols), min(rows, k - 1)
+        first = max(0, k - cols, -((high - k) // 2))
+        last = min(rows, k, (k - low) // 2)
+        lo, hi = max(1, first), min(last, k - 1)
         if lo <= hi:
+            cells += hi - lo + 1
             up, left, diag = cost1[lo - 1 : hi], cost1[lo : hi + 1], cost2[lo - 1 : hi]
             same = ref[lo - 1 : hi] == hyp[cols - k + lo : cols - k + hi + 1]
             cell = np.minimum(up, left)
@@ -105,31 +132,46 @@ def _align_group(pairs: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray
             np.copyto(path, hit1[lo : hi + 1], where=left == diag - 1)
             np.copyto(path, hit1[lo - 1 : hi], where=cell == up + 1)
             hit0[lo : hi + 1] = path
-        if k <= cols:
+        if first == 0:
             cost0[0], hit0[0] = k, 0
-        if k <= rows:
+        if last == k:
             cost0[k], hit0[k] = k, 0
+        if first > 0:
+            cost0[first - 1] = far
+        if last < rows:
+            cost0[last + 1] = far
         while done < width and ends[done] == k:
             b = finish[done]
             edits[b], hits[b] = cost0[n[b], b], hit0[n[b], b]
             done += 1
         cost2, cost1, cost0 = cost1, cost0, cost2
         hit2, hit1, hit0 = hit1, hit0, hit2
-    return edits, hits
+    return edits, hits, cells * width
 
 
 def align_token_pairs(pairs: Iterable[tuple[list[str], list[str]]]) -> np.ndarray:
     """``(len(pairs), 4)`` array of hits, subs, dels, ins."""
     codes: dict[str, int] = {}
+    coded = [tuple(np.array([codes.setdefault(w, len(codes)) for w in side], np.int32) for side in pair) for pair in pairs]
+    return align_coded(coded)
+
+
+def align_coded(pairs: Sequence[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """The same for words that are numbers.
+
+    Common ends are taken off.  Pairs of similar length are swept together in a
+    narrow band; those that need more are swept again in one up to four times
+    as wide, so that a pair costs about its length times its edits.
+    """
     shape, todo = [], []
-    for index, (ref, hyp) in enumerate(pairs):
-        r = [codes.setdefault(w, len(codes)) for w in ref]
-        h = [codes.setdefault(w, len(codes)) for w in hyp]
-        head, tail = _trim(r, h)
+    for index, (r, h) in enumerate(pairs):
+        limit = min(len(r), len(h))
+        head = _common(r[:limit], h[:limit])
+        tail = _common(r[head:][::-1][: limit - head], h[head:][::-1][: limit - head])
         shape.append((len(r), len(h), head + tail))
         r, h = r[head : len(r) - tail], h[head : len(h) - tail]
-        if r and h:
-            todo.append((index, np.array(r, dtype=np.int32), np.array(h, dtype=np.int32)))
+        if len(r) and len(h):
+            todo.append((index, r, h))
 
     out = np.zeros((len(shape), 4), dtype=np.int64)
     if not shape:
@@ -139,20 +181,29 @@ def align_token_pairs(pairs: Iterable[tuple[list[str], list[str]]]) -> np.ndarra
     hits = affix.copy()
 
     todo.sort(key=lambda t: (len(t[1]) + len(t[2]), len(t[1])))
-    start = 0
-    while start < len(todo):
-        stop, tallest = start, 0
-        while stop < len(todo):
-            tallest = max(tallest, len(todo[stop][1]) + 1)
-            if stop > start and tallest * (stop + 1 - start) > _GROUP_CELLS:
-                break
-            stop += 1
-        group = todo[start:stop]
-        e, k = _align_group([(r, h) for _, r, h in group])
-        at = [i for i, _, _ in group]
-        edits[at] = e
-        hits[at] += k
-        start = stop
+    band = _BAND
+    while todo:
+        start, wider, enough = 0, [], 0
+        while start < len(todo):
+            stop, tallest = start, 0
+            while stop < len(todo):
+                tallest = max(tallest, len(todo[stop][1]) + 1)
+                if stop > start and tallest * (stop + 1 - start) > _GROUP_CELLS:
+                    break
+                stop += 1
+            group = todo[start:stop]
+            whole = tallest <= 2 * band
+            e, k, _ = _align_group([(r, h) for _, r, h in group], None if whole else band)
+            at = np.array([i for i, _, _ in group])
+            apart = np.array([abs(len(h) - len(r)) for _, r, h in group])
+            sure = np.full(len(group), True) if whole else e <= apart + 2 * band
+            edits[at[sure]] = e[sure]
+            hits[at[sure]] += k[sure]
+            wider += [t for t, ok in zip(group, sure) if not ok]
+            # What was found is never too small: this band will do.
+            enough = max([enough, *((e - apart + 1) // 2)[~sure].tolist()])
+            start = stop
+        todo, band = wider, min(4 * band, enough)
 
     dels = hits - m + edits
     ins = hits - n + edits
@@ -289,7 +340,9 @@ def count_pairs(pairs: Sequence[tuple[str, str]], words: bool, chars: bool) -> p
     slot = np.array([where.setdefault(p, len(where)) for p in pairs], dtype=np.int64)
     fields = [pa.nulls(len(pairs), pa.int64())] * 6
     if words:
-        table = align_token_pairs((score_tokens(r), score_tokens(h)) for r, h in where)
+        codes, offsets = word_codes(pa.array([*(r for r, _ in where), *(h for _, h in where)], pa.string()))
+        sides = [codes[a:b] for a, b in zip(offsets[:-1], offsets[1:])]
+        table = align_coded(list(zip(sides[: len(where)], sides[len(where) :])))
         fields[:4] = [pa.array(table[slot, i]) for i in range(4)]
     if chars:
         stripped = [(r.strip(), h.strip()) for r, h in where]

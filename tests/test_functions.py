@@ -1,6 +1,8 @@
 import random
 import re
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -98,6 +100,73 @@ def test_long_pairs_beyond_one_group():
     assert (out[1:] == out[1]).all()
 
 
+def edited_words(rnd, words, share, vocabulary):
+    out = []
+    for w in words:
+        kind = rnd.random() / share if share else 9
+        if kind < 0.3:
+            continue
+        out.append(rnd.choice(vocabulary) if kind < 0.7 else w)
+        if 0.7 <= kind < 1:
+            out.append(rnd.choice(vocabulary))
+    return out
+
+
+@pytest.mark.parametrize("band", [1, 2, align._BAND])
+def test_band_gives_the_path_of_the_whole_table(monkeypatch, band):
+    """Distances, hits and so the tie-break, on pairs near and far."""
+    monkeypatch.setattr(align, "_BAND", band)
+    rnd, pairs = random.Random(band), []
+    while len(pairs) < 7000:
+        n = rnd.choice([3, 8, 20, 60])
+        vocabulary = list(range(rnd.choice([2, 3, 9, 200])))
+        words = [rnd.choice(vocabulary) for _ in range(n)]
+        pairs.append((words, edited_words(rnd, words, rnd.choice([0, 0.05, 0.3, 1]), vocabulary)))
+    coded = [tuple(np.array(side, np.int32) for side in pair) for pair in pairs]
+    found = align.align_coded(coded)
+    full = [(i, r, h) for i, (r, h) in enumerate(coded) if len(r) and len(h)]
+    for at in range(0, len(full), 500):
+        group = full[at : at + 500]
+        edits, hits, _ = align._align_group([(r, h) for _, r, h in group])
+        rows = found[[i for i, _, _ in group]]
+        assert (rows[:, 1:].sum(1) == edits).all()
+        whole = align.align_coded([(r, h) for _, r, h in group])
+        assert (rows == whole).all()
+    for i in range(0, 7000, 35):
+        assert (found[i, 1:].sum(), found[i, 0]) == brute_alignment(*pairs[i])
+
+
+def test_long_pairs_cost_what_differs(monkeypatch):
+    rnd = random.Random(3)
+    vocabulary = [f"w{k}" for k in range(500)]
+    words = [rnd.choice(vocabulary) for _ in range(50_000)]
+    other = edited_words(rnd, words, 0.01, vocabulary)
+    cells, plain = [], align._align_group
+
+    def counted(pairs, band=None):
+        found = plain(pairs, band)
+        cells.append(found[2])
+        return found
+
+    monkeypatch.setattr(align, "_align_group", counted)
+    ((hits, subs, dels, ins),) = align.align_token_pairs([(words, other)])
+    assert hits + subs + dels == len(words) and hits + subs + ins == len(other)
+    assert 350 < subs + dels + ins < 650
+    assert sum(cells) < 50_000 * 50_000 / 30
+
+
+def test_words_are_those_of_the_metrics():
+    rnd = random.Random(2)
+    parts = ["a", "b", "żó", "😀", " ", "  ", "\t", "\n", "\u00a0", "\u2003", "\x1c", "\x85", "\u3000 ", "\u200b", "-"]
+    texts = ["", " ", "\t", " a ", *("".join(rnd.choice(parts) for _ in range(rnd.randint(0, 12))) for _ in range(3000))]
+    codes, offsets = align.word_codes(pa.array(texts))
+    names: dict = {}
+    for text, a, b in zip(texts, offsets[:-1], offsets[1:]):
+        words = align.score_tokens(text)
+        assert [names.setdefault(int(c), w) for c, w in zip(codes[a:b], words)] == words and b - a == len(words), repr(text)
+    assert len(set(names.values())) == len(names)
+
+
 # (reference, hypothesis, H S D I, WER, CER, MER, WIL)
 GOLDEN = [
     ("a b c d", "a x c", (2, 1, 1, 0), 50.0, 42.86, 50.0, 66.67),
