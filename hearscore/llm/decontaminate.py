@@ -36,8 +36,11 @@ ANCHORS = 4
 _SLOTS = 1 << 24
 # Places between two documents of a segment.
 _GAP = 1 << 10
-# Words of a block of items, about.
+# Words of a block of items, about, and of a piece of a long item.
 _BLOCK = 500_000
+_PIECE = 100_000
+# Places of rarest terms that are held at once, about.
+_PLACES = 1 << 18
 
 _INDEX = "doc_ids binary, known binary, lengths binary, terms binary, counts binary, places binary"
 
@@ -159,6 +162,17 @@ class Segment:
         at = np.minimum(np.searchsorted(self.terms, terms), len(self.terms) - 1)
         return np.where(self.terms[at] == terms, at, -1)
 
+    def parts(self, own: Phrases) -> Iterator[Phrases]:
+        """The phrases in runs whose rarest terms have a bounded number of
+        places here."""
+        lists = self._lists(own.terms[np.arange(len(own.terms)), own.order[:, 0]])
+        n = np.append(self.counts, 0)[lists]  # no places of a term that isn't here
+        total = np.cumsum(n)
+        full = np.arange(_PLACES, (int(total[-1]) if len(n) else 0) + 1, _PLACES)
+        cuts = np.unique([0, *(np.searchsorted(total, full) + 1), len(n)])
+        for a, b in zip(cuts[:-1], cuts[1:]):
+            yield Phrases(own.terms[a:b], own.order[a:b], own.item[a:b])
+
     def _rarest(self, own: Phrases, lists: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Phrase and start of every place of its rarest term."""
         some = np.flatnonzero((lists >= 0).all(1))
@@ -219,7 +233,7 @@ def _search_rows(shared, slop: int):
                 hits = [set() for _ in segment.doc_ids]
                 items = [set() for _ in segment.doc_ids]
                 near = [set() for _ in segment.doc_ids]
-                for own in groups:
+                for own in (part for whole in groups for part in segment.parts(whole)):
                     size = own.terms.shape[1]
                     phrase, start = segment.exact(own)
                     doc = segment.docs_of(start)
@@ -247,11 +261,25 @@ def _search_rows(shared, slop: int):
     return rows
 
 
-def _item_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        words = _words(batch.column("text"))
-        terms = [words.hashes[a:b].tobytes() for a, b in zip(words.offsets[:-1], words.offsets[1:])]
-        yield pa.RecordBatch.from_arrays([batch.column("item_id"), pa.array(terms, pa.binary())], names=["item_id", "terms"])
+def _item_rows(window: int):
+    """Terms of every item, long ones in pieces that share ``window - 1`` words:
+    each window lies in one piece."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = _words(batch.column("text"))
+            owner, pieces, terms = [], [], []
+            for i, (a, b) in enumerate(zip(words.offsets[:-1], words.offsets[1:])):
+                starts = range(a, max(b - window + 1, a + 1), _PIECE)
+                owner += [i] * len(starts)
+                pieces += range(len(starts))
+                terms += [words.hashes[s : min(b, s + _PIECE + window - 1)].tobytes() for s in starts]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("item_id").take(pa.array(owner, pa.int64())), pa.array(pieces, pa.int64()), pa.array(terms, pa.binary())],
+                names=["item_id", "piece", "terms"],
+            )
+
+    return rows
 
 
 def search(docs: DataFrame, items: DataFrame, window: int = WINDOW, slop: int = 2) -> DataFrame:
@@ -269,13 +297,13 @@ def search(docs: DataFrame, items: DataFrame, window: int = WINDOW, slop: int =
     items = items.filter("item_id IS NOT NULL").select(F.col("item_id").cast("string"), "text")
     index = build_index(docs, term_map(items)).withColumn("segment", F.monotonically_increasing_id())
     index = stage(index, "postings")
-    coded = stage(items.mapInArrow(_item_rows, "item_id string, terms binary"), "items")
+    coded = stage(items.mapInArrow(_item_rows(window), "item_id string, piece long, terms binary"), "items")
     size = coded.agg(F.sum(F.length("terms") / 8)).first()[0] or 0
     blocks = max(1, -(-int(size) // _BLOCK))
     counts = stage(index.select("terms", "counts").mapInArrow(_count_rows, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")), "counts")
     found = None
     for block in range(blocks):
-        own = coded.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == block).orderBy("item_id", "terms").collect()
+        own = coded.filter(F.pmod(F.xxhash64("item_id", "piece"), F.lit(blocks)) == block).orderBy("item_id", "terms").collect()
         terms = [np.frombuffer(r.terms, np.uint64) for r in own]
         known = np.unique(np.concatenate([*terms, np.zeros(0, np.uint64)]))
         wanted = spark.createDataFrame([(int(t),) for t in known.view(np.int64)], "term long")

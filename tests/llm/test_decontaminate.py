@@ -1,7 +1,11 @@
 import hashlib
 import random
 import re
+import tracemalloc
+from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from hearscore.llm import decontaminate
@@ -66,6 +70,66 @@ def test_against_brute_force(spark, monkeypatch, block):
     assert rows == brute(docs, items, 5)
 
 
+def brute_near(docs, items, window, slop):
+    """Proximity matches by trying every place of every document."""
+    bags = [(d, words(t)) for d, t in docs]
+    often = Counter(w for _, bag in bags for w in bag)
+    out = []
+    for d, bag in bags:
+        near = set()
+        for i, t in items:
+            w = words(t)
+            n = min(window, len(w))
+            for s in range(len(w) - n + 1) if n else ():
+                phrase = w[s : s + n]
+                order = sorted(range(n), key=lambda k: often[phrase[k]])[: decontaminate.ANCHORS]
+                for at in range(len(bag)):
+                    if bag[at] == phrase[order[0]]:
+                        start = at - order[0]
+                        if all(
+                            any(phrase[k] == bag[x] for x in range(max(0, start + k - slop), min(len(bag), start + k + slop + 1)))
+                            for k in order[1:]
+                        ):
+                            near.add(str(i))
+        out.append((d, sorted(near)))
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize("bound", [1, 50, 1 << 18])
+def test_bounded_steps(spark, monkeypatch, bound):
+    """Phrases in runs of few places, items in pieces: the same results."""
+    monkeypatch.setattr(decontaminate, "_PLACES", bound)
+    monkeypatch.setattr(decontaminate, "_PIECE", 2 if bound < 100 else 100_000)
+    monkeypatch.setattr(decontaminate, "_BLOCK", 40 if bound < 100 else 500_000)
+    docs, items = made(3)
+    docs, items = docs[:30], [x for x in items if x[0] != 4]
+    got = decontaminate.search(*tables(spark, docs, items), window=5, slop=1).collect()
+    assert sorted(((r.doc_id, r.n_words, r.hits, r.items) for r in got), key=str) == brute(docs, items, 5)
+    assert sorted(((r.doc_id, r.near) for r in got), key=str) == brute_near(docs, items, 5, 1)
+
+
+def test_few_words_many_places():
+    """A slice of 50 words over and over against a long item of them."""
+    r = random.Random(1)
+    text = " ".join(f"w{r.randint(0, 49)}" for _ in range(200_000))
+    item = " ".join(f"w{r.randint(0, 49)}" for _ in range(3000))
+    found = decontaminate._words(pa.array([text]))
+    order = np.argsort(found.hashes, kind="stable")
+    known, counts = np.unique(found.hashes, return_counts=True)
+    place = np.arange(len(found)) + decontaminate._first_places(found.counts)[0]
+    kinds = {"doc_ids": np.int64, "known": bool, "lengths": np.int32, "terms": np.uint64, "counts": np.int32, "places": np.int64}
+    values = ([1], [True], found.counts, known, counts, place[order])
+    row = {c: np.asarray(v, dtype=kind).tobytes() for (c, kind), v in zip(kinds.items(), values)}
+    segment = decontaminate.Segment(row)
+    terms = decontaminate._words(pa.array([item])).hashes
+    (own,) = decontaminate.phrases([terms], {}, 13)
+    tracemalloc.start()
+    found = sum(len(segment.exact(part)[0]) + len(segment.near(part, 2)[0]) for part in segment.parts(own))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found >= 0 and peak < 150 << 20
+
+
 def test_proximity(spark):
     item = "alpha beta gamma delta"
     docs = [(1, "so alpha beta x gamma y delta z"), (2, "alpha a b c d e beta gamma delta"), (3, item), (4, "beta gamma")]
