@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import time
+import warnings
 from collections.abc import Callable, Iterator, Sequence
 from typing import Protocol
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.resource import ResourceProfile
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -52,6 +54,20 @@ def _attempt(model: Transcriber, paths: Sequence[str]) -> list[tuple[str | None,
         return [one for path in paths for one in _attempt(model, [path])]
 
 
+def stage_profile(spark: SparkSession, profile: ResourceProfile | None) -> ResourceProfile | None:
+    """``profile`` if this master can give a stage its own resources, else None
+    and a warning: local ones can't, and others need dynamic allocation unless
+    the profile asks for nothing of executors."""
+    if profile is None:
+        return None
+    master = spark.sparkContext.master
+    dynamic = spark.sparkContext.getConf().get("spark.dynamicAllocation.enabled", "false").lower() == "true"
+    if master.startswith(("yarn", "k8s", "spark:")) and (dynamic or not profile.executorResources):
+        return profile
+    warnings.warn(f"{master}: the transcription stage runs without its resource profile", stacklevel=2)
+    return None
+
+
 def transcribe_batch(
     pending: DataFrame,
     load: Callable[[], Transcriber],
@@ -59,12 +75,15 @@ def transcribe_batch(
     exists: str | None = None,
     tasks: int | None = None,
     batch_size: int = 16,
+    profile: ResourceProfile | None = None,
 ) -> DataFrame:
     """Run the transcriber over pending clips, ``batch_size`` at a time; the
     time of a call is divided over its clips.
 
     ``load`` runs once per Python worker task, and only when there is a clip.
     ``exists`` names a BOOLEAN column; clips without a file get ``''``.
+    ``profile`` names the resources of its stage, such as executors with a GPU,
+    so that the stages before and after it don't hold them (``stage_profile``).
     Returns the input plus ``asr_hyp`` and the cost columns.  Clips that
     failed or have no file carry ``''`` and are not meant to be cached
     (``cacheable``).
@@ -94,7 +113,7 @@ def transcribe_batch(
             yield pd.concat([batch, made], axis=1)
 
     rows = pending.repartition(tasks) if tasks else pending
-    raw = rows.mapInPandas(run, schema)
+    raw = rows.mapInPandas(run, schema, profile=stage_profile(pending.sparkSession, profile))
     hyp = F.when(F.col("__failed"), F.lit("")).otherwise(hypothesis_or_sentinel("__raw"))
     return raw.withColumn("asr_hyp", hyp).drop("__raw", "__failed")
 

@@ -7,6 +7,7 @@ from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field, replace
 from functools import reduce
 
+from pyspark.resource import ResourceProfile
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,10 +27,10 @@ from hearscore.operators.summary import group_summary, sort_summary
 from hearscore.operators.transcribe import Transcriber, cache_rows, transcribe_batch
 from hearscore.plans.run_plan import Corpus, corpus_table
 from hearscore.schema import CACHE_COSTS, CACHE_KEY, RESOURCES, SAMPLE, SPLIT_KEYS
-from hearscore.session import stage
+from hearscore.session import drop_stage, stage
 from hearscore.sources.cache import sink_hyp_cache, stored_hyp_cache
 from hearscore.sources.corpora import planned_runs, planned_samples
-from hearscore.sources.store import dated_path, fingerprints, materialize_groups
+from hearscore.sources.store import dated_path, fingerprints, materialize_groups, stored
 from hearscore.sources.tsv import sink_tsv
 
 # Directory levels of stored stages.
@@ -86,6 +87,33 @@ def transcribe_missing(
     return cache_rows(transcribe_batch(todo, load, tasks=tasks), day)
 
 
+def failure_counts(spark: SparkSession, path: str) -> DataFrame | None:
+    """``dataset, codename, audio_path, version, failures``: how often in a row
+    each clip has failed so far, of those that have; None before the first."""
+    ledger = stored(spark, f"{path}.failures")
+    if ledger is None:
+        return None
+    last = F.max(F.struct("at", "failures")).alias("last")
+    return ledger.groupBy(*CACHE_KEY).agg(last).select(*CACHE_KEY, "last.failures").filter("failures > 0")
+
+
+def _note_failures(made: DataFrame, path: str) -> None:
+    """Write down the clips that failed, and those that no longer do."""
+    before = failure_counts(made.sparkSession, path)
+    now = made.select(*CACHE_KEY, (F.col("asr_hyp") == "").alias("failed"))
+    if before is None:
+        now = now.withColumn("failures", F.lit(0))
+    else:
+        same = [now[k].eqNullSafe(before[k]) for k in CACHE_KEY]
+        now = now.join(before, same, "left").select(
+            *(now[k] for k in CACHE_KEY), "failed", F.coalesce("failures", F.lit(0)).alias("failures")
+        )
+    changed = now.filter(F.col("failed") | (F.col("failures") > 0)).select(
+        *CACHE_KEY, F.when(F.col("failed"), F.col("failures") + 1).otherwise(0).alias("failures"), F.current_timestamp().alias("at")
+    )
+    stage(changed, "failures").write.mode("append").parquet(f"{path}.failures")
+
+
 def save_missing(
     planned: DataFrame,
     path: str,
@@ -95,21 +123,34 @@ def save_missing(
     tasks: int | None = None,
     batch_size: int = 16,
     clips_per_commit: int = 100_000,
+    max_failures: int = 5,
+    profile: ResourceProfile | None = None,
     day: str | None = None,
 ) -> None:
     """Transcribe what the cache at ``path`` lacks and append it there.
 
     Every ``clips_per_commit`` clips or so are a job of their own whose rows
     are committed before the next one starts: a run that fails halfway keeps
-    them, and the next one goes on from there.
+    them, and the next one goes on from there.  Clips without an answer are
+    counted in ``<path>.failures``; one that has failed ``max_failures`` times
+    in a row isn't tried again, until its rows there are removed.
     """
-    cache = stored_hyp_cache(planned.sparkSession, path)
-    todo = stage(missing_clips(planned, cache, recreate=recreate), "missing_clips")
+    spark = planned.sparkSession
+    cache = stored_hyp_cache(spark, path)
+    todo = missing_clips(planned, cache, recreate=recreate)
+    failed = failure_counts(spark, path)
+    if failed is not None:
+        hopeless = failed.filter(F.col("failures") >= max_failures)
+        todo = todo.join(hopeless, [todo[k].eqNullSafe(hopeless[k]) for k in CACHE_KEY], "left_anti")
+    todo = stage(todo, "missing_clips")
     commits = -(-todo.count() // clips_per_commit)
     for number in range(commits):
         mine = F.pmod(F.xxhash64(*CACHE_KEY), F.lit(commits)) == number
-        made = transcribe_batch(todo.filter(mine), load, tasks=tasks, batch_size=batch_size)
+        made = transcribe_batch(todo.filter(mine), load, tasks=tasks, batch_size=batch_size, profile=profile)
+        made = stage(made, "transcribed")
         sink_hyp_cache(cache_rows(made, day), path, append=True)
+        _note_failures(made, path)
+        drop_stage(made)
 
 
 def merge_cache(cache: DataFrame, new: DataFrame) -> DataFrame:

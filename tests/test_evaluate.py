@@ -1,12 +1,16 @@
 import sys
+import uuid
 from dataclasses import replace
+from types import SimpleNamespace
 
+import pytest
 from pyspark import cloudpickle
+from pyspark.resource import ExecutorResourceRequests, ResourceProfileBuilder, TaskResourceRequests
 from pyspark.sql import functions as F
 
 from catalog import shapes
 from catalog.stub import StubTranscriber
-from hearscore.operators import scoring
+from hearscore.operators import scoring, transcribe
 from hearscore.operators.transcribe import cache_rows, transcribe_batch
 from hearscore.plans import evaluate
 from hearscore.schema import CACHE
@@ -220,3 +224,59 @@ def test_running_values_with_null_keys_and_large_buckets(spark, monkeypatch):
             wrong, seen = wrong + (r.sample_idx % 3 != 0), seen + 3
             assert r.WER == round(100 * wrong / seen, 2)
         assert len(own) == 20
+
+
+def test_clips_that_always_fail_are_given_up(spark, tmp_path):
+    path, asked = str(tmp_path / "cache"), tmp_path / "asked"
+    asked.mkdir()
+    kind = "dataset string, subset string, split string, codename string, version string, provider string, model string, audio_path string, sample_idx long"
+    planned = spark.createDataFrame([("d", "s", "t", "c", "v", "p", "m", f"{k}.wav", k) for k in range(4)], kind)
+
+    def load():
+        class Shaky:
+            """1.wav never answers, 2.wav not at first."""
+
+            def transcribe(self, paths):
+                for p in paths:
+                    (asked / f"{p}-{uuid.uuid4().hex}").touch()
+                if "1.wav" in paths or ("2.wav" in paths and len(list(asked.glob("2.wav-*"))) < 3):
+                    raise RuntimeError("no answer")
+                return [f"said {p}" for p in paths]
+
+        return Shaky()
+
+    def tries():
+        return len(list(asked.glob("1.wav-*")))
+
+    calls = []
+    for _ in range(6):
+        before = tries()
+        evaluate.save_missing(planned, path, load, batch_size=1, max_failures=3)
+        calls.append(tries() - before)
+    assert calls == [1, 1, 1, 0, 0, 0]
+    failing = {r.audio_path: r.failures for r in evaluate.failure_counts(spark, path).collect()}
+    assert failing == {"1.wav": 3}
+    cached = evaluate.stored_hyp_cache(spark, path)
+    assert sorted(r.asr_hyp for r in cached.collect()) == ["said 0.wav", "said 2.wav", "said 3.wav"]
+
+
+def test_profile_of_the_stage(spark):
+    profile = ResourceProfileBuilder().require(TaskResourceRequests().cpus(2)).build
+    rows = spark.createDataFrame([("a.wav",)], "audio_path string")
+    with pytest.warns(UserWarning, match="without its resource profile"):
+        made = transcribe_batch(rows, StubTranscriber, profile=profile)
+    assert made.count() == 1
+
+    def on(master, dynamic=None):
+        conf = {"spark.dynamicAllocation.enabled": dynamic} if dynamic else {}
+        context = SimpleNamespace(master=master, getConf=lambda: conf)
+        return transcribe.stage_profile(SimpleNamespace(sparkContext=context), own)
+
+    executors = ResourceProfileBuilder().require(ExecutorResourceRequests().resource("gpu", 1)).build
+    for own in (profile, executors):
+        assert on("yarn", "true") is own and on("k8s://x", "true") is own
+    own = profile
+    assert on("spark://host:7077") is own  # asks for nothing of executors
+    own = executors
+    with pytest.warns(UserWarning):
+        assert on("yarn") is None
