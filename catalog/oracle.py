@@ -441,8 +441,10 @@ def statements() -> dict[str, str]:
     per_split = "select dataset, subset, split, count(*) n_rows{} from samples group by all"
     sql["materialize"] = _q(per_split.format(""), "samples")
     sql["refreshed_groups"] = _q(
-        "select dataset, subset, split, count(*) n_rows, case when split = 'test' then 2 else 1 end::bigint n_runs "
-        "from samples where split <> 'test' or (sample_idx // 100) % 2 = 0 group by all",
+        "select dataset, subset, split, count(*) filter (stays) n_rows, "
+        "case when bool_and(stays) then 1 else 2 end::bigint n_runs "
+        "from (select *, split <> 'test' or (sample_idx // 100) % 2 = 0 stays from samples) "
+        "group by all having bool_or(stays)",
         "samples",
     )
     sql["dated_output"] = _q(per_split.format(", '20250131' run_date"), "samples")
