@@ -12,7 +12,7 @@ from hearscore.functions.text import is_valid_pair
 from hearscore.operators.ordered import lowest_rows
 from hearscore.schema import SPLIT_KEYS
 
-# Result columns that are never metrics.
+# Fixed value: columns of the result table that are never metrics.
 FIXED_COLUMNS = (
     "dataset",
     "subset",
