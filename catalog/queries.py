@@ -797,12 +797,10 @@ _CONVERSATIONS = T.StructType(
 
 
 def _stream(spark: SparkSession, sf_dir: str, name: str, schema: T.StructType) -> DataFrame:
-    return (
-        spark.readStream.schema(schema)
-        .option("pathGlobFilter", f"{name}.parquet")
-        .option("maxFilesPerTrigger", 1)
-        .parquet(sf_dir)
-    )
+    """A table as a stream.  It is one file or a folder of them: a pattern takes
+    either, a plain path only a folder."""
+    pattern = f"{sf_dir}/{name}.parque[t]"
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(pattern)
 
 
 @register

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from catalog import shapes
+from catalog.queries import QUERIES
 from hearscore.functions import rates
 from hearscore.operators import corpus_stats, scoring
 from hearscore.operators.joins import latest_hypotheses
@@ -170,3 +171,17 @@ def test_cut_short_batch_is_not_seen(spark, tmp_path, monkeypatch):
     assert scores.read_cache_log(spark, log).first().asr_hyp == "one"
     scores.append_cache_log(rows("two"), log, 1)
     assert [x.asr_hyp for x in scores.read_cache_log(spark, log).collect()] == ["two"]
+
+
+@pytest.mark.parametrize("name", ["cache_upsert", "streaming_stats", "streaming_scores"])
+def test_streamed_table_is_a_file_or_a_folder(spark, tmp_path, name):
+    """The table as a single file and as a folder of four gives the same rows."""
+    rows = [(c, t, "user" if t % 2 else "assistant", f"word{c} and {t} more, said") for c in range(1, 9) for t in range(4)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    one, many = tmp_path / "one", tmp_path / "many"
+    df.coalesce(1).write.parquet(str(tmp_path / "made"))
+    one.mkdir()
+    next((tmp_path / "made").glob("part-*.parquet")).rename(one / "conversations.parquet")
+    df.repartition(4).write.parquet(str(many / "conversations.parquet"))
+    found = [_rows(QUERIES[name](spark, str(place))) for place in (one, many)]
+    assert found[0] == found[1] != []
