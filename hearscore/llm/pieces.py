@@ -18,6 +18,7 @@ import struct
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -188,12 +189,13 @@ class Codec:
         self.spelled_at = np.concatenate([[0], np.cumsum([len(s) for s in spelled])])
         byte_ids = [i for i, (_, _, kind) in enumerate(self.spec.pieces) if kind == _BYTE]
         self.byte_ids = sorted(byte_ids, key=lambda i: self.spec.pieces[i][0])  # <0x00> to <0xFF>
+        self.unknown = self.spec.unknown
         self.falls_back = self.spec.kind == _UNIGRAM and self.spec.byte_fallback and len(byte_ids) == 256
         self._forget()
 
     def _ids(self, found) -> list[int]:
         """Ids of an encoding, unknown text as the ids of its bytes."""
-        ids, unknown = found.ids, self.spec.unknown
+        ids, unknown = found.ids, self.unknown
         if not self.falls_back or unknown not in ids:
             return ids
         out = []
@@ -208,14 +210,17 @@ class Codec:
         self.pool = np.zeros(0, np.int32)
 
     def _learn(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray) -> None:
-        """Encode cuts that are not known yet."""
-        texts = [bytes(data[a:b]).decode().replace(" ", _MARK) for a, b in zip(starts, ends)]
-        ids = [self._ids(e) for e in self.bare.encode_batch(texts, add_special_tokens=False)]
-        length = np.array([len(x) for x in ids], dtype=np.int64)
+        """Encode cuts that are not known yet; their hashes rise."""
+        raw = data.tobytes()
+        texts = [raw[a:b].decode().replace(" ", _MARK) for a, b in zip(starts.tolist(), ends.tolist())]
+        # Without offsets that is faster, but texts of unknown tokens are lost.
+        encode = self.bare.encode_batch if self.falls_back else self.bare.encode_batch_fast
+        ids = [self._ids(e) for e in encode(texts, add_special_tokens=False)]
+        length = np.fromiter(map(len, ids), np.int64, len(ids))
         place = len(self.pool) + np.cumsum(length) - length
-        self.pool = np.concatenate([self.pool, np.array([i for x in ids for i in x], dtype=np.int32)])
+        self.pool = np.concatenate([self.pool, np.fromiter(chain.from_iterable(ids), np.int32, int(length.sum()))])
         known = np.concatenate([self.known, hashes])
-        order = np.argsort(known)
+        order = np.argsort(known, kind="stable")  # two sorted runs: merged, not sorted
         self.known = known[order]
         self.place = np.concatenate([self.place, place])[order]
         self.length = np.concatenate([self.length, length])[order]

@@ -174,3 +174,18 @@ def test_packed_query_and_files(spark, own, tmp_path):
     rows = spark.read.parquet(str(tmp_path / "packed")).collect()
     check_packed(rows, texts, own, packing.LENGTH, 2)
     assert sum(r.n_tokens for r in rows) >= 0.95 * (len(rows) - 1) * packing.LENGTH
+
+
+def test_unknown_piece_is_looked_up_once(monkeypatch):
+    """The list of pieces isn't walked again for every cut; a cut that comes
+    back in a later batch has the ids it had."""
+    seen, whole = [], pieces.Spec.unknown.fget
+    monkeypatch.setattr(pieces.Spec, "unknown", property(lambda spec: seen.append(1) or whole(spec)))
+    codec = pieces.Codec(piece_model())
+    seen.clear()
+    texts = [f"word{i} and tail{i}" for i in range(300)]
+    for part in (texts[:200], texts[100:]):
+        ids, offsets = codec.encode(pa.array(part))
+        lists = [ids[a:b].tolist() for a, b in zip(offsets, offsets[1:])]
+        assert lists == [e.ids for e in codec.whole.encode_batch(part, add_special_tokens=False)]
+    assert seen == []
