@@ -848,14 +848,14 @@ def streaming_rescored(spark: SparkSession, sf_dir: str) -> DataFrame:
     conv = F.floor(F.col("sample_idx") / 100)
     draft = F.substring("hypothesis", 1, 60)
     final = F.when(conv % 17 == 0, F.lit("EMPTY")).otherwise(F.col("hypothesis"))
-    for seq, said in enumerate((draft, final)):
+    for seq, said in enumerate((draft, final)):  # what has arrived by then is one batch
         rows = pairs.withColumn("hypothesis", said).withColumn("seq", F.lit(seq))
-        rows.coalesce(1).write.mode("append").parquet(f"{path}-in")
-    arriving = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}-in")
-    query = scores.stream_scores(
-        arriving, path, f"{path}-progress", ["all"], METRICS, order=["seq"], tasks=shapes.TASKS
-    )
-    query.awaitTermination()
+        rows.write.mode("append").parquet(f"{path}-in")
+        arriving = spark.readStream.schema(rows.schema).parquet(f"{path}-in")
+        query = scores.stream_scores(
+            arriving, path, f"{path}-progress", ["all"], METRICS, order=["seq"], tasks=shapes.TASKS
+        )
+        query.awaitTermination()
     pooled = scores.latest_batch(spark, path).drop("dataset", "version")
     return rates.with_percents(pooled, {m: rates.rate(m) for m in METRICS})
 

@@ -4,12 +4,11 @@ from __future__ import annotations
 
 import json
 import uuid
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Sequence
+from functools import partial, reduce
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from hearscore.functions import rates
@@ -83,34 +82,32 @@ def stream_statistics(
     return _run(split_moments(samples, **options), write, checkpoint, "complete", available_now)
 
 
-def _replacing(order: Sequence[str], values: Sequence[str], groups: Sequence[str], made: Sequence[str]):
-    """State of one clip: the order of its last write and that write's counts.
-    Returned is what a new write changes: its counts less the old ones."""
-
-    def rank(row: dict) -> tuple:
-        return tuple((row[c] is not None, row[c]) for c in order)
-
-    def change(key: tuple, arrived: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        old = dict(zip((*order, *values), state.get)) if state.exists else None
-        last = old
-        for rows in arrived:
-            plain = rows.astype(object).where(rows.notna(), None)
-            for row in plain[[*order, *values]].to_dict("records"):
-                # Of equal ranks the later one, as far as rows have an order.
-                if last is None or rank(row) >= rank(last):
-                    last = row
-        if last is old:
-            return
-        state.update(tuple(last[c] if c in order or last[c] is None else int(last[c]) for c in (*order, *values)))
-        counts = [int(last[c] or 0) - int(old[c] or 0 if old else 0) for c in values]
-        # Each normalisation has as many values; the first one tells if it counted.
-        each = len(values) // len(made)
-        rows = [
-            int(last[c] is not None) - int(old is not None and old[c] is not None) for c in values[::each]
-        ]
-        yield pd.DataFrame([[*key[: len(groups)], *counts, *rows]], columns=[*groups, *values, *made])
-
-    return change
+def _last_writes(rows: DataFrame, clip: Sequence[str], rank: Sequence[str]) -> DataFrame:
+    """Of each clip the write that ``rank`` puts last."""
+    rest = [c for c in rows.columns if c not in clip and c not in rank]
+    last = F.max(F.struct(*rank, *rest)).alias("__last")
+    return rows.groupBy(*clip).agg(last).select(*clip, *(F.col(f"__last.{c}").alias(c) for c in (*rank, *rest)))
+
+
+def _changes(
+    arrived: DataFrame, known: DataFrame | None, clip: Sequence[str], rank: Sequence[str], values: Sequence[str]
+) -> DataFrame:
+    """What the writes that have arrived change: for their clips, the counts of
+    the last write less those of the last write known before."""
+    rows = arrived.withColumn("__new", F.lit(True))
+    if known is not None:
+        asked = arrived.select(*(F.col(c).alias(f"__asked_{c}") for c in clip))
+        same = reduce(Column.__and__, (F.col(c).eqNullSafe(F.col(f"__asked_{c}")) for c in clip))
+        rows = rows.unionByName(known.join(asked, same, "left_semi").withColumn("__new", F.lit(False)))
+    write = F.struct(*rank, *values)
+    both = rows.groupBy(*clip).agg(F.max(write).alias("__last"), F.max(F.when(~F.col("__new"), write)).alias("__old"))
+
+    def change(kind: Callable[[Column], Column], value: str) -> Column:
+        return kind(F.col(f"__last.{value}")) - kind(F.col(f"__old.{value}"))
+
+    count = partial(change, lambda c: F.coalesce(c, F.lit(0).cast("long")))
+    counted = partial(change, lambda c: c.isNotNull().cast("long"))
+    return both.select(*clip, *(count(v).alias(v) for v in values), *(counted(v).alias(f"{v}__rows") for v in values))
 
 
 def stream_scores(
@@ -131,8 +128,12 @@ def stream_scores(
     A clip (``keys`` and ``sample_idx``) counts once, with its last write:
     ``order`` names the columns that rank writes, as in ``latest_hypotheses``
     (of equal ranks, and without ``order``, what arrives later counts).  A write
-    that can't be scored takes an earlier one out.  State has one row per clip:
-    its rank and as many integers as there are counts.
+    that can't be scored takes an earlier one out.
+
+    Ranks and counts of the writes are kept in a log of segments below
+    ``checkpoint`` (``_append_log``), and a batch is compared with those of
+    its clips: an aggregate over both, with no Python and no state in memory.
+    A batch reads these columns of the log once.
 
     Each batch adds its changes to the result of the one before and writes it
     under its own number, so a repeated batch replaces itself; read it with
@@ -140,34 +141,38 @@ def stream_scores(
     """
     wanted = rates.needed_counts(rates.resolve_metrics(metrics))
     values = [count_column(n, c) for n in norm_types for c in wanted]
-    made = [count_column(n, "rows") for n in norm_types]
-    clips = score_clips(eval_input, norm_types, metrics, tasks=tasks, keep_invalid=True)
-    clips = clips.select(*keys, "sample_idx", *order, *(F.col(v).cast("long").alias(v) for v in values))
-    kinds = [clips.schema[c] for c in keys], [clips.schema[c] for c in order]
-    numbers = [T.StructField(c, T.LongType()) for c in (*values, *made)]
-    changes = clips.groupBy(*keys, "sample_idx").applyInPandasWithState(
-        _replacing(order, values, keys, made),
-        T.StructType([*kinds[0], *numbers]),
-        T.StructType([*kinds[1], *numbers[: len(values)]]),
-        "update",
-        "NoTimeout",
-    )
+    clip, rank = [*keys, "sample_idx"], [*order, "__batch", "__at"]
     sums = [F.sum(c).alias(c) for c in ("sample_count", *wanted)]
+    log = f"{checkpoint.rstrip('/')}/clips"
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        pooled = batch.groupBy(*keys).agg(*(F.sum(c).alias(c) for c in (*values, *made)))
-        total = by_normalisation(pooled, norm_types, wanted, keys)
-        before = [n for n in _batches(spark, path) if n < batch_id]
-        if before:
-            total = total.unionByName(spark.read.parquet(_batch_path(path, before[-1])))
-        total = total.groupBy(*keys, "norm_type").agg(*sums).filter(F.col("sample_count") > 0)
-        # A few rows, one per group and normalisation.
-        total.coalesce(1).write.mode("overwrite").parquet(_batch_path(path, batch_id))
-        for number in before[:-_RESULTS_KEPT]:
-            _delete(spark, _batch_path(path, number))
-
-    return _run(changes, write, checkpoint, "update", available_now)
+        def settle(arrived: DataFrame, known: DataFrame | None) -> None:
+            spark = arrived.sparkSession
+            if known is None and batch_id > 0:
+                raise RuntimeError(f"{checkpoint} has earlier batches, but no log of their clips")
+            changes = _changes(arrived, known, clip, rank, values)
+            # Each normalisation has as many values; the first one tells if it counted.
+            rows = {count_column(n, "rows"): f"{count_column(n, wanted[0])}__rows" for n in norm_types}
+            pooled = changes.groupBy(*keys).agg(
+                *(F.sum(v).alias(v) for v in values), *(F.sum(c).alias(made) for made, c in rows.items())
+            )
+            total = by_normalisation(pooled, norm_types, wanted, keys)
+            before = [n for n in _batches(spark, path) if n < batch_id]
+            if before:
+                total = total.unionByName(spark.read.parquet(_batch_path(path, before[-1])))
+            total = total.groupBy(*keys, "norm_type").agg(*sums).filter(F.col("sample_count") > 0)
+            # A few rows, one per group and normalisation.
+            total.coalesce(1).write.mode("overwrite").parquet(_batch_path(path, batch_id))
+            for number in before[:-_RESULTS_KEPT]:
+                _delete(spark, _batch_path(path, number))
+
+        # Where a row stood, for those of equal rank in one batch.
+        placed = batch.withColumn("__at", F.monotonically_increasing_id())
+        clips = score_clips(placed, norm_types, metrics, tasks=tasks, keep_invalid=True)
+        clips = clips.select(*clip, *order, "__at", *(F.col(v).cast("long").alias(v) for v in values))
+        _append_log(clips, log, batch_id, "__batch", lambda rows: _last_writes(rows, clip, rank), settle)
+
+    return _run(eval_input, write, checkpoint, "append", available_now)
 
 
 def latest_batch(spark: SparkSession, path: str) -> DataFrame:
@@ -202,16 +207,28 @@ def _commit_manifest(spark: SparkSession, path: str, number: int, content: dict)
         raise RuntimeError(f"another writer has committed {name}")
 
 
-def append_cache_log(batch: DataFrame, path: str, batch_id: int) -> None:
+def _append_log(
+    batch: DataFrame,
+    path: str,
+    batch_id: int,
+    number: str,
+    latest: Callable[[DataFrame], DataFrame],
+    settle: Callable[[DataFrame, DataFrame | None], None] | None = None,
+) -> None:
     """Add the writes of one batch to the log at ``path``.
 
     The log is a list of segments, which the newest manifest names.  A segment
-    has one row per key; as soon as ``_FAN`` segments of a level are there, they
+    has one row per key (``latest``, which ranks by the batch, column
+    ``number``, last); as soon as ``_FAN`` segments of a level are there, they
     are merged to one of the next level.  So a log of n batches has about
     ``_FAN * log(n)`` segments, and a row is rewritten log(n) times.  The
     manifest is replaced after all segments it names are written: readers see
     the state before or after a batch, and one that has been committed already
     is left out when it is repeated.
+
+    ``settle`` gets the new segment and the log before it (None if there is
+    none), before the batch is committed: what it writes must replace what a
+    run that was cut short has left.
     """
     spark = batch.sparkSession
     names = _manifests(spark, path)
@@ -229,12 +246,16 @@ def append_cache_log(batch: DataFrame, path: str, batch_id: int) -> None:
         rows.write.parquet(place)
         return {"path": place, "level": level}
 
-    arrived = latest_hypotheses(batch.withColumn("batch", F.lit(batch_id).cast("long")), _LOG_ORDER)
-    segments = [*state["segments"], write(arrived, 0)]
+    def read(some: list[dict]) -> DataFrame:
+        return spark.read.parquet(*(s["path"] for s in some))
+
+    arrived = write(latest(batch.withColumn(number, F.lit(batch_id).cast("long"))), 0)
+    if settle is not None:
+        settle(read([arrived]), read(state["segments"]) if state["segments"] else None)
+    segments = [*state["segments"], arrived]
     while len(segments) >= _FAN and len({s["level"] for s in segments[-_FAN:]}) == 1:
         level, merged = segments[-1]["level"] + 1, segments[-1]["path"]
-        rows = spark.read.parquet(*(s["path"] for s in segments[-_FAN:]))
-        segments[-_FAN:] = [write(latest_hypotheses(rows, _LOG_ORDER), level)]
+        segments[-_FAN:] = [write(latest(read(segments[-_FAN:])), level)]
         files.delete(made(merged), True)  # of this batch: no manifest names it
     _commit_manifest(spark, path, batch_id, {"batch": batch_id, "segments": segments})
 
@@ -248,6 +269,11 @@ def append_cache_log(batch: DataFrame, path: str, batch_id: int) -> None:
         files.delete(made(name), True)
 
 
+def append_cache_log(batch: DataFrame, path: str, batch_id: int) -> None:
+    """Add the cache writes of one batch to the log at ``path`` (``_append_log``)."""
+    _append_log(batch, path, batch_id, "batch", lambda rows: latest_hypotheses(rows, _LOG_ORDER))
+
+
 def stream_cache_log(
     rows: DataFrame, path: str, checkpoint: str, *, available_now: bool = True
 ) -> StreamingQuery:

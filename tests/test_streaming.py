@@ -185,3 +185,32 @@ def test_streamed_table_is_a_file_or_a_folder(spark, tmp_path, name):
     df.repartition(4).write.parquet(str(many / "conversations.parquet"))
     found = [_rows(QUERIES[name](spark, str(place))) for place in (one, many)]
     assert found[0] == found[1] != []
+
+
+def test_state_of_streamed_scores_needs_no_python_per_clip(spark, tmp_path, monkeypatch):
+    """Clips are compared by aggregates over a log: keys may be null, equal
+    ranks go to the later row, and a batch that is repeated changes nothing."""
+    kind = "dataset string, subset string, split string, codename string, version string, sample_idx long, text string, hypothesis string"
+    source, out, progress = (str(tmp_path / n) for n in ("in", "out", "progress"))
+    monkeypatch.setattr(scores, "_FAN", 2)
+
+    def run():
+        stream = spark.readStream.schema(kind).parquet(source)
+        scores.stream_scores(stream, out, progress, ["none"], ["WER"]).awaitTermination()
+        return [(x.subset, x.sample_count, x.hits) for x in scores.latest_batch(spark, out).orderBy("subset").collect()]
+
+    def arrive(*rows):
+        spark.createDataFrame([("d", s, "p", "c", "v", k, "a b", said) for s, k, said in rows], kind).coalesce(1).write.mode(
+            "append"
+        ).parquet(source)
+        return run()
+
+    assert arrive((None, 1, "a x"), ("s", None, "a b"), ("s", 2, "x"), ("s", 2, "b")) == [(None, 1, 1), ("s", 2, 3)]
+    assert arrive((None, 1, "a b"), ("s", None, "a")) == [(None, 1, 2), ("s", 2, 2)]
+    with monkeypatch.context() as broken:  # the result is written, the log isn't
+        broken.setattr(scores, "_commit_manifest", lambda *_: 1 / 0)
+        with pytest.raises(Exception, match="division"):
+            arrive(("s", 2, "a b"), ("s", 3, "a b"))
+    assert run() == [(None, 1, 2), ("s", 3, 5)]
+    assert arrive(("s", 2, None), ("s", 3, "a")) == [(None, 1, 2), ("s", 2, 2)]
+    assert not (tmp_path / "progress" / "state").exists()
