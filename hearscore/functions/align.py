@@ -7,7 +7,7 @@ that runs in Python: a single Arrow-batched scalar UDF for words and
 characters together.  It is row-local, needs no shuffle, and a hot group
 spreads over tasks exactly as the scan did.
 
-Inside a batch, equal pairs are scored once (the normalisation fan-out puts
+Inside a slice of a batch, equal pairs are scored once (the normalisation fan-out puts
 the variants of a clip next to each other and many of them are equal), and
 pairs of similar length are aligned together, one anti-diagonal at a time.
 """
@@ -44,6 +44,8 @@ _GROUP_CELLS = 1 << 16
 _BAND = 16
 # The same for the 64-bit blocks of a group in the character distance.
 _GROUP_BLOCKS = 1 << 13
+# Texts of a batch that are Python strings and word numbers at a time, in bytes.
+_SLICE_BYTES = 1 << 22
 
 
 def score_tokens(text: str) -> list[str]:
@@ -357,6 +359,27 @@ def _spread_over(known: pa.Array, values: pa.Array) -> pa.Array:
     return values.take(pc.if_else(known, pc.subtract(place, 1), pa.scalar(None, pa.int64())))
 
 
+def count_in_slices(ref: pa.Array, hyp: pa.Array, words: bool, chars: bool) -> pa.Array:
+    """Counts of the pairs of two arrays, NULL where a side is.
+
+    Pairs are scored a slice of about ``_SLICE_BYTES`` at a time: what is held
+    beside the arrays doesn't grow with the batch.  A longer pair is a slice of
+    its own.
+    """
+    known = pc.and_(ref.is_valid(), hyp.is_valid())
+    ref, hyp = ref.filter(known), hyp.filter(known)
+    sizes = [pc.binary_length(side).to_numpy(zero_copy_only=False).astype(np.int64) for side in (ref, hyp)]
+    ends = np.concatenate([[0], np.cumsum(sizes[0] + sizes[1])])
+    counts, start = [], 0
+    while start < len(ref) or not counts:
+        stop = int(np.searchsorted(ends, ends[start] + _SLICE_BYTES, side="right")) - 1
+        size = max(stop, start + 1) - start
+        pairs = zip(ref.slice(start, size).to_pylist(), hyp.slice(start, size).to_pylist(), strict=True)
+        counts.append(count_pairs(list(pairs), words, chars))
+        start += size
+    return _spread_over(known, pa.concat_arrays(counts))
+
+
 def edit_counts(
     ref: Column | str, hyp: Column | str, *, words: bool = True, chars: bool = True
 ) -> Column:
@@ -367,9 +390,7 @@ def edit_counts(
     """
 
     def batch(r: pa.Array, h: pa.Array) -> pa.Array:
-        known = pc.and_(r.is_valid(), h.is_valid())
-        pairs = list(zip(r.filter(known).to_pylist(), h.filter(known).to_pylist(), strict=True))
-        return _spread_over(known, count_pairs(pairs, words, chars))
+        return count_in_slices(r, h, words, chars)
 
     return F.arrow_udf(batch, COUNTS_TYPE)(ref, hyp)
 
@@ -382,10 +403,7 @@ def edit_counts_of_variants(
     reach Python in one row, so equal ones are scored once."""
 
     def batch(lists: pa.Array) -> pa.Array:
-        flat = lists.flatten()
-        known = flat.is_valid()
-        ref, hyp = (f.to_pylist() for f in flat.filter(known).flatten())
-        counts = _spread_over(known, count_pairs(list(zip(ref, hyp, strict=True)), words, chars))
+        counts = count_in_slices(*lists.flatten().flatten(), words, chars)
         sizes = pc.list_value_length(lists).fill_null(0)
         offsets = pa.concat_arrays(
             [pa.array([0], pa.int32()), pc.cast(pc.cumulative_sum(sizes), pa.int32())]

@@ -337,3 +337,26 @@ def test_names_and_counts(spark):
         "openai_whisper_small_pl-pl", "OPENAI - TINY", "corpus-v2", "2024Q4", 0, 3, "a ", "EMPTY",
         "INVALID",
     )
+
+
+def test_long_batches_are_scored_in_slices(monkeypatch):
+    """What is scored at a time doesn't grow with the batch; the counts are
+    those of the batch as a whole, NULL where a side is."""
+    r = random.Random(8)
+    said = [None if r.random() < 0.1 else " ".join(r.choice("abc") for _ in range(r.randint(0, 40))) for _ in range(600)]
+    ref, hyp = pa.array(said[:300], pa.string()), pa.array(said[300:], pa.string())
+    pairs = [(a, b) for a, b in zip(said[:300], said[300:]) if a is not None and b is not None]
+    want = iter(align.count_pairs(pairs, True, True).to_pylist())
+    sizes, whole = [], align.count_pairs
+
+    def count(pairs, words, chars):
+        sizes.append(sum(len(a) + len(b) for a, b in pairs))
+        return whole(pairs, words, chars)
+
+    monkeypatch.setattr(align, "count_pairs", count)
+    monkeypatch.setattr(align, "_SLICE_BYTES", 500)
+    found = align.count_in_slices(ref, hyp, True, True).to_pylist()
+    assert max(sizes) <= 500 and sum(sizes) == sum(len(a) + len(b) for a, b in pairs)
+    for a, b, counts in zip(said[:300], said[300:], found):
+        assert counts == (None if a is None or b is None else next(want))
+    assert align.count_in_slices(ref[:0], hyp[:0], True, True).to_pylist() == []
