@@ -142,6 +142,8 @@ def stream_scores(
     wanted = rates.needed_counts(rates.resolve_metrics(metrics))
     values = [count_column(n, c) for n in norm_types for c in wanted]
     clip, rank = [*keys, "sample_idx"], [*order, "__batch", "__at"]
+    clips = score_clips(eval_input, norm_types, metrics, tasks=tasks, keep_invalid=True)
+    clips = clips.select(*clip, *order, *(F.col(v).cast("long").alias(v) for v in values))
     sums = [F.sum(c).alias(c) for c in ("sample_count", *wanted)]
     log = f"{checkpoint.rstrip('/')}/clips"
 
@@ -166,13 +168,11 @@ def stream_scores(
             for number in before[:-_RESULTS_KEPT]:
                 _delete(spark, _batch_path(path, number))
 
-        # Where a row stood, for those of equal rank in one batch.
+        # Where a row stands once scored, for those of equal rank in one batch.
         placed = batch.withColumn("__at", F.monotonically_increasing_id())
-        clips = score_clips(placed, norm_types, metrics, tasks=tasks, keep_invalid=True)
-        clips = clips.select(*clip, *order, "__at", *(F.col(v).cast("long").alias(v) for v in values))
-        _append_log(clips, log, batch_id, "__batch", lambda rows: _last_writes(rows, clip, rank), settle)
+        _append_log(placed, log, batch_id, "__batch", lambda rows: _last_writes(rows, clip, rank), settle)
 
-    return _run(eval_input, write, checkpoint, "append", available_now)
+    return _run(clips, write, checkpoint, "append", available_now)
 
 
 def latest_batch(spark: SparkSession, path: str) -> DataFrame:
