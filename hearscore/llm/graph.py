@@ -38,9 +38,10 @@ def components(edges: DataFrame) -> DataFrame:
         large = spread.filter("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v"))
         large = stage(large, "large_star")
         starred, nearest = _with_least(large)
-        small = starred.filter("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        # Both edges of a row at once: the join is planned and run one time.
+        pair = F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v"))))
         done = (now, least, large, nearest)
-        now = stage(small.union(starred.select("u", F.col("m").alias("v"))).distinct(), "small_star")
+        now = stage(starred.select(pair.alias("edge")).select("edge.*").filter("u > v").distinct(), "small_star")
         for table in done:
             drop_stage(table)
         # Done when every node leads to one root: none leads to two, and none

@@ -48,6 +48,8 @@ from hearscore.session import drop_stage, stage
 SHINGLE = 3
 SIMILARITY = 90  # percent
 
+# Bytes of text whose shingles are made at once.
+_SLICE = 1 << 18
 # Numbers in the table of shingle counts.
 _COUNTS = 1 << 18
 # Further first columns that linked sets must share, percent of the smaller set.
@@ -107,7 +109,7 @@ def _count_rows(shingle: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(_COUNTS, dtype=np.int64)
         for batch in batches:
-            for part in W.slices(batch, "text"):
+            for part in W.slices(batch, "text", _SLICE):
                 hashes, _ = shingle_sets(part.column("text"), shingle)
                 counts += np.bincount(_number(hashes), minlength=_COUNTS)
         full = np.flatnonzero(counts)
@@ -138,7 +140,7 @@ def _first_rows(shingle: int, similarity: int, counts):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done: set[int] = set()
         for batch in batches:
-            for part in W.slices(batch, "text"):
+            for part in W.slices(batch, "text", _SLICE):
                 hashes, offsets = shingle_sets(part.column("text"), shingle)
                 sizes = np.diff(offsets)
                 signature = _signatures(hashes, offsets).view(np.int64)
@@ -222,7 +224,7 @@ def _pair_rows(similarity: int):
 def _set_rows(shingle: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in W.slices(batch, "text"):
+            for part in W.slices(batch, "text", _SLICE):
                 hashes, offsets = shingle_sets(part.column("text"), shingle)
                 sets = [hashes[a:b].tobytes() for a, b in zip(offsets[:-1], offsets[1:])]
                 own = _signatures(hashes, offsets).view(np.int64) == part.column("class").to_numpy()

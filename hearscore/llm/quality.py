@@ -13,7 +13,9 @@ trained table becomes one number: a lookup and a sum per feature.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import contextlib
+import ctypes
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -26,9 +28,14 @@ from hearscore.llm import words as W
 
 BUCKETS = 1 << 17
 GRAMS = (3, 5)
+# Bytes of text at once: a byte has several features of about 50 bytes each.
+_SLICE = 1 << 17
 # Labelled documents that the model is trained on, at most.
 SAMPLE = 2500
 
+# Marks a packed number that goes on in the next byte.
+_ON = 255
+
 _SALT = {"word": 1, "pair": 2, "mark": 3}
 
 
@@ -78,24 +85,47 @@ def features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def _sparse_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for part in W.slices(batch, "text"):
+        for part in W.slices(batch, "text", _SLICE):
             buckets, text = features(part.column("text"))
             keys, counts = np.unique(text.astype(np.int64) * BUCKETS + buckets, return_counts=True)
             cut = np.searchsorted(keys, np.arange(len(part) + 1) * BUCKETS)
-            ranges = list(zip(cut[:-1], cut[1:]))
-            # Counts take as many bytes as the largest of a text needs: mostly one.
-            sizes = [np.min_scalar_type(int(counts[a:b].max(initial=1))) for a, b in ranges]
+            steps, places = _packed(_gaps(keys % BUCKETS, cut[:-1]))
+            times, at = _packed(counts)
             yield pa.RecordBatch.from_arrays(
                 [
                     part.column("doc_id"),
                     part.column("label"),
-                    pa.array([(keys[a:b] % BUCKETS).astype(np.int32).tobytes() for a, b in ranges], pa.binary()),
-                    pa.array([counts[a:b].astype(t).tobytes() for (a, b), t in zip(ranges, sizes)], pa.binary()),
+                    pa.array([steps[a:b].tobytes() for a, b in zip(places[cut[:-1]], places[cut[1:]])], pa.binary()),
+                    pa.array([times[a:b].tobytes() for a, b in zip(at[cut[:-1]], at[cut[1:]])], pa.binary()),
                 ],
                 names=["doc_id", "label", "buckets", "counts"],
             )
 
 
+def _gaps(buckets: np.ndarray, firsts: np.ndarray) -> np.ndarray:
+    """Distance of each bucket from the one before; the first of a text counts
+    from 0."""
+    gaps = np.diff(buckets, prepend=0)
+    firsts = firsts[firsts < len(gaps)]
+    gaps[firsts] = buckets[firsts]
+    return gaps
+
+
+def _packed(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers as bytes, mostly one each, and the place of each and of the end:
+    255 stands for 255 and that the number goes on in the next byte."""
+    ends = np.cumsum(values // _ON + 1)
+    out = np.full(ends[-1] if len(ends) else 0, _ON, dtype=np.uint8)
+    out[ends - 1] = values % _ON
+    return out, np.append(0, ends)
+
+
+def _sums(packed: pa.Scalar) -> np.ndarray:
+    """Running sums of packed numbers."""
+    own = np.frombuffer(packed.as_buffer(), np.uint8)
+    return np.cumsum(own, dtype=np.int64)[own != _ON]
+
+
 @dataclass
 class Model:
     """``logits[b]``: what a feature of bucket b adds, before the mean over
@@ -112,7 +142,7 @@ class Model:
 
 
 def fit(
-    rows: list[tuple[np.ndarray, np.ndarray]],
+    rows: Sequence[tuple[np.ndarray, np.ndarray]],
     labels: np.ndarray,
     size: int = 4,
     epochs: int = 8,
@@ -138,9 +168,10 @@ def fit(
         order = random.permutation(len(rows))
         for at in range(0, len(rows), batch):
             chosen = order[at : at + batch]
-            lengths = np.array([len(rows[i][0]) for i in chosen])
-            buckets = np.concatenate([rows[i][0] for i in chosen])
-            weight = np.concatenate([rows[i][1] / max(1, rows[i][1].sum()) for i in chosen]).astype(np.float32)
+            own = [rows[i] for i in chosen]
+            lengths = np.array([len(b) for b, _ in own])
+            buckets = np.concatenate([b for b, _ in own])
+            weight = np.concatenate([n / max(1, n.sum()) for _, n in own]).astype(np.float32)
             doc = np.repeat(np.arange(len(chosen)), lengths)
             part = vectors[buckets] * weight[:, None]
             mean = np.stack([np.bincount(doc, part[:, k], len(chosen)) for k in range(size)], 1).astype(np.float32)
@@ -183,14 +214,37 @@ def train(docs: DataFrame, labels: DataFrame, label: str, learn: Column, sample:
     )
     # The order of arrival is not fixed; that of the ids is.
     order = pc.sort_indices(gathered.column("doc_id")).to_pylist()
-    stored = list(zip(gathered.column("buckets"), gathered.column("counts")))
-    rows = [_sparse(*stored[i]) for i in order]
-    return fit(rows, gathered.column("label").to_numpy().astype(np.int64)[order])
+    model = fit(_Rows(gathered, order), gathered.column("label").to_numpy().astype(np.int64)[order])
+    del gathered
+    _give_back()
+    return model
+
+
+def _give_back() -> None:
+    """Give the memory that training has freed back to the system: the driver's
+    process would keep it for as long as it lives."""
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
 def _sparse(buckets: pa.Scalar, counts: pa.Scalar) -> tuple[np.ndarray, np.ndarray]:
-    own = np.frombuffer(buckets.as_buffer(), np.int32)
-    return own, np.frombuffer(counts.as_buffer(), f"u{counts.as_buffer().size // max(1, len(own)) or 1}")
+    own = np.diff(_sums(counts), prepend=0)
+    return _sums(buckets).astype(np.int32), own.astype(np.min_scalar_type(int(own.max(initial=1))))
+
+
+class _Rows(Sequence):
+    """Sparse documents of a table in some order, unpacked only while they are
+    looked at: the driver holds about two bytes a feature."""
+
+    def __init__(self, table: pa.Table, order: list[int]):
+        self.stored = list(zip(table.column("buckets"), table.column("counts")))
+        self.order = order
+
+    def __len__(self) -> int:
+        return len(self.order)
+
+    def __getitem__(self, i: int) -> tuple[np.ndarray, np.ndarray]:
+        return _sparse(*self.stored[self.order[i]])
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
@@ -202,7 +256,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in W.slices(batch, "text"):
+            for part in W.slices(batch, "text", _SLICE):
                 yield pa.RecordBatch.from_arrays(
                     [part.column("doc_id"), pa.array(shared.value.score(part.column("text")))],
                     names=["doc_id", "score"],
@@ -218,7 +272,7 @@ def select(docs: DataFrame, model: Model, least: float) -> DataFrame:
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in W.slices(batch, "text"):
+            for part in W.slices(batch, "text", _SLICE):
                 yield part.filter(pa.array(shared.value.score(part.column("text")) >= least))
 
     return docs.mapInArrow(rows, docs.schema)

@@ -231,6 +231,20 @@ def test_components_of_many_shapes(spark):
         assert got == want
 
 
+def test_a_step_of_components_joins_once(spark, monkeypatch):
+    """The driver plans and runs each join of a round one time."""
+    joins, stored = {}, graph.stage
+
+    def counted(df, label):
+        joins[label] = df._jdf.queryExecution().optimizedPlan().toString().count("Join ")
+        return stored(df, label)
+
+    monkeypatch.setattr(graph, "stage", counted)
+    edges = spark.createDataFrame([(1, 2), (3, 2), (7, 9), (5, 5)], "a long, b long")
+    assert {r.node: r.root for r in graph.components(edges).collect()} == {1: 1, 2: 1, 3: 1, 7: 7, 9: 7, 5: 5}
+    assert joins["small_star"] == joins["large_star"] == 1
+
+
 def test_shingle_sets():
     texts = ["a b c d", "A B c", "a b", "", None, "x x x x x"]
     hashes, offsets = jaccard.shingle_sets(pa.array(texts), 3)

@@ -69,3 +69,52 @@ def test_counts_are_kept_whole(spark):
         values, want = np.unique(buckets[text == i], return_counts=True)
         assert own.tolist() == values.tolist() and counts.tolist() == want.tolist()
     assert rows[0][1].max() > 65_535 and rows[1][1].dtype == np.uint8
+
+
+def test_gathered_features_take_two_bytes():
+    """The driver receives and holds all features of the sample: a byte for a
+    bucket and one for its count, but for few."""
+    r = np.random.default_rng(5)
+    texts = [" ".join(f"w{i}" for i in r.integers(0, 5000, 900)) for _ in range(8)]
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array(range(8)), pa.array([0, 1] * 4), pa.array(texts)], names=["doc_id", "label", "text"]
+    )
+    out = pa.Table.from_batches(quality._sparse_rows([batch]))
+    rows = quality._Rows(out, [7, 6, 5, 4, 3, 2, 1, 0])
+    sizes = [len(b) for b, _ in rows]
+    held = sum(len(x.as_py()) for c in ("buckets", "counts") for x in out.column(c))
+    assert len(rows) == 8 and min(sizes) > 2000 and held < 2.2 * sum(sizes)
+
+
+def test_packed_rows_are_undone():
+    """Distances and counts below, at and above what a byte holds; texts without features."""
+    texts = [[], [0], [quality.BUCKETS - 1], [], [0, 1, 254, 508, 509, 764, 1274, 1529], [255], [3, 258, 514], []]
+    cut = np.cumsum([0, *map(len, texts)])
+    every = np.array([b for own in texts for b in own])
+    times = np.array([1, 254, 255, 256, 510, 1, 70_000, 2, 1, 1, 1, 1, 1, 1])
+    steps, places = quality._packed(quality._gaps(every, cut[:-1]))
+    counts, at = quality._packed(times)
+    for a, b, own in zip(cut[:-1], cut[1:], texts):
+        packed = [pa.scalar(v[p[a] : p[b]].tobytes(), pa.binary()) for v, p in ((steps, places), (counts, at))]
+        found = quality._sparse(*packed)
+        assert found[0].tolist() == own and found[1].tolist() == times[a:b].tolist()
+    none = np.zeros(0, np.int64)
+    assert [len(x) for x in quality._packed(quality._gaps(none, np.zeros(3, np.int64)))] == [0, 1]
+
+
+def test_features_are_made_in_small_slices(monkeypatch):
+    """A task holds the features of a few texts at a time."""
+    held, features = [], quality.features
+
+    def counted(texts):
+        buckets, text = features(texts)
+        held.append(len(buckets))
+        return buckets, text
+
+    monkeypatch.setattr(quality, "features", counted)
+    texts = [f"{i} " + "a few words and more " * 50 for i in range(900)]
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array(range(900)), pa.array([1] * 900), pa.array(texts)], names=["doc_id", "label", "text"]
+    )
+    assert sum(len(part) for part in quality._sparse_rows([batch])) == 900
+    assert max(held) < 500_000 < sum(held)
